@@ -25,6 +25,29 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+OP6 = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT x, b FROM reach JOIN both_ways ON y = a),
+n AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT x AS vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(y) AS component_id, x = min(y) AS kept FROM reach LEFT JOIN n ON n.a = x GROUP BY x
+"""
+
+OP8 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+one AS (SELECT b AS w, count(*) AS c FROM t GROUP BY b),
+two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM t),
+s AS (SELECT doc_id, CASE WHEN two.c IS NOT NULL THEN log10(two.c / oa.c) ELSE log10(ob.c / n.n) + CASE WHEN t.a IS NULL THEN 0 ELSE log10(0.4) END END AS s,
+  CASE WHEN t.a IS NOT NULL AND two.c IS NULL THEN 1 ELSE 0 END AS back
+  FROM t CROSS JOIN n JOIN one ob ON ob.w = t.b LEFT JOIN one oa ON oa.w = t.a LEFT JOIN two ON two.a = t.a AND two.b = t.b),
+d AS (SELECT doc_id, count(*) AS k, sum(back) AS back, sum(s) / count(*) AS m FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backed_off, round(m, 4) AS mean_log10 FROM w LEFT JOIN d USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -42,4 +65,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op10_benchmark_decontamination": OP10}
+    return {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op8_lm_scoring": OP8, "op10_benchmark_decontamination": OP10}
