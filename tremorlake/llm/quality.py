@@ -66,6 +66,13 @@ class Lines:
             weight = (cps.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
             weight ^= weight >> np.uint64(29)
             body = np.add.reduceat(weight * (np.arange(len(cps), dtype=np.uint64) - np.repeat(start, n).astype(np.uint64) + np.uint64(1)), start) if len(start) else start.astype(np.uint64)
+            at_word = np.flatnonzero(begins)
+            before_any = at_word[0] if len(at_word) else len(cps)
+            nth = np.arange(len(cps)) - np.concatenate([np.zeros(before_any, np.int64), np.repeat(at_word, np.diff(np.append(at_word, len(cps))))]) + 1
+            word_key = np.add.reduceat(weight * nth.astype(np.uint64) * word.astype(np.uint64), at_word) if len(at_word) else at_word.astype(np.uint64)
+        of_line = np.searchsorted(start, at_word, "right") - 1
+        again = np.flatnonzero((word_key[1:] == word_key[:-1]) & (of_line[1:] == of_line[:-1])) + 1
+        repeated = np.bincount(of_line[again], minlength=len(start))
         text = np.repeat(np.arange(len(texts)), np.diff(self.off))
         key = body ^ (text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -85,9 +92,10 @@ class Lines:
                 np.isin(cps[np.maximum(end - 1, start)], [ord(c) for c in ".!?:\""]),
                 kind[start] == UPPER,
                 np.log(count[inverse]),
+                repeated / np.maximum(1, words),
                 self.size == 0,
             ]
-        ).astype(np.float32) if len(start) else np.zeros((0, 15), np.float32)
+        ).astype(np.float32) if len(start) else np.zeros((0, 16), np.float32)
         first, last = np.zeros(len(x), bool), np.zeros(len(x), bool)
         first[self.off[:-1]], last[self.off[1:] - 1] = True, True
         before, after = np.roll(x, 1, 0), np.roll(x, -1, 0)
