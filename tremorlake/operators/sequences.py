@@ -165,7 +165,7 @@ def single_feature_auc(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def baseline_age(end: Column, now: Column) -> Column:
     """Hours since a baseline's end, days from two days on, in words."""
     h = (F.unix_micros(now) - F.unix_micros(end)) / 3.6e9
-    return F.when(h < 0, "later than the frame").when(h < 48, F.concat(F.format_number(F.floor(h), "0"), F.lit(" h"))).otherwise(F.concat(F.format_number(F.floor(h / 24), "0"), F.lit(" d")))
+    return F.when(h < 0, "later than the frame").when(h < 48, F.concat(F.floor(h).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(h / 24).cast("string"), F.lit(" d")))
 
 
 def where_in_segment(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -26,7 +26,10 @@ ROLE_OF = {"click": "x_vel", "view": "y_vel", "purchase": "z_vel", "signup": "te
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return _as_samples(table(spark, sf_dir, "events"))
+
+
+def _as_samples(e: DataFrame) -> DataFrame:
     role = F.create_map(*[F.lit(x) for kv in ROLE_OF.items() for x in kv])[F.col("event_type")]
     code = F.when(F.col("event_id") % 17 == 0, -1000).when(F.col("event_id") % 29 == 0, 5004).otherwise(5000)
     return e.select(
@@ -35,6 +38,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples as a stream of the event files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return _as_samples(e.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 SAMPLES = """samples AS (SELECT event_id AS seq, user_id AS tag_id, user_id % 25 AS binding, ts AS t, value / 10 AS value,
   CASE event_type WHEN 'click' THEN 'x_vel' WHEN 'view' THEN 'y_vel' WHEN 'purchase' THEN 'z_vel' WHEN 'signup' THEN 'temp' ELSE 'x_acc' END AS role,
   CASE WHEN event_id % 17 = 0 THEN -1000 WHEN event_id % 29 = 0 THEN 5004 ELSE 5000 END AS status_code FROM events),

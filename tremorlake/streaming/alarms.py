@@ -135,25 +135,39 @@ def drop_equal(samples: DataFrame, by: list[str], frozen_s: float) -> DataFrame:
 def swinging_door(samples: DataFrame, by: list[str], error: float) -> DataFrame:
     """The published swinging-door compression with an absolute error: samples from which the rest is linear within it.
 
-    A series is sequential, so each (by, day) is a group of its own, whose first and last samples stay.
+    A series is sequential: each (by, day) is walked in time order, whose first and last samples stay. Days of all series are dealt
+    evenly, and a task streams through its sorted rows with one sample of state.
     """
-    schema = samples.schema
+    keys = [*by, "_day"]
     rows = samples.where("value IS NOT NULL").withColumn("_day", F.to_date("t"))
-
-    def door(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "seq"])
-        t, v = part["t"].astype("int64").to_numpy() / 1e9, part["value"].to_numpy(float)
-        kept, at, high, low = [0], 0, float("inf"), float("-inf")
-        for i in range(1, len(v)):
-            dt = max(t[i] - t[at], 1e-9)
-            high, low = min(high, (v[i] + error - v[at]) / dt), max(low, (v[i] - error - v[at]) / dt)
-            if low > high:
-                kept.append(i - 1) if kept[-1] != i - 1 else None
-                at = i - 1
-                dt = max(t[i] - t[at], 1e-9)
-                high, low = (v[i] + error - v[at]) / dt, (v[i] - error - v[at]) / dt
-        if len(v) > 1 and kept[-1] != len(v) - 1:
-            kept.append(len(v) - 1)
-        return part.iloc[kept].drop(columns="_day")
-
-    return rows.groupBy(*by, "_day").applyInPandas(door, schema)
+    names = samples.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, at, last, shut = None, None, None, True
+        high = low = 0.0
+        for batch in batches:
+            out = []
+            now = batch["t"].astype("int64").to_numpy() / (1e9 if batch["t"].dtype.str.endswith("[ns]") else 1e6)
+            values, ids = batch["value"].to_numpy(float), list(zip(*(batch[k] for k in keys)))
+            full = list(batch[names].itertuples(index=False, name=None))
+            for t, v, key, row in zip(now, values, ids, full):
+                if key != series:
+                    if not shut:
+                        out.append(last[2])
+                    out.append(row)
+                    series, at, last, shut = key, (t, v), (t, v, row), True
+                    high, low = float("inf"), float("-inf")
+                    continue
+                dt = max(t - at[0], 1e-9)
+                high, low = min(high, (v + error - at[1]) / dt), max(low, (v - error - at[1]) / dt)
+                if low > high:
+                    if not shut:
+                        out.append(last[2])
+                    at, dt = last[:2], max(t - last[0], 1e-9)
+                    high, low = (v + error - at[1]) / dt, (v - error - at[1]) / dt
+                last, shut = (t, v, row), False
+            yield pd.DataFrame(out, columns=names)
+        if not shut:
+            yield pd.DataFrame([last[2]], columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "seq").mapInPandas(walk, samples.schema)
