@@ -105,7 +105,7 @@ def tail_n(framed: DataFrame, n: int, channels: list[str], rate_hz: float | None
     off = F.lit(False) if rate_hz is None else F.abs(F.col("span") - (n - 1) / rate_hz) > 0.25 * (n - 1) / rate_hz
     bad = F.when(F.col("got") < n, F.concat("role", F.lit(": short"))).when(F.col("good") < n, F.concat("role", F.lit(": bad"))).when(off, F.concat("role", F.lit(": spacing")))
     out = framed.select(*by).distinct().join(each.withColumn("bad", bad), by, "left").groupBy(*by).agg(
-        F.count("role").alias("seen"), F.min("bad").alias("bad"), F.map_from_entries(F.collect_list(F.struct("role", "values"))).alias("tail")
+        F.count("role").alias("seen"), F.min("bad").alias("bad"), F.map_from_entries(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("role", "values")))).alias("tail")
     )
     quality = F.when(F.col("seen") == 0, "no_input").when((F.col("seen") < len(channels)) | F.col("bad").isNotNull(), "insufficient_samples").otherwise("ok")
     reason = F.when(F.col("seen") == 0, "no channel").when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("seen") < len(channels), "channel missing")

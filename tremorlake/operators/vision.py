@@ -32,27 +32,41 @@ def non_max_suppression(detections: DataFrame, confidence: float = 0.55, iou: fl
     """Detections (image_id, det_id, cls, conf, x1, y1, x2, y2) that stay: confidence strictly above, and no kept one of
     the same class with a strictly larger overlap; by confidence, det_id on ties."""
     w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
-    rows = detections.where(F.col("conf") > confidence).withColumn("k", F.row_number().over(w)).where(F.col("k") <= BEFORE).drop("k")
-    names = [f.name for f in rows.schema.fields]
+    rows = detections.where(F.col("conf") > confidence).withColumn("place", F.row_number().over(w)).where(F.col("place") <= BEFORE)
+    rows = rows.sortWithinPartitions("image_id", "place").drop("place")  # the window has dealt images to tasks
 
-    def keep(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("conf", "descending"), ("det_id", "ascending")])
+    def kept(part: pa.Table) -> pa.Table:
+        """Of whole images, each by falling confidence, what stays."""
+        image, cls = part["image_id"].to_numpy(), part["cls"].to_numpy()
         box = np.column_stack([part[c].to_numpy() for c in ("x1", "y1", "x2", "y2")])
-        cls = part["cls"].to_numpy()
         area = np.prod(np.maximum(box[:, 2:] - box[:, :2], 0), axis=1)
-        left, kept = np.ones(len(box), bool), []
-        for i in range(len(box)):
-            if not left[i]:
-                continue
-            kept.append(i)
-            if len(kept) == AFTER:
-                break
-            inter = np.prod(np.maximum(np.minimum(box[i, 2:], box[:, 2:]) - np.maximum(box[i, :2], box[:, :2]), 0), axis=1)
-            union = area[i] + area - inter
-            left &= ~((cls == cls[i]) & (inter > iou * np.where(union > 0, union, 1)))
-        return part.take(pa.array(kept, pa.int64())).select(names)
-
-    return rows.groupBy("image_id").applyInArrow(keep, rows.schema)
+        keep = np.zeros(len(box), bool)
+        cuts = np.append(np.flatnonzero(np.diff(image, prepend=image[:1] - 1)), len(image))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            left, n = np.ones(b - a, bool), 0
+            while left.any() and n < AFTER:
+                i = int(left.argmax())
+                keep[a + i], left[i], n = True, False, n + 1
+                inter = np.prod(np.maximum(np.minimum(box[a + i, 2:], box[a:b, 2:]) - np.maximum(box[a + i, :2], box[a:b, :2]), 0), axis=1)
+                union = area[a + i] + area[a:b] - inter
+                left &= ~((cls[a:b] == cls[a + i]) & (inter > iou * np.where(union > 0, union, 1)))
+        return part.filter(pa.array(keep))
+
+    def whole_images(batches):
+        """Batches end where an image does: the last image of a batch waits for the next one."""
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
+            image = part["image_id"].to_numpy()
+            cut = int(np.searchsorted(image, image[-1])) if len(image) else 0
+            rest = part.slice(cut)
+            if cut:
+                yield from kept(part.slice(0, cut).combine_chunks()).to_batches()
+        if rest is not None and rest.num_rows:
+            yield from kept(rest.combine_chunks()).to_batches()
+
+    return rows.mapInArrow(whole_images, rows.schema)
 
 
 def top_detections(detections: DataFrame, k: int = LISTED) -> DataFrame:
