@@ -25,10 +25,10 @@ def duck():
 def _plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
-        return float(f"{v:.8g}")
+        return int(v) if v.is_integer() else float(f"{v:.8g}")
     return str(v) if isinstance(v, pd.Timestamp) else v
 
 
