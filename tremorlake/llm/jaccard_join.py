@@ -3,14 +3,16 @@
 Every set is put in one order for the whole corpus: shingles that are not known to be frequent by
 hash, then the frequent ones, rarest first. Two sets of Jaccard similarity t or more share a token
 within their first n - ceil(t n) + 1. Documents of equal sets become one class, classes of one
-prefix and size become one group, and groups meet on prefix tokens; members are verified on whole
-sets of 64-bit shingle hashes.
+prefix and size become one group, and groups meet on prefix tokens. Pairs of groups are filtered by size
+and by how many prefix tokens they share and where; what is left is expanded to members, which are
+verified on whole sets of 64-bit shingle hashes.
 
-A token's bucket is not expanded into all pairs. First its leader meets the other groups, and a
-group's leader its own members; links so found are joined into components. Only buckets that still
-hold several components go on: large ones with further leaders, then all pairs of different
-components that size and position allow. A pair within one component can link nothing new, so no
-component is lost. The frequent shingles only order tokens: results do not depend on them.
+A token that more than SMALL groups hold is not expanded into pairs at first: its leader, the set with the
+fewest tokens of its own, meets the other groups, as a group's leader meets its members, and links so found are
+joined into components. Sets that then share a bucket with another component, and have not too many tokens of
+their own for any partner there, are gathered into families that such buckets connect; a family is cut into blocks of
+BLOCK sets, every two blocks meet in a task of their own, and a task passes on a spanning forest of its links. A pair within one component can link nothing new, so no component is lost. The
+frequent shingles only order tokens: results do not depend on them.
 
 Defined results: null text or no words, an empty set that links with nothing; fewer words than k, one
 shingle of them all; rows that share an id are one document with the links of each; rows without
@@ -27,16 +29,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import components, written
 from .textkit import U, Words, mix, slices
 
-#: Share of a set's lowest hashes that is counted to find frequent shingles, as a divisor.
-COUNTED = 25
+#: Of a set's hashes, the lowest share in which prefixes end, and of those one in SAMPLED, picked for each
+#: document anew, are counted to find frequent shingles.
+LOWEST, SAMPLED = 0.3, 8
 #: Occurrences among the counted from which a shingle is ordered as frequent.
 FREQUENT = 4
 #: The most frequent shingles that the order knows: 16 MB, sent to every task.
 MOST_FREQUENT = 1_000_000
-#: Cross-component pairs of one bucket from which further leaders are tried first.
-LARGE_BUCKET = 2_000
-#: Rounds of further leaders.
-ROUNDS = 3
+#: Groups up to which a token's groups meet in pairs at once.
+SMALL = 64
+#: Sets of a family that one block holds.
+BLOCK = 500
+#: Ids up to which a set of ids is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -61,7 +66,11 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     def lowest(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [s[: -(-len(s) // COUNTED)] for _, s in _sets(part, k)]
+                keys = part.column("id").to_pylist()
+                got = []
+                for row, s in _sets(part, k):
+                    low = s[: int(LOWEST * len(s)) + 1]
+                    got.append(low[mix(low + U((keys[row] or 0) * 0x9E3779B97F4A7C15 % 2**64)) % U(SAMPLED) == 0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
 
     counted = texts.mapInArrow(lowest, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
@@ -109,59 +118,111 @@ def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(rows, "id long, n int, s1 long, s2 long, p1 long, late int, prefix array<long>")
 
 
-def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+def _shingle_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the rows whose id is among ids."""
+
     def rows(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for _, s in _sets(part, k)], pa.binary())], ["id", "tokens"])
+                sets = [s for _, s in _sets(part, k)]
+                off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "tokens"])
 
-    return texts.mapInArrow(rows, "id long, tokens binary")
+    ids = written(ids.distinct(), "ids")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return written(texts.join(some, "id", "left_semi").mapInArrow(rows, "id long, tokens array<long>"), "sets")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
-
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                keep.append(bool(shared) and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    pairs = written(pairs.distinct(), "pairs")
+    sets = _shingle_sets(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), k)
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.mapInArrow(similar, "a long, b long")
-
-
-def _near_sizes(percent: int):
-    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-
+    shared = F.size(F.array_intersect("ta", "tb"))
+    similar = both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).where(shared > 0)
+    return written(similar.select("a", "b"), "links")
 
-def _overlap_possible(percent: int):
-    """Whether sets of na and nb tokens that share one at positions pa and pb can be similar enough."""
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
 
+def _counted_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in one bucket whose sets may be similar enough.
 
-def _leader_pairs(entries: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each bucket's leader with its other members, as (a, b), a < b."""
-    rank = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "pos", "comp")
+    entries: (token, id, n, pos, comp, own, other); own is how many prefix tokens no other group holds, other how
+    many are in buckets left out here.
+    Tokens up to the last one shared are all counted; beyond it no more than the rest of either set can be
+    shared, and beyond the end of the prefix that ends first no more than the rest of that set.
+    """
+    one = entries.select("token", *[F.col(c).alias(f"{c}a") for c in ("id", "n", "pos", "comp", "own", "other")])
+    two = entries.select("token", *[F.col(c).alias(f"{c}b") for c in ("id", "n", "pos", "comp", "own", "other")])
+    met = one.join(two, "token").where("ida < idb AND compa <> compb").where(f"na * 100 >= nb * {percent} AND nb * 100 >= na * {percent}")
+    met = met.where(f"least(na - owna, nb - ownb) * {100 + percent} >= {percent} * (na + nb)")
+    met = met.groupBy("ida", "idb", "na", "nb", "othera", "otherb").agg(F.count("*").alias("c"), F.max("posa").alias("pa"), F.max("posb").alias("pb"))
+    shared = F.col("c") + F.least("othera", "otherb")
+    past_last = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    past_prefix = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
+    possible = (shared + F.least(past_last, past_prefix)) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return met.where(possible).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
+def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's leader, with the fewest tokens of its own, and its other members of near size, as (a, b), a < b."""
+    rank = F.struct("own", F.xxhash64("id").alias("h"), "id", "n", "comp")
     leader = entries.groupBy("token").agg(F.min(rank).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    met = entries.join(leader.select("token", "l"), "token").where("comp <> l.comp")
-    met = met.select("id", F.col("l.id").alias("lid"), F.col("n").alias("na"), F.col("l.n").alias("nb"), F.col("pos").alias("pa"), F.col("l.pos").alias("pb"))
-    met = met.where(_near_sizes(percent) & _overlap_possible(percent))
-    return met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+    met = entries.join(leader.select("token", "l"), "token").where("comp <> l.comp").where(f"n * 100 >= l.n * {percent} AND l.n * 100 >= n * {percent}")
+    return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
 
 
-def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of buckets that still hold several components, with their components; all labels."""
-    label = written(components(links), "labels")
-    now = entries.drop("comp").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+def _mixed(entries: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """entries, with the components that links make, of buckets that hold several, but those that can link to no set of their bucket."""
+    label = written(components(links), "labels").withColumnRenamed("node", "id")
+    now = entries.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    least = now.groupBy("token").agg(F.min("n").alias("least_n"))
+    partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    now = now.join(least, "token").where((F.col("n") - F.col("own")) * (100 + percent) >= percent * (F.col("n") + partner)).drop("least_n")
     mixed = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    return written(now.join(mixed, "token", "left_semi"), "entries"), label
+    return written(now.join(mixed, "token", "left_semi"), "entries")
+
+
+def _forest(part: pa.Table, percent: int) -> pa.Table:
+    """(a, b): each set of two blocks with the smallest that its links there reach, where that is another."""
+    ids, lists = part["id"].to_numpy(), part["tokens"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(lists.offsets.to_numpy())
+    _, token, held = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), size)
+    common = held > 1
+    rank = np.cumsum(common) - 1
+    row, col = row[common[token]], rank[token[common[token]]]
+    shared = np.zeros((len(ids), len(ids)), np.float32)
+    step = max(1, 16_000_000 // max(1, len(ids)))
+    for first in range(0, int(common.sum()), step):
+        at = (col >= first) & (col < first + step)
+        m = np.zeros((len(ids), min(step, int(common.sum()) - first)), np.float32)
+        m[row[at], col[at] - first] = 1
+        shared += m @ m.T
+    near = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (shared > 0)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], len(ids)).min(1))
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    other = root != np.arange(len(ids))
+    return pa.table({"a": ids[other], "b": ids[root][other]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _dense_links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among the sets of entries (token, id), as forests of block pairs of families that tokens connect."""
+    lead = entries.groupBy("token").agg(F.min("id").alias("lead"))
+    family = components(entries.join(lead, "token").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    family = written(family.withColumnRenamed("node", "id").withColumnRenamed("component", "family"), "families")
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = _shingle_sets(texts, family.select("id"), k)
+    each = family.join(blocks, "family").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "tokens")
+    return written(each.groupBy("family", "i", "j").applyInArrow(lambda part: _forest(part, percent), "a long, b long"), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -181,43 +242,37 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # one prefix and size is one group; members are its classes
     groups = classes.groupBy("n", "p1").agg(F.min("rep").alias("gid"), F.first("late").alias("late"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    members = classes.select("n", "p1", "rep").join(groups.where("members > 1").select("n", "p1", "gid"), ["n", "p1"]).select("gid", "rep")
+    members = classes.select("n", "p1", "rep").join(groups.where("members > 1").select("n", "p1", "gid"), ["n", "p1"]).select("gid", "rep", "n")
     members = written(members, "members")
     each = groups.select("gid", "n", "late", F.posexplode("prefix").alias("pos", "token"))
     each = each.select("token", F.col("gid").alias("id"), "n", "pos", (F.col("pos") >= F.col("late")).alias("often"))
     # a token that few sets hold is counted where its rows meet; a frequent one is counted apart and
     # joined, so that its rows can be split
-    few = each.where("NOT often").withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("met", "often")
+    few = each.where("NOT often").withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("often")
     often = each.where("often").drop("often")
-    often = often.join(often.groupBy("token").agg(F.count("*").alias("met")).where("met > 1").select("token"), "token")
-    entries = few.unionByName(often).withColumn("comp", F.col("id"))
-    entries = written(entries, "entries")
-
-    # groups by the leaders of their buckets, members by the leader of their group
-    within = members.where("gid <> rep").select(F.least("gid", "rep").alias("a"), F.greatest("gid", "rep").alias("b"))
-    pairs = written(_leader_pairs(entries, 0, percent).union(within).distinct(), "pairs")
-    needed = entries.select("id").union(members.select("rep")).distinct()
-    sets = written(_shingle_sets(texts.join(needed, "id", "left_semi"), k), "sets")
-    links = written(_linked(pairs, sets, percent), "links")
-
-    # expand what is left to members, by bucket, and by group where its members differ yet
-    expanded = entries.join(members.withColumnRenamed("gid", "id"), "id", "left").withColumn("id", F.coalesce("rep", "id")).drop("rep")
-    own = members.join(classes.select("rep", "n"), "rep").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), F.col("rep").alias("comp"))
-    entries, label = _labelled(expanded.unionByName(own), links)
-    for seed in range(1, ROUNDS + 1):
-        large = entries.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        large = large.where((F.col("k") * F.col("k") - F.col("kk")) / 2 > LARGE_BUCKET).select("token")
-        more = written(_linked(_leader_pairs(entries.join(large, "token", "left_semi"), seed, percent), sets, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        entries, label = _labelled(entries, links)
-
-    # every pair of different components that a bucket still holds
-    one = entries.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    two = entries.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    rest = one.join(two, "token").where(F.col("a") < F.col("b")).where("ca <> cb").where(_near_sizes(percent) & _overlap_possible(percent)).select("a", "b").distinct()
-    links = links.union(written(_linked(rest, sets, percent), "links"))
+    often = often.join(often.groupBy("token").agg(F.count("*").alias("met")).where("met > 1"), "token").select(*few.columns)
+    entries = written(few.union(often), "entries")
+    held = entries.groupBy("id").agg(F.count(F.when(F.col("met") <= SMALL, 1)).alias("in_small"), F.count(F.when(F.col("met") > SMALL, 1)).alias("in_large"))
+    prefix_size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    entries = entries.join(held, "id").withColumn("own", prefix_size - F.col("in_small") - F.col("in_large")).withColumn("comp", F.col("id"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _linked(pairs, texts, k, percent)
+
+    # groups of small buckets in pairs, expanded to members
+    small = _counted_pairs(entries.where(F.col("met") <= SMALL).withColumn("other", F.col("in_large")), percent)
+    of = members.select(F.col("gid").alias("a"), F.col("rep").alias("ra"))
+    small = small.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
+    small = small.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # groups of large buckets by their leaders, members by the leader of their group
+    zero = F.lit(0).cast("long")
+    group = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), zero.alias("own"), zero.alias("other"), F.col("rep").alias("comp"))
+    large = entries.where(F.col("met") > SMALL).withColumn("other", F.col("in_small")).join(members.select(F.col("gid").alias("id"), "rep"), "id", "left")
+    large = large.select("token", F.coalesce("rep", "id").alias("id"), "n", "pos", "own", "other", F.coalesce("rep", "id").alias("comp")).unionByName(group)
+    links = verified(small.union(_leader_pairs(large, percent)))
+
+    # buckets of several components yet
+    links = links.union(_dense_links(_mixed(large, links, percent), texts, k, percent))
 
     label = components(links.union(same))
     out = rows.select("id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
