@@ -6,8 +6,8 @@ benchmark where they arise, without a shuffle; documents that meet one are read
 extended to exact windows, whose words are hit. An item shorter than the window is one window of its own
 length and is looked for whole.
 
-The benchmark's windows are broadcast only after their number is checked against BROADCAST_ROWS;
-beyond it the joins shuffle. Documents are joined by row, so a passage that many share is no hot key.
+The benchmark's windows, and the keys of documents to read again, are broadcast only after their number is checked
+against BROADCAST_ROWS; beyond it the joins shuffle. Documents are joined by row, so a passage that many share is no hot key.
 
 Defined results: null or wordless texts have no words and no hits; items without words are ignored; rows
 of one item_id are one item; repeated rows of documents each return a row; an empty benchmark
@@ -90,7 +90,7 @@ def benchmark_hits(
     met = written(met, "met")
 
     # their hits, extended to windows
-    near = rows.join(met.where("hit = 1").select("row").distinct(), "row", "left_semi")
+    near = rows.join(_small(met.where("hit = 1").select("row").distinct()), "row", "left_semi")
     near = _hashed(near, "row").withColumn("n", F.size("wh"))
     found = []
     for m in [*short, window]:
