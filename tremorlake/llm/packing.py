@@ -31,34 +31,53 @@ PIECES_A_BATCH = 3000
 CACHED_WORDS = 400_000
 FINE_EVERY, FINE_FLOOR = 8, 8
 _ODD = re.compile("<\\||[\x1c-\x1f]")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#*&()]*)")
 _LOADED: dict = {}
 
 
 class WordEncoder:
     """Ids of texts under a tokenizer whose ids of a text are those of its words in a row.
 
-    Words between white space are encoded once and kept. Texts that hold the start of a special
-    token, or separators on which definitions of white space differ, are encoded whole.
+    Words between white space are encoded once and kept. One of plain Latin letters and a tail of punctuation is
+    put together from those two, in lower case as the tokenizer has it; such parts are encoded many at a time and told
+    apart by the mark that ends a part. Texts that hold the start of a special token, or separators on which
+    definitions of white space differ, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        raw = self._encode([" ".join(parts)])[0]
+        cut = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])] if len(cut) == len(parts) + 1 else self._encode(parts)
+
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if _ODD.search(text):
             return self._encode([text])[0]
         words = text.split()
-        if new := list(set(words).difference(self.known)):
+        new = set(words).difference(self.known)
+        if new:
             if len(self.known) > CACHED_WORDS:
                 self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._encode(new)))
+                new = set(words)
+            if len(self.parts) > CACHED_WORDS:
+                self.parts = {"": b""}
+            plain = [(w, m[1].lower(), m[2]) for w, m in zip(new, map(_PLAIN.fullmatch, new)) if m]
+            if parts := list({x for _, *pair in plain for x in pair}.difference(self.parts)):
+                self.parts.update(zip(parts, self._encode_parts(parts)))
+            self.known.update((w, self.parts[a] + self.parts[b]) for w, a, b in plain)
+            if rest := list(new.difference(self.known)):
+                self.known.update(zip(rest, self._encode(rest)))
         return b"".join(map(self.known.__getitem__, words))
 
 
