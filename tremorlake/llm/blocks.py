@@ -17,8 +17,20 @@ from .textkit import U
 
 KEYS_A_BUCKET = 400_000
 ASK = "chunk long, bucket long, keys binary, held binary"
-REPLY = "chunk long, keys binary, total binary"
-_REPLY = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("total", pa.binary())])
+REPLY = "chunk long, bucket long, keys binary, total binary"
+_REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("total", pa.binary())])
+_MANY = 255
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of _MANY or more stand behind, in eight."""
+    return np.minimum(counts, _MANY).astype(np.uint8).tobytes() + counts[counts >= _MANY].astype(np.int64).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == _MANY] = np.frombuffer(raw, np.int64, offset=n)
+    return counts
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, keep: tuple = ()) -> tuple[DataFrame, int]:
@@ -34,32 +46,37 @@ def asked(chunk: int, keys: np.ndarray, buckets: int) -> list[dict]:
     keys, held = np.unique(keys, return_counts=True)
     bucket = ((keys >> U(20)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, held = bucket[order], keys[order], held[order].astype(np.uint32)
+    bucket, keys, held = bucket[order], keys[order], held[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(keys)]
-    return [{"chunk": chunk, "bucket": int(bucket[a]), "keys": keys[a:b].tobytes(), "held": held[a:b].tobytes()} for a, b in zip(cut, cut[1:])]
+    return [{"chunk": chunk, "bucket": int(bucket[a]), "keys": keys[a:b].tobytes(), "held": _packed(held[a:b])} for a, b in zip(cut, cut[1:])]
+
 
+def replies(ask: DataFrame, least: int, echo: bool = True) -> DataFrame:
+    """To every asking chunk and bucket, what all chunks together hold of its keys.
 
-def replies(ask: DataFrame, least: int) -> DataFrame:
-    """For every asking chunk and bucket, those keys that all chunks together hold least times, with the totals."""
+    With echo, the keys that they hold least times, with the totals: read by answer(). Without, the totals of all its keys in
+    the order asked, 0 for those under least: read by totals().
+    """
 
     def bucket(rows: pa.Table) -> pa.Table:
-        chunks = rows["chunk"].to_pylist()
         blocks = [np.frombuffer(x, U) for x in rows["keys"].to_pylist()]
         keys = np.concatenate(blocks)
-        held = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["held"].to_pylist()]).astype(np.int64)
+        held = np.concatenate([_unpacked(x, len(b)) for x, b in zip(rows["held"].to_pylist(), blocks)])
         order = np.argsort(keys, kind="stable")
         new = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
         sums = np.add.reduceat(held[order], new)
         total = np.empty(len(keys), np.int64)
         total[order] = np.repeat(sums, np.diff(np.append(new, len(keys))))
-        out, at = {"chunk": [], "keys": [], "total": []}, 0
-        for c, b in zip(chunks, blocks):
+        out, at = {"chunk": [], "bucket": [], "keys": [], "total": []}, 0
+        for c, k, b in zip(rows["chunk"].to_pylist(), rows["bucket"].to_pylist(), blocks):
             t = total[at : at + len(b)]
             at += len(b)
-            if (live := t >= least).any():
+            live = t >= least
+            if live.any() or not echo:
                 out["chunk"].append(c)
-                out["keys"].append(b[live].tobytes())
-                out["total"].append(t[live].tobytes())
+                out["bucket"].append(k)
+                out["keys"].append(b[live].tobytes() if echo else None)
+                out["total"].append(_packed(t[live] if echo else np.where(live, t, 0)))
         return pa.table(out, schema=_REPLY)
 
     return ask.groupBy("bucket").applyInArrow(bucket, REPLY)
@@ -67,8 +84,19 @@ def replies(ask: DataFrame, least: int) -> DataFrame:
 
 def answer(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys that a chunk was answered, in order, with their totals."""
-    keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), U)
-    total = np.frombuffer(b"".join(rows["total"].to_pylist()), np.int64)
+    blocks = [np.frombuffer(x, U) for x in rows["keys"].to_pylist()]
+    keys = np.concatenate([np.zeros(0, U), *blocks])
+    total = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x, len(b)) for x, b in zip(rows["total"].to_pylist(), blocks))])
+    order = np.argsort(keys)
+    return keys[order], total[order]
+
+
+def totals(asked_rows: list[dict], rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a chunk asked for, in order, with their totals, from replies without echo."""
+    of = dict(zip(rows["bucket"].to_pylist(), rows["total"].to_pylist()))
+    blocks = [(np.frombuffer(r["keys"], U), of[r["bucket"]]) for r in asked_rows]
+    keys = np.concatenate([np.zeros(0, U), *(k for k, _ in blocks)])
+    total = np.concatenate([np.zeros(0, np.int64), *(_unpacked(t, len(k)) for k, t in blocks)])
     order = np.argsort(keys)
     return keys[order], total[order]
 

@@ -50,20 +50,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def scored(part: pa.Table, reply: pa.Table) -> pa.Table:
         grams = _Grams(part, order)
-        known, total = blocks.answer(reply)
+        known, total = blocks.totals(blocks.asked(0, grams.all(), buckets), reply)
         n = len(grams.nth)
 
         def count(keys: np.ndarray, least: int, absent: int) -> np.ndarray:
             if not len(known):
                 return np.full(len(keys), absent, np.int64)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            c = np.where(known[at] == keys, total[at], absent)
+            c = np.where(known[at] == keys, total[at], 0)
             return np.where(c >= least, c, absent)
 
         counts = []  # by length, of the n-gram that ends at each word; 0 if it is in no table
         for k, (at, w) in enumerate(grams.keys, 1):
             c = np.zeros(n, np.int64)
-            c[at + k - 1] = count(w[at], min_count, 0) if k > 1 else count(w[at], 1, 1)
+            c[at + k - 1] = count(w[at], min_count, 0) if k > 1 else count(w[at], 1, 0)
             counts.append(c)
         words = count(np.array([_ALL], U), 1, 1)[0]
         most = np.minimum(grams.nth + 1, order)
@@ -89,6 +89,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         )
 
     kind = rows.schema["id"].dataType.simpleString()
-    reply = blocks.replies(rows.groupBy("chunk").applyInArrow(ask, blocks.ASK), 2)
+    reply = blocks.replies(rows.groupBy("chunk").applyInArrow(ask, blocks.ASK), 1, echo=False)
     out = rows.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_words long, n_backed_off long, log10_score double, mean_log10 double")
     return out.withColumnRenamed("id", id_col)
