@@ -185,9 +185,9 @@ def predict(docs: DataFrame, model: tuple, switch: float = SWITCH) -> DataFrame:
         langs, table, allowed = sent.value
         names = np.array([*langs, UNDETERMINED], object)
         for batch in batches:
-            for part in slices(batch, "text", 6 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 scores, start, size, off = [], [], [], [np.zeros(1, np.int64)]
-                for piece in slices(part, "text", 1 << 20):
+                for piece in slices(part, "text"):
                     words = _Words([t or "" for t in piece.column("text").to_pylist()])
                     scores.append(words.scores(table, allowed) if langs else np.zeros((len(words.size), 1), np.float32))
                     start.append(words.start)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textkit import slices
 
 PIECES_A_BATCH = 3000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 FINE_EVERY, FINE_FLOOR = 8, 8
 _ODD = re.compile("<\\||[\x1c-\x1f]")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#*&()]*)")

@@ -26,7 +26,7 @@ from .textkit import Words
 
 #: Perfect difference sets, period -> residues.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 3: (0, 1), 1: (0,)}
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**64 - 1, 256, dtype=U)
 _LOWER = _BYTE.copy()
