@@ -64,6 +64,36 @@ def test_jaccard_components(spark, monkeypatch, small, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == jaccard_by_force(docs)
 
 
+def texts_with_added_words(seed=7, n=300):
+    """Texts and each with words added behind, at similarities about 0.80 to 0.87, no word in two pairs."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        a = [f"p{i}w{j}" for j in range(int(rng.integers(60, 160)))]
+        more = [f"p{i}m{j}" for j in range(int((len(a) - 4) * rng.uniform(0.15, 0.25)))]
+        out += [" ".join(a), " ".join(a + more)]
+    return out
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_jaccard_finds_unequal_sizes(spark, monkeypatch, small):
+    """Tokens of a prefix that no other prefix holds can be shared all the same."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    docs = list(enumerate(texts_with_added_words()))
+    want = jaccard_by_force(docs)
+    assert sum(want[i][1] == want[i + 1][1] for i in range(0, len(docs), 2)) > 200
+    out = ngram_jaccard_join(spark.createDataFrame(docs, DOC).repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
+def test_jaccard_mixed_keeps_sets_that_can_link(spark):
+    """Of own tokens only those ahead of the shared one bound what a set can share."""
+    rows = [(9, i, 100, 3, 3 * i, 18, ahead, i) for i, ahead in ((1, 0), (2, 0), (3, 18))]
+    entries = spark.createDataFrame(rows, "token long, id long, n long, pos int, met long, own long, ahead long, comp long")
+    kept = jaccard_join._mixed(entries, spark.createDataFrame([], "a long, b long"), 80)
+    assert sorted(r.id for r in kept.collect()) == [1, 2]
+
+
 def test_jaccard_edges(spark):
     t = "a b c d e f g"
     rows = [(1, t, 7), (1, t, 7), (2, t, 7), (None, t, 7), (3, None, 7), (4, "", 7)]

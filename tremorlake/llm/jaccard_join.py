@@ -4,13 +4,13 @@ Every set is put in one order for the whole corpus: shingles that are not known
 hash, then the frequent ones, rarest first. Two sets of Jaccard similarity t or more share a token
 within their first n - ceil(t n) + 1. Documents of equal sets become one class, classes of one
 prefix and size become one group, and groups meet on prefix tokens. Pairs of groups are filtered by size
-and by how many prefix tokens they share and where; what is left is expanded to members, which are
+by how many tokens that no other group holds lie ahead of a shared one, and by how many prefix tokens they share and where; what is left is expanded to members, which are
 verified on whole sets of 64-bit shingle hashes.
 
 A token that more than SMALL groups hold is not expanded into pairs at first: its leader, the set with the
 fewest tokens of its own, meets the other groups, as a group's leader meets its members, and links so found are
 joined into components. Sets that then share a bucket with another component, and have not too many tokens of
-their own for any partner there, are gathered into families that such buckets connect; a family is cut into blocks of
+their own ahead of the shared one for any partner there, are gathered into families that such buckets connect; a family is cut into blocks of
 BLOCK sets, every two blocks meet in a task of their own, and a task passes on a spanning forest of its links. A pair within one component can link nothing new, so no component is lost. The
 frequent shingles only order tokens: results do not depend on them.
 
@@ -147,15 +147,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def _counted_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of different components in one bucket whose sets may be similar enough.
 
-    entries: (token, id, n, pos, comp, own, other); own is how many prefix tokens no other group holds, other how
-    many are in buckets left out here.
+    entries: (token, id, n, pos, comp, ahead, other); ahead is how many tokens before pos no other group's prefix
+    holds, other how many are in buckets left out here. Both prefixes reach the shared token, so that those ahead
+    of it are not shared; those behind it can be in the rest of a set whose prefix ends earlier.
     Tokens up to the last one shared are all counted; beyond it no more than the rest of either set can be
     shared, and beyond the end of the prefix that ends first no more than the rest of that set.
     """
-    one = entries.select("token", *[F.col(c).alias(f"{c}a") for c in ("id", "n", "pos", "comp", "own", "other")])
-    two = entries.select("token", *[F.col(c).alias(f"{c}b") for c in ("id", "n", "pos", "comp", "own", "other")])
+    one = entries.select("token", *[F.col(c).alias(f"{c}a") for c in ("id", "n", "pos", "comp", "ahead", "other")])
+    two = entries.select("token", *[F.col(c).alias(f"{c}b") for c in ("id", "n", "pos", "comp", "ahead", "other")])
     met = one.join(two, "token").where("ida < idb AND compa <> compb").where(f"na * 100 >= nb * {percent} AND nb * 100 >= na * {percent}")
-    met = met.where(f"least(na - owna, nb - ownb) * {100 + percent} >= {percent} * (na + nb)")
+    met = met.where(f"least(na - aheada, nb - aheadb) * {100 + percent} >= {percent} * (na + nb)")
     met = met.groupBy("ida", "idb", "na", "nb", "othera", "otherb").agg(F.count("*").alias("c"), F.max("posa").alias("pa"), F.max("posb").alias("pb"))
     shared = F.col("c") + F.least("othera", "otherb")
     past_last = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
@@ -178,7 +179,7 @@ def _mixed(entries: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     now = entries.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     least = now.groupBy("token").agg(F.min("n").alias("least_n"))
     partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
-    now = now.join(least, "token").where((F.col("n") - F.col("own")) * (100 + percent) >= percent * (F.col("n") + partner)).drop("least_n")
+    now = now.join(least, "token").where((F.col("n") - F.col("ahead")) * (100 + percent) >= percent * (F.col("n") + partner)).drop("least_n")
     mixed = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     return written(now.join(mixed, "token", "left_semi"), "entries")
 
@@ -252,9 +253,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = each.where("often").drop("often")
     often = often.join(often.groupBy("token").agg(F.count("*").alias("met")).where("met > 1"), "token").select(*few.columns)
     entries = written(few.union(often), "entries")
-    held = entries.groupBy("id").agg(F.count(F.when(F.col("met") <= SMALL, 1)).alias("in_small"), F.count(F.when(F.col("met") > SMALL, 1)).alias("in_large"))
+    of_id = Window.partitionBy("id").orderBy("pos")
+    whole = of_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = lambda inside: F.count(F.when(inside, 1)).over(whole)
+    entries = entries.select("*", (F.col("pos") + 1 - F.row_number().over(of_id)).alias("ahead"), held(F.col("met") <= SMALL).alias("in_small"), held(F.col("met") > SMALL).alias("in_large"))
     prefix_size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    entries = entries.join(held, "id").withColumn("own", prefix_size - F.col("in_small") - F.col("in_large")).withColumn("comp", F.col("id"))
+    entries = entries.withColumn("own", prefix_size - F.col("in_small") - F.col("in_large")).withColumn("comp", F.col("id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _linked(pairs, texts, k, percent)
@@ -266,9 +270,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = small.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # groups of large buckets by their leaders, members by the leader of their group
     zero = F.lit(0).cast("long")
-    group = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), zero.alias("own"), zero.alias("other"), F.col("rep").alias("comp"))
+    group = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), zero.alias("own"), zero.cast("int").alias("ahead"), zero.alias("other"), F.col("rep").alias("comp"))
     large = entries.where(F.col("met") > SMALL).withColumn("other", F.col("in_small")).join(members.select(F.col("gid").alias("id"), "rep"), "id", "left")
-    large = large.select("token", F.coalesce("rep", "id").alias("id"), "n", "pos", "own", "other", F.coalesce("rep", "id").alias("comp")).unionByName(group)
+    large = large.select("token", F.coalesce("rep", "id").alias("id"), "n", "pos", "own", "ahead", "other", F.coalesce("rep", "id").alias("comp")).unionByName(group)
     links = verified(small.union(_leader_pairs(large, percent)))
 
     # buckets of several components yet
