@@ -59,6 +59,31 @@ def test_spans_of_mixed_text(spark):
     assert language_id(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_spans_of_other_scripts(spark):
+    """Scripts narrow the languages however short or long a run is."""
+    en, zh = "the cat sat on the mat with the other cat and that was the end of it ", "我们今天去学校学习中文，明天在家里看书写字。"
+    rows = [(i, (en if i % 2 else zh) * (1 + i % 3), "en" if i % 2 else "zh") for i in range(60)]
+    mixed = {100: en + "学校 " + en, 101: "OK " + "我们今天去学校学习中文" * 30, 102: "the cat " + "我们今天去学校学习中文" * 30, 103: en + "和the学校and " + en}
+    docs = spark.createDataFrame(rows + [(i, t, None) for i, t in mixed.items()], DOC)
+    got = {r.doc_id: r for r in language_id(docs).collect()}
+    assert [s.lang for s in got[100].spans] == ["en", "zh", "en"] and got[100].lang_pred == "en"
+    assert (got[100].spans[1].start, got[100].spans[1].end) == (len(en), len(en) + 2)
+    assert [s.lang for s in got[101].spans] == ["en", "zh"] and got[101].lang_pred == "zh" and got[101].score > 0.99
+    assert [s.lang for s in got[102].spans] == ["en", "zh"] and got[102].lang_pred == "zh"
+    assert [s.lang for s in got[103].spans] == ["en", "zh", "en", "zh", "en"]
+
+
+def test_a_long_run_without_spaces_outweighs_two_switches():
+    w = _Words(["the 我们 " + "我" * 60])
+    table = np.zeros((1 << 16, 2), np.float32)
+    table[:, 1] = -9
+    s = w.scores(table, np.ones((32, 2), bool))
+    assert s[:2].min() == -8 and s[2].min() < -24
+    only = np.ones((32, 2), bool)
+    only[w.script[1], 0] = False
+    assert np.isneginf(w.scores(table, only)[1:, 0]).all() and not np.isneginf(w.scores(table, only)[:, 1]).any()
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, None), (3, "", None), (None, "c", None)], DOC + "").withColumnRenamed("lang", "score")
     one = spark.createDataFrame([(1, 1, 1), (None, 0, 0), (2, None, None)], LABEL)

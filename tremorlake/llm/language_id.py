@@ -1,7 +1,7 @@
 """Language of texts and of the spans within them.
 
-The script of a word's letters, by ranges of code points, leaves those languages that were seen in
-that script; each is scored by the log probabilities of the word's character n-grams, and a Viterbi
+A word is a run of letters of one script. The script, by ranges of code points, leaves those languages that were seen in
+it, and no other can label the word; each is scored by the log probabilities of the word's character n-grams, and a Viterbi
 pass over the words of a text, with a penalty for each switch, labels every word. Words of one label in
 a row are a span; the language of most letters is that of the text.
 
@@ -30,6 +30,8 @@ SIZES = (3, 4)
 BITS = 16
 #: Cost of a switch, and the most by which one word can speak against a language.
 SWITCH, CLIP = 12.0, 8.0
+#: Scripts without spaces, where a run can be a whole clause, and how many of their letters speak as one word.
+UNSPACED, UNIT = ("Thai", "Kana", "Han"), 4
 UNDETERMINED = "und"
 #: A script is a language's if it has this share of its letters.
 SCRIPT_SHARE = 0.02
@@ -52,6 +54,8 @@ SCRIPTS = {
     "Han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
 }
 
+_UNSPACED = [list(SCRIPTS).index(x) + 1 for x in UNSPACED]
+
 
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """The letter runs of texts, with their n-grams: of each its bucket and its word."""
+    """The letter runs of texts, cut where the script changes, with their n-grams: of each its bucket and its word."""
 
     def __init__(self, texts: list[str]):
         script, low = _letters()
@@ -80,11 +84,12 @@ class _Words:
         kind = script[cps]
         letter = kind > 0
         body = np.where(letter, low[cps], np.uint32(32))
+        change = kind[1:] != kind[:-1]
         first = letter.copy()
-        first[1:] &= ~letter[:-1]
+        first[1:] &= change
         start = np.flatnonzero(first)
         last = letter.copy()
-        last[:-1] &= ~letter[1:]
+        last[:-1] &= change
         self.size = np.flatnonzero(last) + 1 - start
         self.script = kind[start]
         self.off = np.searchsorted(start, at)
@@ -95,14 +100,15 @@ class _Words:
             g = grams(body, n, BITS)
             inner = letter[1 : len(g) + 1].copy()
             for j in range(2, n - 1):
-                inner &= letter[j : len(g) + j]
+                inner &= letter[j : len(g) + j] & (kind[j : len(g) + j] == kind[1 : len(g) + 1])
             p = np.flatnonzero(inner)
             bucket.append(g[p])
             owner.append(word[p + 1])
         self.bucket, self.owner = bucket, owner
 
     def scores(self, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """Log score of each word by language, 0 for its best and CLIP less at most."""
+        """Log score of each word by language: 0 for its best, CLIP less at most, and for each UNIT letters in a script
+        without spaces; minus infinity where its script rules the language out."""
         total = np.zeros((len(self.size), table.shape[1]), np.float32)
         for bucket, owner in zip(self.bucket, self.owner):
             if len(owner):
@@ -112,7 +118,10 @@ class _Words:
         none = ~ok.any(1)
         total[~ok] = -np.inf
         total[none] = 0
-        return np.maximum(total - total.max(1, keepdims=True), -CLIP)
+        least = np.where(np.isin(self.script, _UNSPACED), np.maximum(1, self.size / UNIT), 1) * -CLIP
+        out = np.maximum(total - total.max(1, keepdims=True), least[:, None].astype(np.float32))
+        out[~ok & ~none[:, None]] = -np.inf
+        return out
 
 
 def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
