@@ -114,6 +114,14 @@ def test_language_model(spark, order):
     assert lm_scores(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_lm_scores_use_trigrams(spark):
+    """By default a word is scored with two words of context."""
+    docs = [(0, "a b c d"), (1, "a b c e"), (2, "x b c f"), (3, "x b c f")]
+    got = {r.doc_id: r.log10_score for r in lm_scores(spark.createDataFrame(docs, DOC)).collect()}
+    three = {i: c for i, _, c in lm_by_force(docs, 3)}
+    assert all(abs(got[i] - three[i]) < 1e-6 for i in three) and three != {i: c for i, _, c in lm_by_force(docs, 2)}
+
+
 def hits_by_force(docs, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = collections.defaultdict(set)

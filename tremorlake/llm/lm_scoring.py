@@ -39,7 +39,7 @@ class _Grams:
         return np.concatenate([w[at] for at, w in self.keys] + [np.full(len(self.words.hash), _ALL, U)])
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """(id_col, n_words, n_backed_off, log10_score, mean_log10): words are runs without ASCII white space, A-Z lower-cased."""
     rows, size = blocks.chunked(docs, id_col, text_col, CHUNK_BYTES)
     buckets = max(1, order * size // 8 // blocks.KEYS_A_BUCKET)
