@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.decontamination import benchmark_hits
 from tremorlake.llm.lm_scoring import lm_scores
-from tremorlake.llm.packing import differenced, pack, token_pieces, windows_of
+from tremorlake.llm import packing
+from tremorlake.llm.packing import Encoder, differenced, pack, packed_documents, token_pieces, windows_of
 from tremorlake.llm.token_counts import byte_encoder, document_token_counts, read_token_files, token_counts, token_files
 
 DOC = "doc_id long, text string"
@@ -51,6 +52,49 @@ def test_packed_ids(spark):
     assert pack(token_pieces(spark.createDataFrame([], DOC), path), 0).count() == 0
 
 
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encode.by_parts
+    odd = ["ÀÉÎ İstanbul 12½³ ΣΑΣ’s '' 'll'd", "a b\u0085c\x1cd é e\u0301 \u0301f", "日本語 текст Ÿÿ ſt \u2003 x \u200b \ud7ff", "   ", "Kǅ 𝔘𝟘 5'6 %'s a'"]
+    odd += ["<|ENDOFTEXT|> x<|startoftext|>y <| |> <a <", "٣٤ ⅷ ² it's%'re", "a\x00b \xadc"] + [x or "" for x in TEXTS]
+    want = [encode.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+    for _ in range(2):
+        ids, sizes = encode(odd)
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    monkeypatch.setattr(packing, "RUN_CHARS", 50)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 20)
+    ids, sizes = encode([*odd, "word " * 500])
+    assert sizes[:-1].tolist() == [len(x) for x in want] and sizes[-1] == 500
+
+
+def test_encoder_of_another_kind_encodes_whole():
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encode.by_parts
+    for x in ("The cat  sat.", "", "é\n\n x"):
+        assert encode([x])[0].tolist() == encode.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_packed_documents(spark):
+    """Checksums and token counts of every piece, gapless sequences and little padding, on texts of many lengths."""
+    import zlib
+
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "Gamma", "delta9", "été", "x"]
+    docs = [(i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate(rng.integers(0, 6000, 250))] + [(7, None), (7, None)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packed_documents(spark.createDataFrame(docs, DOC).withColumn("offset", F.lit(1)), path).toPandas()
+    tokenizer = Encoder(path).tokenizer
+    for i, x in docs[:250]:
+        ids = np.array([*tokenizer.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        mine = rows[(rows["doc_id"] == i) & (rows["doc_tokens"] == len(ids))].sort_values("start")
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine["start"], mine["length"])] == mine["ids_crc32"].tolist()
+        assert mine["length"].sum() == len(ids)
+    assert len(rows[(rows["doc_id"] == 7) & (rows["doc_tokens"] == 1)]) >= 2
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all() and g["length"].sum() <= 4096
+    assert rows["length"].sum() > 0.98 * 4096 * rows["sequence_id"].nunique()
+
+
 def test_differencing_levels_parts():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 900, 500)

@@ -8,8 +8,8 @@ the two partitions of the largest spread are merged again and again, the fullest
 the emptiest of the other. k begins at the least number that could hold the tokens and rises whenever a
 window exceeds the capacity.
 
-Batches hold a few thousand pieces however large the corpus, and ids never leave the task that made
-them unless a caller keeps their column.
+Pieces are written and counted first, so that batches hold a few thousand of them however many documents or ids there
+are; the ids themselves never leave the task that made them unless a caller keeps their column.
 
 Defined results: a null text is empty, so its document is the end id alone; repeated rows are documents of their
 own; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -18,76 +18,183 @@ own; an empty table gives an empty result; other columns are ignored, whatever t
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import slices
+from .common import written
+from .textkit import codepoints, slices
 
 PIECES_A_BATCH = 3000
-CACHED_WORDS = 200_000
+#: Parts whose ids a task keeps, characters of a part worth keeping, and characters that are encoded at a time.
+CACHED_PARTS, CACHED_CHARS = 400_000, 64
+RUN_CHARS = 1 << 21
 FINE_EVERY, FINE_FLOOR = 8, 8
-_ODD = re.compile("<\\||[\x1c-\x1f]")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#*&()]*)")
-_LOADED: dict = {}
+_GAP = re.compile("[ \t-\r]")
+_ODD = re.compile("[\x00-\x1f'<\x7f-\xa0\xad\u0130\u0180-\U0010ffff]")
 
+#: The steps of a tokenizer that works on parts of white-space words, as its file names them.
+NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END_OF_WORD = "</w>"
 
-class WordEncoder:
-    """Ids of texts under a tokenizer whose ids of a text are those of its words in a row.
 
-    Words between white space are encoded once and kept. One of plain Latin letters and a tail of punctuation is
-    put together from those two, in lower case as the tokenizer has it; such parts are encoded many at a time and told
-    apart by the mark that ends a part. Texts that hold the start of a special token, or separators on which
-    definitions of white space differ, are encoded whole.
+@cache
+def _plain() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each code point (0 white space, 1 letter, 2 digit, 3 other, 4 not plain) and its lower case.
+
+    Plain are those up to U+017F on whose kind and lower case all versions of Unicode agree; an apostrophe is not, as it may
+    begin a contraction.
+    """
+    kind = np.full(0x110000, 4, np.uint8)
+    low = np.arange(0x110000, dtype=np.uint32)
+    for cp in range(0x180):
+        c = chr(cp)
+        sort = unicodedata.category(c)
+        if 0x09 <= cp <= 0x0D or cp == 0x20:
+            kind[cp] = 0
+        elif not (sort[0] in "CZ" or c in "'\u0130"):
+            kind[cp] = 1 if sort[0] == "L" else 2 if sort[0] == "N" else 3
+            low[cp] = ord(c.lower())
+    return kind, low
+
+
+def _by_parts(path: str) -> bool:
+    """Whether the tokenizer's ids of a text are those of its white-space words, and of these the letter runs, digits and other runs."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = (made.get("normalizer") or {}).get("normalizers", [])
+    cut = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [(x["type"], x.get("pattern", {}).get("Regex")) for x in steps] == NORMALIZER
+        and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+        and (cut[0]["pattern"].get("Regex"), cut[0]["behavior"], cut[0]["invert"]) == (SPLIT, "Removed", True)
+        and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"])
+        and (made["model"]["type"], made["model"].get("end_of_word_suffix"), made["model"].get("dropout")) == ("BPE", END_OF_WORD, None)
+        and not any(re.search("\\s", x["content"]) or not x["content"].startswith("<|") for x in made.get("added_tokens", []))
+    )
+
+
+class Encoder:
+    """Ids of many texts at once.
+
+    Under a tokenizer that works on parts of white-space words, the texts are cut into such parts by array operations, and each
+    distinct part is encoded once and kept; ids of occurrences are taken from the kept ones. A word that holds a character
+    which is not plain, or the start of a special token, is one part in its own spelling. Under any other tokenizer, texts are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {"": b""}
-        vocabulary = self.tokenizer.get_vocab()
+        self.tokenizer, self.by_parts = Tokenizer.from_file(path), _by_parts(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        raw = self._encode([" ".join(parts)])[0]
-        cut = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()]
-        return [raw[a:b] for a, b in zip(cut, cut[1:])] if len(cut) == len(parts) + 1 else self._encode(parts)
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                new = set(words)
-            if len(self.parts) > CACHED_WORDS:
-                self.parts = {"": b""}
-            plain = [(w, m[1].lower(), m[2]) for w, m in zip(new, map(_PLAIN.fullmatch, new)) if m]
-            if parts := list({x for _, *pair in plain for x in pair}.difference(self.parts)):
-                self.parts.update(zip(parts, self._encode_parts(parts)))
-            self.known.update((w, self.parts[a] + self.parts[b]) for w, a, b in plain)
-            if rest := list(new.difference(self.known)):
-                self.known.update(zip(rest, self._encode(rest)))
-        return b"".join(map(self.known.__getitem__, words))
-
-
-def encoder(path: str) -> WordEncoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+        if self.by_parts:
+            # plain parts are in lower case and composed, and come one to a word: the other steps would leave them as they are
+            from tokenizers import pre_tokenizers
+
+            self.of_plain = Tokenizer.from_file(path)
+            self.of_plain.normalizer = None
+            self.of_plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each."""
+        got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Keep the ids of parts that are not known; plain ones are encoded in a row and told apart by the mark that ends a part."""
+        body = " ".join(parts)
+        plain, odd = (parts, []) if not _ODD.search(body) else ([x for x in parts if not _ODD.search(x)], [x for x in parts if _ODD.search(x)])
+        ids = np.array(self.of_plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) == len(plain):
+            size = np.diff(stop, prepend=0)
+        else:
+            ids, size = self._whole(plain)
+        more, more_size = self._whole(odd)
+        size = np.concatenate([size, more_size])
+        self.known.update(zip(plain + odd, range(len(self.size), len(self.size) + len(size))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids, more]), np.concatenate([self.size, size])
+
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kinds, low = _plain()
+        cps, at = codepoints(texts)
+        kind = kinds[cps]
+        solid = kind != 0
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        odd = kind == 4
+        odd[:-1] |= (cps[:-1] == 60) & (cps[1:] == 124)
+        change = kind[1:] != kind[:-1]
+        change |= kind[1:] == 2
+        if odd.any():
+            begin = np.flatnonzero(first)
+            spoilt = np.logical_or.reduceat(odd, begin)
+            odd = np.repeat(spoilt, np.diff(np.append(begin, len(cps)))) if len(begin) else odd[:0]
+            odd = np.concatenate([np.zeros(len(cps) - len(odd), bool), odd])
+            change &= ~odd[1:]
+            cps = np.where(odd, cps, low[cps])
+        else:
+            cps = low[cps]
+        first[1:] |= change & solid[1:]
+        begin = np.flatnonzero(first)
+        owner = np.searchsorted(begin, at)
+        width = solid.astype(np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += cps >= least
+        ends = np.cumsum(width, dtype=np.int64)
+        bounds = np.append(ends[begin] - width[begin], ends[-1:])
+        raw = cps[solid].tobytes().decode("utf-32-le").encode()
+        parts = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [x for x in distinct if x not in self.known]:
+            self._learn(new)
+        row = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))[parts.indices.to_numpy()]
+        size = self.size[row]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[row] - upto[:-1], size) + np.arange(upto[-1])]
+        if len(self.known) > CACHED_PARTS or len(self.ids) > CACHED_PARTS * CACHED_CHARS:
+            self._forget()
+        return ids, np.diff(upto[owner])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each. A long text is encoded in runs cut at white space."""
+        if not self.by_parts:
+            return self._whole(texts)
+        if sum(map(len, texts)) <= RUN_CHARS:
+            return self._run(texts)
+        ids, sizes = [], []
+        for text in texts:
+            at, n = 0, 0
+            while at < len(text) or not at:
+                gap = _GAP.search(text, at + RUN_CHARS) if len(text) - at > RUN_CHARS else None
+                to = gap.start() if gap else max(1, len(text))
+                got, _ = self._run([text[at:to]])
+                ids.append(got)
+                at, n = to, n + len(got)
+            sizes.append(n)
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cuts(n: int, capacity: int, fine: bool) -> list[int]:
@@ -101,28 +208,39 @@ def cuts(n: int, capacity: int, fine: bool) -> list[int]:
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """(id_col, start, length, doc_tokens, ids, spot): the pieces of each document with their little-endian ids."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches):
         encode, spot, nth = encoder(tokenizer), TaskContext.get().partitionId() << 34, 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                out = {k: [] for k in ("id", "start", "length", "doc_tokens", "ids", "spot")}
-                for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    ids = encode(text or "") + end
-                    start, nth = 0, nth + 1
-                    for length in cuts(len(ids) // 4, capacity, nth % FINE_EVERY == 0):
-                        for k, v in zip(out, (key, start, length, len(ids) // 4, ids[4 * start : 4 * (start + length)], spot)):
-                            out[k].append(v)
-                        start, spot = start + length, spot + 1
-                kinds = (part.schema.field("id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+            for part in slices(batch, "text", RUN_CHARS):
+                ids, sizes = encode([t or "" for t in part.column("text").to_pylist()])
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
+                lengths = [cuts(int(n), capacity, (nth + i) % FINE_EVERY == 0) for i, n in enumerate(sizes, 1)]
+                nth += len(lengths)
+                many = np.array([len(x) for x in lengths])
+                length = np.concatenate([np.array(x, np.int64) for x in lengths])
+                end = np.cumsum(length)
+                start = end - length - np.repeat(np.cumsum(sizes) - sizes, many)
+                owner = pa.array(np.repeat(np.arange(len(many)), many))
+                held = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.append(0, 4 * end).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(owner), pa.array(start), pa.array(length), pa.array(np.repeat(sizes, many)), held.cast(pa.binary()), pa.array(spot + np.arange(len(length)))],
+                    ["id", "start", "length", "doc_tokens", "ids", "spot"],
+                )
+                spot += len(length)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(rows, f"id {kind}, start long, length long, doc_tokens long, ids binary, spot long").withColumnRenamed("id", id_col)
 
 
+def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
+    """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of docs in its sequence."""
+    pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
+    pieces = written(pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "spot"), "pieces")
+    return pack(pieces, pieces.count(), capacity)
+
+
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
     """The part, of k, of each size under multiway differencing."""
     n = len(sizes)
@@ -177,7 +295,7 @@ def windows_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, n_pieces: int, capacity: int = 4096) -> DataFrame:
-    """pieces (with length and spot) with sequence_id and offset; n_pieces, about their number, sets the number of batches."""
+    """pieces (with length and spot) with sequence_id and offset; n_pieces, their number, sets the number of batches."""
     batches = max(1, -(-n_pieces // PIECES_A_BATCH))
 
     def packed(rows: pa.Table) -> pa.Table:

@@ -50,12 +50,9 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .packing import pack, token_pieces
+    from .packing import packed_documents
 
-    docs = table(spark, sf_dir, "documents")
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "spot")
-    return pack(pieces, docs.count())
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
