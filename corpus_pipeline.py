@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tremorlake.llm.common import table, written
 from tremorlake.llm.decontamination import benchmark_hits
 from tremorlake.llm.jaccard_join import ngram_jaccard_join
-from tremorlake.llm.packing import pack, token_pieces
+from tremorlake.llm.packing import packed_documents
 from tremorlake.llm.substring_dedup import substring_dedup
 from tremorlake.llm.toxicity import SAMPLE_ROWS, fit, labelled_sample, score, split_of
 
@@ -51,9 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 4096 ids."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "spot")
-    return pack(pieces, docs.count())
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
