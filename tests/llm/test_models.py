@@ -43,6 +43,38 @@ def test_forward_backward_sums_over_all_paths():
     assert np.isclose(moved[0, 1], sum(w * sum((a, b) == (0, 1) for a, b in zip(s, s[1:])) for s, w in weight.items()) / z)
 
 
+def test_long_chains_are_passed_over_in_blocks(monkeypatch):
+    from tremorlake.llm import quality as q
+
+    rng = np.random.default_rng(2)
+    off = np.array([0, 3, 900, 901, 4000])
+    e, t = rng.standard_normal(4000) * 4, rng.standard_normal((2, 2)) * 2
+    p, moved = Chain(off).marginals(e, t)
+    monkeypatch.setattr(q, "LONG", 10)
+    again, moved_again = Chain(off).marginals(e, t)
+    assert np.allclose(p, again) and np.allclose(moved, moved_again)
+
+
+def test_lines_of_half_good_texts(spark):
+    """Labels of texts only: lines of either kind are told apart within a text, and switches are learned."""
+    rng = np.random.default_rng(3)
+    words = "the cat and other small animals walked along a quiet river while it rained".split()
+    good = lambda: " ".join(rng.choice(words, rng.integers(8, 16))).capitalize() + "."
+    bad = lambda: "".join(rng.choice(list("#$%&*=+01 "), rng.integers(20, 60)))
+    docs, labels = [], []
+    for i in range(240):
+        kind = i % 3
+        lines = [good() for _ in range(6)] if kind == 0 else [bad() for _ in range(6)] if kind == 1 else [good() for _ in range(5)] + [bad() for _ in range(5)]
+        docs.append((i, "\n".join(lines), None))
+        labels.append((i, 0, int(kind == 0)))
+    docs.append((999, "\n".join(["."] * 300_000), None))
+    out = quality(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)).toPandas().set_index("doc_id")
+    halves = out.loc[[i for i in range(240) if i % 3 == 2], "bad_lines"]
+    assert (halves == 5).mean() > 0.8 and halves.between(3, 7).all()
+    assert (out.loc[[i for i in range(240) if i % 3 == 0], "bad_lines"] == 0).mean() > 0.9
+    assert len(out) == 241 and out.loc[999, "bad_lines"] >= 0
+
+
 def test_words_are_letter_runs():
     w = _Words(["Ab, cé2d", "", "中 x"])
     assert w.off.tolist() == [0, 3, 3, 5] and w.size.tolist() == [2, 2, 1, 1, 1] and w.start.tolist() == [0, 4, 7, 0, 2]

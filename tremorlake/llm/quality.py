@@ -5,11 +5,15 @@ itself and of the lines before and after it; forward-backward marginals give eac
 being good, their mean weighted by line length is the text's, and a logistic curve fitted to
 the labels turns it into the score.
 
-It is fitted on a bounded sample: SAMPLE_ROWS labelled rows, whole texts, chosen by a hash of the id; the lines of a
-text carry its label. Every text is scored whole.
+It is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows of SAMPLE_SIZE together, whole texts, chosen by a hash of
+the id; a text's size is its bytes and LINE_SIZE for each line. Labels are known of texts, not of lines: the lines of a text begin
+with its label, and in ROUNDS of fitting each takes the label that the field finds likelier, but for the share LEAST of its text's
+length that speaks most for the text's own label. So a text may hold lines of both kinds, and the field learns switches. Every text is
+scored whole; long ones are passed over in blocks at once, with the blocks' transfer matrices in between.
 
 Defined results: a null or empty text is one empty line; rows with null labels or ids are not learned
-from; repeated rows get equal scores; without both labels in the sample every score is the share of label 1;
+from, nor texts over a sixteenth of SAMPLE_SIZE; repeated rows get equal scores and count once in the sample; ties of the hash go by
+label and text; without both labels in the sample every score is the share of label 1;
 an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -25,7 +29,11 @@ from .textkit import codepoints, slices
 from .toxicity import labelled_sample, split_of
 
 SAMPLE_ROWS = 6000
-STEPS = 120
+SAMPLE_SIZE, LINE_SIZE = 40 << 20, 100
+#: Steps of the first round of fitting and of each later one; the share of a text's length that keeps its label.
+STEPS, LATER_STEPS, ROUNDS, LEAST = 100, 25, 3, 0.25
+#: Lines from which on a text is passed over in blocks.
+LONG = 2048
 #: Kinds of characters; the rest are letters without case.
 UPPER, LOWER, OTHER, DIGIT, BLANK, STOP, SYMBOL = range(7)
 
@@ -96,49 +104,91 @@ class Lines:
                 self.size == 0,
             ]
         ).astype(np.float32) if len(start) else np.zeros((0, 16), np.float32)
-        first, last = np.zeros(len(x), bool), np.zeros(len(x), bool)
-        first[self.off[:-1]], last[self.off[1:] - 1] = True, True
-        before, after = np.roll(x, 1, 0), np.roll(x, -1, 0)
-        before[first], after[last] = x[first], x[last]
-        self.x = np.hstack([x, before, after, np.column_stack([first, last]).astype(np.float32)])
+        self.own = x
 
+    @property
+    def x(self) -> np.ndarray:
+        return with_neighbours(self.own, self.off)
 
-def _soft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
 
+def with_neighbours(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Features of each line, of the lines before and after it in its text, and whether it is the first or last one."""
+    first, last = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    first[off[:-1]], last[off[1:] - 1] = True, True
+    before, after = np.roll(x, 1, 0), np.roll(x, -1, 0)
+    before[first], after[last] = x[first], x[last]
+    return np.hstack([x, before, after, np.column_stack([first, last]).astype(np.float32)])
 
-class Chain:
-    """Forward and backward passes over all chains at once, one position after another."""
+
+class _Pass:
+    """Log odds of state 1 at every place of many chains, given the places up to it. Long chains are cut into blocks."""
 
     def __init__(self, off: np.ndarray):
         size = np.diff(off)
-        order = np.argsort(-size, kind="stable")
-        self.begin, self.size = off[:-1][order], size[order]
-        steps = int(self.size[0]) if len(size) else 0
-        self.active = np.searchsorted(-self.size, -np.arange(steps), "left")
+        step = np.where(size > LONG, np.ceil(np.sqrt(size)), np.maximum(size, 1)).astype(np.int64)
+        many = -(-size // step)
+        chain = np.repeat(np.arange(len(size)), many)
+        head = np.cumsum(many) - many
+        begin = off[chain] + (np.arange(len(chain)) - head[chain]) * step[chain]
+        self.begin, self.size = begin, np.minimum(step[chain], off[chain + 1] - begin)
+        self.order = np.argsort(-self.size, kind="stable")
+        self.long = [(int(head[c]), int(many[c])) for c in np.flatnonzero(many > 1)]
+        longest = int(self.size.max()) if len(self.size) else 0
+        self.active = np.searchsorted(-self.size[self.order], -np.arange(longest), "left")
+
+    def _entries(self, e: np.ndarray, t: np.ndarray, a: int, n: int) -> np.ndarray:
+        """Log odds just before each of the n blocks from a on, by products of the blocks' transfer matrices."""
+        begin, out = self.begin[a : a + n - 1], np.full(n, np.nan)
+        product, move = np.tile(np.eye(2), (n - 1, 1, 1)), np.exp(t - t.max()).T
+        for k in range(int(self.size[a])):
+            one = e[begin + k]
+            tilt = np.exp(np.column_stack([-np.maximum(one, 0), np.minimum(one, 0)]))
+            now = tilt[:, :, None] * move
+            if not k:
+                now[0] = np.diag(tilt[0])
+            product = now @ product
+            product /= product.max((1, 2), keepdims=True)
+        v = np.ones(2)
+        for i in range(n - 1):
+            v = product[i] @ v
+            v = np.maximum(v / v.sum(), 1e-300)
+            out[i + 1] = np.log(v[1] / v[0])
+        return out
+
+    def odds(self, e: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out, entry = np.empty(len(e)), np.full(len(self.begin), np.nan)
+        for a, n in self.long:
+            entry[a : a + n] = self._entries(e, t, a, n)
+        begin, now = self.begin[self.order], entry[self.order]
+        for k, m in enumerate(self.active):
+            none = np.isnan(now[:m])  # the beginnings of chains
+            p = np.where(none, 0, now[:m])
+            moved = np.where(none, 0, np.logaddexp(t[0, 1], p + t[1, 1]) - np.logaddexp(t[0, 0], p + t[1, 0]))
+            now = e[begin[:m] + k] + moved
+            out[begin[:m] + k] = now
+        return out
+
+
+class Chain:
+    """Forward and backward passes over all chains at once."""
+
+    def __init__(self, off: np.ndarray):
+        self.ahead, self.back = _Pass(off), _Pass(off[-1] - off[::-1])
+        inner = np.ones(int(off[-1]), bool)
+        inner[off[:-1][np.diff(off) > 0]] = False
+        self.inner = np.flatnonzero(inner)
 
     def marginals(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of state 1 of each line, e its log odds; expected transitions under t, log scores."""
-        f, b = np.zeros((len(e), 2)), np.zeros((len(e), 2))
-        for k, m in enumerate(self.active):
-            at = self.begin[:m] + k
-            if k:
-                p = f[at - 1]
-                f[at, 0] = _soft(p[:, 0] + t[0, 0], p[:, 1] + t[1, 0])
-                f[at, 1] = _soft(p[:, 0] + t[0, 1], p[:, 1] + t[1, 1])
-            f[at, 1] += e[at]
-        moved = np.zeros((2, 2))
-        for k in range(len(self.active) - 1, 0, -1):
-            at = self.begin[: self.active[k]] + k
-            s0, s1 = b[at, 0], b[at, 1] + e[at]
-            b[at - 1, 0] = _soft(s0 + t[0, 0], s1 + t[0, 1])
-            b[at - 1, 1] = _soft(s0 + t[1, 0], s1 + t[1, 1])
-            total = _soft(f[at - 1, 0] + b[at - 1, 0], f[at - 1, 1] + b[at - 1, 1])
-            for i in (0, 1):
-                for j, s in ((0, s0), (1, s1)):
-                    moved[i, j] += np.exp(f[at - 1, i] + t[i, j] + s - total).sum()
-        both = f + b
-        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -40, 40))), moved
+        f = self.ahead.odds(e, t)
+        b = self.back.odds(e[::-1], t.T)[::-1]
+        at = self.inner
+        pair = np.empty((2, 2, len(at)))
+        pair[:] = t[:, :, None]
+        pair[1] += f[at - 1]
+        pair[:, 1] += b[at]
+        pair = np.exp(pair - pair.max((0, 1)))
+        return 1 / (1 + np.exp(-np.clip(f + b - e, -40, 40))), (pair / pair.sum((0, 1))).sum(2)
 
 
 def _mean(p: np.ndarray, lines: Lines) -> np.ndarray:
@@ -152,6 +202,22 @@ def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def relabelled(p: np.ndarray, y: np.ndarray, lines: Lines) -> np.ndarray:
+    """Label of each line: the likelier under p, but that of its text for those lines of LEAST of its length that fit that label best."""
+    many = np.diff(lines.off)
+    text = np.repeat(np.arange(len(y)), many)
+    own = y[text]
+    fits = np.where(own > 0, p, 1 - p)
+    order = np.lexsort((-fits, text))
+    weight = (lines.size + 1.0)[order]
+    upto = np.cumsum(weight) - weight
+    begin = lines.off[:-1]
+    total = np.add.reduceat(weight, begin) if len(begin) else begin
+    kept = np.zeros(len(p), bool)
+    kept[order] = upto - np.repeat(upto[begin], many) < LEAST * np.repeat(total, many)
+    return np.where(kept, own, (p >= 0.5).astype(float))
+
+
 def fit(sample: DataFrame) -> dict:
     """Weights from rows (text, y); features are made where the rows are, the chain is fitted on the driver."""
 
@@ -159,8 +225,8 @@ def fit(sample: DataFrame) -> dict:
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines([t or "" for t in part.column("text").to_pylist()])
-                x, off = lines.x, lines.off
-                made = [x[a:b].astype(np.float32).tobytes() for a, b in zip(off[:-1], off[1:])]
+                off = lines.off
+                made = [lines.own[a:b].tobytes() for a, b in zip(off[:-1], off[1:])]
                 sizes = [lines.size[a:b].astype(np.int64).tobytes() for a, b in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(made, pa.binary()), pa.array(sizes, pa.binary())], ["y", "x", "size"])
 
@@ -171,23 +237,26 @@ def fit(sample: DataFrame) -> dict:
     lines = Lines([])
     lines.size = np.concatenate([np.frombuffer(s, np.int64) for s in rows["size"]])
     lines.off = np.concatenate([[0], np.cumsum([len(s) // 8 for s in rows["size"]])])
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(lines.size), -1).astype(np.float64)
+    lines.own = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(lines.size), -1)
+    x = lines.x.astype(np.float64)
     mean, spread = x.mean(0), x.std(0) + 1e-6
     x = np.clip((x - mean) / spread, -5, 5)
     target = np.repeat(y, np.diff(lines.off))
     chain, n = Chain(lines.off), len(y)
-    inner = np.ones(len(target), bool)
-    inner[lines.off[:-1]] = False
-    at = np.flatnonzero(inner)
-    seen = np.bincount((2 * target[at - 1] + target[at]).astype(int), minlength=4).reshape(2, 2).astype(float)
     w = np.zeros(x.shape[1] + 5)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        p, moved = chain.marginals(x @ w[:-5] + w[-5], w[-4:].reshape(2, 2))
-        g = np.concatenate([x.T @ (p - target), [(p - target).sum()], (moved - seen).ravel()]) / n + 1e-3 * w
-        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-    p, _ = chain.marginals(x @ w[:-5] + w[-5], w[-4:].reshape(2, 2))
+    for nth in range(ROUNDS):
+        seen = np.bincount((2 * target[chain.inner - 1] + target[chain.inner]).astype(int), minlength=4).reshape(2, 2).astype(float)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, (LATER_STEPS if nth else STEPS) + 1):
+            p, moved = chain.marginals(x @ w[:-5] + w[-5], w[-4:].reshape(2, 2))
+            g = np.concatenate([x.T @ (p - target), [(p - target).sum()], (moved - seen).ravel()]) / n + 1e-3 * w
+            m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+        e = x @ w[:-5] + w[-5]
+        # the first round has seen no switch, so its lines are judged one by one
+        p = chain.marginals(e, w[-4:].reshape(2, 2))[0] if nth else 1 / (1 + np.exp(-np.clip(e, -40, 40)))
+        if nth < ROUNDS - 1:
+            target = relabelled(p, y, lines)
     z, a, b = _odds(_mean(p, lines)), 1.0, 0.0
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -225,6 +294,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted, bad_lines): trained on labelled rows whose crc32(id as text) mod parts is not held."""
     out_of = F.coalesce(split_of("id", parts) == held, F.lit(False))
-    model = fit(labelled_sample(docs, labels, label, out_of, id_col, text_col, SAMPLE_ROWS))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    model = fit(labelled_sample(docs, labels, label, out_of, id_col, text_col, SAMPLE_ROWS, SAMPLE_SIZE, F.octet_length("text") + LINE_SIZE * n_lines))
     rows = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
     return rows.select(F.col("id").alias(id_col), out_of.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "bad_lines")

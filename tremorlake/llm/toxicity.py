@@ -1,33 +1,33 @@
 """Toxicity of texts: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams of a lower-cased text, hashed. Each is scaled by the log ratio
-of its smoothed frequencies in texts of either label, and a logistic regression is fitted to the scaled
-features. It is fitted on a bounded sample: SAMPLE_ROWS labelled rows, whole texts, chosen by a hash of the id. Their
-counts are added up by Spark over a fixed number of buckets, and the FEATURES that tell the labels
-apart best go into the regression.
+of its smoothed frequencies in texts of either label, and a logistic regression is fitted to all the scaled
+features. It is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows of SAMPLE_BYTES together, whole texts, chosen
+by a hash of the id. Their counts are added up by Spark over a fixed number of buckets; the sample is dealt to groups of about
+GROUP_BYTES, each group fits its weights in one task, and the model has their mean, weighted by rows. A sample of
+one group is thus fitted as a whole.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; rows with null
-labels, and ids that are null, are not learned from; repeated rows get equal scores; an id with several labels is learned
-as each; without both labels in the sample every score is the share of label 1; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+labels, and ids that are null, are not learned from; nor are texts over a sixteenth of SAMPLE_BYTES, which are scored whole like
+any other; repeated rows get equal scores and count once in the sample; an id with several labels or texts is learned
+as each; ties of the hash go by label and text; without both labels in the sample every score is the share of label 1; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textkit import codepoints, grams, slices
 
 SAMPLE_ROWS = 12_000
-FEATURES = 4096
+SAMPLE_BYTES, GROUP_BYTES = 40 << 20, 10 << 20
 SIZES = (3, 4, 5)
 BITS = 20
-#: Least chi-square, with one degree of freedom, of a feature.
-LEAST_CHI2 = 12.0
-STEPS = 150
+STEPS, RATE, PENALTY = 60, 0.02, 0.01
 
 
 def split_of(id_col: str, parts: int) -> Column:
@@ -35,28 +35,39 @@ def split_of(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(id, text, y) of at most rows labelled rows that held leaves for training, chosen by a hash of the id."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held)
-    chosen = chosen.orderBy(F.xxhash64("id"), "y").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, id_col: str, text_col: str, rows: int, size: int, cost: Column | None = None) -> DataFrame:
+    """(id, text, y, upto) of at most rows labelled rows of size together that held leaves for training, chosen by a hash of the id.
 
-def _features(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of the distinct n-grams of each text, of those set in among if given."""
+    The size of a row is cost, by default the bytes of its text; rows over a sixteenth of size are left out. upto is the
+    size of all chosen rows up to this one, itself included. Rows equal in id, label and text count once.
+    """
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held)
+    chosen = chosen.distinct().orderBy(F.xxhash64("id"), "y").limit(rows)
+    met = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    met = met.withColumn("h", F.xxhash64("text"))
+    cost = F.octet_length("text") + 1 if cost is None else cost
+    keys = met.select("id", "y", "h", cost.cast("long").alias("n")).where(F.col("n") <= size // 16).groupBy("id", "y", "h").agg(F.min("n").alias("n"))
+    keys = keys.orderBy(F.xxhash64("id"), "y", "h").limit(rows)
+    keys = keys.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("id"), "y", "h"))).where(F.col("upto") <= size)
+    return met.join(F.broadcast(keys.drop("n")), ["id", "y", "h"]).dropDuplicates(["id", "y", "h"]).select("id", "text", "y", "upto")
+
+
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the distinct n-grams of each text, in order."""
     cps, at = codepoints([f" {t.lower()}" for t in texts], " ")
     cps = np.where(cps == 10, 32, cps).astype(np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(cps))
-    found = []
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64) << BITS, np.diff(at))
+    found = [np.zeros(0, np.int64)]
     for n in SIZES:
         g = grams(cps, n, BITS)
-        ok = left[: len(g)] >= n
-        if among is not None:
-            ok &= among[g]
-        ok = np.flatnonzero(ok)
-        found.append((owner[ok].astype(np.int64) << BITS) | g[ok])
-    keys = np.unique(np.concatenate(found))
+        inner = np.ones(len(g), bool)
+        for j in range(1, n):
+            leaves = at[1:] - j
+            inner[leaves[(leaves >= 0) & (leaves < len(g))]] = False
+        found.append((owner[: len(g)] | g)[inner])
+    keys = np.concatenate(found)
+    keys.sort()
+    keys = keys[np.diff(keys, prepend=-1) != 0]
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
@@ -64,16 +75,17 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Texts of either label by bucket, and in all."""
 
     def counted(batches):
+        counts, total = np.zeros((1 << BITS) * 2, np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 y = part.column("y").to_numpy()
-                row, bucket = _features([t or "" for t in part.column("text").to_pylist()])
-                both = np.bincount(bucket * 2 + y[row], minlength=2)
-                at = np.flatnonzero(both)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["key", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([int((y == 0).sum()), int((y == 1).sum())])], ["key", "n"])
+                row, bucket = _features(part.column("text").to_pylist())
+                counts += np.bincount(bucket * 2 + y[row], minlength=len(counts))
+                total += np.bincount(y, minlength=2)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([counts[at], total]))], ["key", "n"])
 
-    got = sample.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1 OR key < 0").toPandas()
+    got = sample.select("text", "y").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts, total = np.zeros((1 << BITS, 2)), np.zeros(2)
     key, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     for side in (0, 1):
@@ -82,53 +94,49 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts, total
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sparse x, by Adam on the whole of it."""
-    w, b = np.zeros(width), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
+def _logistic(size: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on sparse rows of size features each, by Adam on the whole of it."""
+    w, b = np.zeros(width, np.float32), prior
+    m, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
+    full = np.flatnonzero(size)
+    begin = (np.cumsum(size) - size)[full]
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, x * w[col], len(y)) + b
+        z = np.full(len(y), b)
+        if len(full):
+            z[full] += np.add.reduceat(x * w[col], begin, dtype=np.float64)
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(col, x * off[row], width) + penalty * w, off.sum())
+        g = np.append(np.bincount(col, x * np.repeat(off.astype(np.float32), size), width).astype(np.float32) + PENALTY * w, np.float32(off.sum()))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        d = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - d[:-1], b - d[-1]
+        d = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w, b = w - d[:-1], b - float(d[-1])
     return w, b
 
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
-    """Weight of each bucket, and the intercept, from rows (text, y)."""
-    sample = sample.select("text", "y")
+    """Weight of each bucket, and the intercept, from rows (text, y, upto)."""
     counts, total = _counts(sample)
-    weight = np.zeros(1 << BITS, np.float32)
     if not total.all():
         share = total[1] / total.sum() if total.sum() else 0.0
-        return weight, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        return np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     ratio = np.log((counts[:, 1] + 1) / (total[1] + 2)) - np.log((counts[:, 0] + 1) / (total[0] + 2))
-    seen, every = counts.sum(1), total.sum()
-    expected = seen * total[1] / every
-    chi2 = np.where(seen > 1, (counts[:, 1] - expected) ** 2 / np.maximum(expected * (1 - total[1] / every) * (1 - seen / every), 1e-9), 0)
-    best = np.argsort(-chi2, kind="stable")[:FEATURES]
-    best = np.sort(best[chi2[best] >= LEAST_CHI2])
-    among = np.zeros(1 << BITS, bool)
-    among[best] = True
-
-    def chosen(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, bucket = _features([t or "" for t in part.column("text").to_pylist()], among)
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], ["y", "buckets"])
-
-    rows = sample.mapInArrow(chosen, "y int, buckets array<int>").toPandas()
-    size = rows["buckets"].map(len).to_numpy()
-    if len(best) and size.sum():
-        col = np.searchsorted(best, np.concatenate(rows["buckets"].to_list()))
-        w, b = _logistic(np.repeat(np.arange(len(rows)), size), col, ratio[best][col], rows["y"].to_numpy(float), len(best))
-        weight[best] = w * ratio[best]
-    else:
-        b = float(np.log(total[1] / total[0]))
-    return weight, b
+    prior = float(np.log(total[1] / total[0]))
+    sent = sample.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+
+    def group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("upto")
+        size, col = [], []
+        for part in slices(rows, "text"):
+            row, bucket = _features(part.column("text").to_pylist())
+            size.append(np.bincount(row, minlength=part.num_rows))
+            col.append(bucket.astype(np.int32))
+        col = np.concatenate(col)
+        w, b = _logistic(np.concatenate(size), col, sent.value[col], rows["y"].to_numpy().astype(float), 1 << BITS, prior)
+        return pa.table({"n": [rows.num_rows], "b": [b], "w": [(w * sent.value).tobytes()]})
+
+    dealt = sample.select("text", "y", "upto", F.floor((F.col("upto") - 1) / GROUP_BYTES).alias("g"))
+    fitted = dealt.groupBy("g").applyInArrow(group, "n long, b double, w binary").collect()
+    n = sum(r.n for r in fitted)
+    return sum(np.frombuffer(r.w, np.float32) * (r.n / n) for r in fitted).astype(np.float32), sum(r.b * r.n / n for r in fitted)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
@@ -137,10 +145,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
     def scored(batches):
         weight, b = sent.value
-        among = weight != 0
         for batch in batches:
             for part in slices(batch, text_col):
-                row, bucket = _features([t or "" for t in part.column(text_col).to_pylist()], among)
+                row, bucket = _features([t or "" for t in part.column(text_col).to_pylist()])
                 z = np.bincount(row, weight[bucket], part.num_rows) + b
                 yield part.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
 
@@ -150,6 +157,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", parts: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted): trained on labelled rows whose crc32(id as text) mod parts is not held."""
     out_of = F.coalesce(split_of("id", parts) == held, F.lit(False))
-    model = fit(labelled_sample(docs, labels, label, out_of, id_col, text_col, SAMPLE_ROWS))
+    model = fit(labelled_sample(docs, labels, label, out_of, id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES))
     rows = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
     return rows.select(F.col("id").alias(id_col), out_of.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
