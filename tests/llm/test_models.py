@@ -31,6 +31,30 @@ def test_viterbi_paths():
         assert tuple(got[a:b]) == by_force(scores[a:b], 2.0)
 
 
+def test_viterbi_of_long_texts_in_blocks(monkeypatch):
+    from tremorlake.llm import language_id as m
+
+    rng = np.random.default_rng(5)
+    scores = (rng.standard_normal((3000, 5)) * 6).astype(np.float32)
+    scores[:, 1:][rng.random((3000, 4)) < 0.1] = -np.inf
+    off = np.array([0, 7, 7, 900, 2999, 3000])
+    want = viterbi(scores, off, 3.0)
+    monkeypatch.setattr(m, "LONG", 20)
+    assert (viterbi(scores, off, 3.0) == want).all()
+
+
+def test_score_falls_without_evidence_and_languages_have_no_limit(spark):
+    words = ["".join(chr(97 + (7 * i + 3 * j * j + i * j) % 26) for j in range(6)) for i in range(130)]
+    rows = [(i, f"{w} {w} {w}", f"l{i:03d}") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows + [(500, "สวัสดีครับ", None), (501, "x " * 20_000 + words[3], None), (2, words[2], "l002"), (2, words[2], "l002")], DOC)
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in language_id(docs.select("doc_id", "text", "lang", F.lit(1).alias("h"))).collect()}
+    learned = [i for i in range(130) if not got[i].held_out]
+    assert all(got[i].lang_pred == f"l{i:03d}" for i in learned) and len(learned) > 90
+    assert got[500].score < 0.02 and got[500].lang_pred.startswith("l")
+
+
 def test_forward_backward_sums_over_all_paths():
     import itertools
 

@@ -3,13 +3,15 @@
 A word is a run of letters of one script. The script, by ranges of code points, leaves those languages that were seen in
 it, and no other can label the word; each is scored by the log probabilities of the word's character n-grams, and a Viterbi
 pass over the words of a text, with a penalty for each switch, labels every word. Words of one label in
-a row are a span; the language of most letters is that of the text.
+a row are a span; the language of most letters is that of the text. Its score is its share of the letters times the probability that
+its own words give it among all languages, so it falls to one in the number of languages where words are no evidence, as in
+a script that no language was seen in. Long texts are passed over in blocks at once, with the best scores across each block in between.
 
-N-gram counts are learned from a bounded sample, SAMPLE_ROWS labelled rows with whole texts, chosen by a hash of
-the id, and of the MOST_LANGS most frequent languages among them.
+N-gram counts are learned from a bounded sample: at most SAMPLE_ROWS labelled rows of SAMPLE_BYTES together, whole texts, chosen by
+a hash of the id; every language among them can be predicted, and memory grows with their number (a quarter of a MB each).
 
-Defined results: a null text, or one without letters, is `und` with score 0 and no spans; repeated rows
-are equal; rows with null ids are predicted but not learned from; with nothing to learn from all
+Defined results: a null text, or one without letters, is `und` with score 0 and no spans; of equally likely languages the first by
+name is taken; repeated rows are equal; rows with null ids are predicted but not learned from; with nothing to learn from all
 is `und`; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -19,13 +21,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .textkit import codepoints, grams, slices
-from .toxicity import labelled_sample, split_of
+from .toxicity import split_of
 
 SAMPLE_ROWS = 12_000
-MOST_LANGS = 100
+SAMPLE_BYTES = 64 << 20
+#: Words from which on a text is passed over in blocks.
+LONG = 4096
 SIZES = (3, 4)
 BITS = 16
 #: Cost of a switch, and the most by which one word can speak against a language.
@@ -124,16 +128,13 @@ class _Words:
         return out
 
 
-def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
-    """The best label of every word, of texts with words off[i] to off[i + 1]; ties stay or take the first label."""
-    size = np.diff(off)
+def _walk(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: float, v: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """The best labels along chains that begin with scores v before their first word, and end in last if given."""
     order = np.argsort(-size, kind="stable")
-    begin, size = off[:-1][order], size[order]
+    begin, size, v = begin[order], size[order], v[order]
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), "left")
-    stay, jump = np.zeros(scores.shape, bool), np.zeros(len(scores), np.uint8)
-    v = np.zeros((len(order), scores.shape[1]), np.float32)
-    ends = np.zeros(len(order), np.int64)
+    stay, jump = np.zeros(scores.shape, bool), np.zeros(len(scores), np.uint16)
     for t in range(steps):
         m = active[t]
         at = begin[:m] + t
@@ -143,8 +144,8 @@ def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
         keep = now >= other
         stay[at], jump[at] = keep, arg
         v[:m] = np.where(keep, now, other) + scores[at]
-    ends = v.argmax(1)
-    label = np.zeros(len(scores), np.uint8)
+    ends = v.argmax(1) if last is None else last[order]
+    label = np.zeros(len(scores), np.uint16)
     for t in range(steps - 1, -1, -1):
         m = active[t]
         at = begin[:m] + t
@@ -154,10 +155,48 @@ def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
+def _blocks(scores: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of one long text: begin, size, the label before each (-1 for none) and the label each ends in."""
+    n, k = scores.shape
+    step = int(np.ceil(np.sqrt(n)))
+    begin = np.arange(0, n, step)
+    size = np.minimum(step, n - begin)
+    best = np.full((len(begin), k, k), -np.inf)  # by block, label before it and label at its end
+    best[:, np.arange(k), np.arange(k)] = 0
+    for t in range(step):
+        m = len(begin) if t < size[-1] else len(begin) - 1
+        now = best[:m]
+        best[:m] = np.maximum(now, now.max(2, keepdims=True) - switch) + scores[begin[:m] + t][:, None]
+    v, back = best[0].max(0), np.zeros((len(begin), k), np.int64)
+    for i in range(1, len(begin)):
+        across = v[:, None] + best[i]
+        back[i] = across.argmax(0)
+        v = across.max(0)
+    last = np.empty(len(begin), np.int64)
+    last[-1] = v.argmax()
+    for i in range(len(begin) - 1, 0, -1):
+        last[i - 1] = back[i, last[i]]
+    return begin, size, np.append(-1, last[:-1]), last
+
+
+def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
+    """The best label of every word, of texts with words off[i] to off[i + 1]; ties stay or take the first label."""
+    size, k = np.diff(off), scores.shape[1]
+    short = size <= LONG
+    label = _walk(scores, off[:-1][short], size[short], switch, np.zeros((int(short.sum()), k)))
+    for a, n in zip(off[:-1][~short], size[~short]):
+        own = scores[a : a + n].astype(np.float64)
+        begin, sizes, before, last = _blocks(own, switch)
+        v = np.full((len(begin), k), -np.inf)
+        v[np.arange(len(begin)), before] = 0
+        v[0] = 0
+        label[a : a + n] = _walk(own, begin, sizes, switch, v, last)
+    return label
+
+
 def fit(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probability of n-gram buckets by language, and scripts by language, from (text, lang)."""
-    langs = [r[0] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()]
-    langs.sort()
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     index = {x: i for i, x in enumerate(langs)}
 
     def counted(batches):
@@ -210,7 +249,13 @@ def predict(docs: DataFrame, model: tuple, switch: float = SWITCH) -> DataFrame:
                 total = share.sum(1)
                 none = (total == 0) | (not langs)
                 best = np.where(none, len(langs), share.argmax(1))
-                score = np.where(none, 0.0, share.max(1) / np.maximum(total, 1))
+                mine = label == best[text]
+                evidence, full = np.zeros((n, width)), np.flatnonzero(np.diff(off))
+                if len(full):
+                    evidence[full] = np.add.reduceat(np.where(mine[:, None], scores, 0), off[full], axis=0, dtype=np.float64)
+                evidence = np.exp(evidence - evidence.max(1, keepdims=True))
+                likely = evidence[np.arange(n), np.minimum(best, width - 1)] / evidence.sum(1)
+                score = np.where(none, 0.0, share.max(1) / np.maximum(total, 1) * likely)
                 new = np.flatnonzero((np.diff(label, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)) if langs else np.zeros(0, np.int64)
                 upto = np.append(new[1:], len(label))[: len(new)] - 1
                 cut = np.searchsorted(text[new], np.arange(n + 1)).astype(np.int32)
@@ -227,8 +272,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, held_out, lang_pred, score, spans): learned from rows whose crc32(id as text) mod parts is not held."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out_of = F.coalesce(split_of("id", parts) == held, F.lit(False))
-    known = rows.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~out_of)
-    chosen = known.select("id", "lang").orderBy(F.xxhash64("id"), "lang").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").where("lang IS NOT NULL")
+    known = rows.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~out_of).withColumn("h", F.xxhash64("text"))
+    keys = known.select("id", "lang", "h", F.octet_length("text").cast("long").alias("n")).where(F.col("n") <= SAMPLE_BYTES // 16)
+    order = [F.xxhash64("id"), F.col("lang"), F.col("h")]
+    keys = keys.orderBy(*order).limit(SAMPLE_ROWS).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = keys.where(F.col("upto") <= SAMPLE_BYTES).select("id", "lang", "h").distinct()
+    sample = known.join(F.broadcast(chosen), ["id", "lang", "h"], "left_semi").dropDuplicates(["id", "lang", "h"])
     out = predict(rows.select("id", "text"), fit(sample.select("text", "lang")))
     return out.select(F.col("id").alias(id_col), out_of.alias("held_out"), "lang_pred", "score", "spans")

@@ -244,16 +244,17 @@ def fit(sample: DataFrame) -> dict:
     target = np.repeat(y, np.diff(lines.off))
     chain, n = Chain(lines.off), len(y)
     w = np.zeros(x.shape[1] + 5)
+    own = np.append(np.arange(x.shape[1]) < lines.own.shape[1], [True, False, False, False, False])
     for nth in range(ROUNDS):
         seen = np.bincount((2 * target[chain.inner - 1] + target[chain.inner]).astype(int), minlength=4).reshape(2, 2).astype(float)
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, (LATER_STEPS if nth else STEPS) + 1):
             p, moved = chain.marginals(x @ w[:-5] + w[-5], w[-4:].reshape(2, 2))
-            g = np.concatenate([x.T @ (p - target), [(p - target).sum()], (moved - seen).ravel()]) / n + 1e-3 * w
+            g = (own if not nth else 1) * np.concatenate([x.T @ (p - target), [(p - target).sum()], (moved - seen).ravel()]) / n + 1e-3 * w
             m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
             w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
         e = x @ w[:-5] + w[-5]
-        # the first round has seen no switch, so its lines are judged one by one
+        # the first round judges lines one by one, as neighbours and switches say little while a text's lines share its label
         p = chain.marginals(e, w[-4:].reshape(2, 2))[0] if nth else 1 / (1 + np.exp(-np.clip(e, -40, 40)))
         if nth < ROUNDS - 1:
             target = relabelled(p, y, lines)
