@@ -44,7 +44,7 @@ def test_viterbi_of_long_texts_in_blocks(monkeypatch):
 
 
 def test_score_falls_without_evidence_and_languages_have_no_limit(spark):
-    words = ["".join(chr(97 + (7 * i + 3 * j * j + i * j) % 26) for j in range(6)) for i in range(130)]
+    words = ["".join(x) for x in np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), (130, 7))]
     rows = [(i, f"{w} {w} {w}", f"l{i:03d}") for i, w in enumerate(words)]
     docs = spark.createDataFrame(rows + [(500, "สวัสดีครับ", None), (501, "x " * 20_000 + words[3], None), (2, words[2], "l002"), (2, words[2], "l002")], DOC)
     from pyspark.sql import functions as F
