@@ -14,8 +14,8 @@ BASE = {
 def graded(spark, *changes):
     rows = [tuple((BASE | c).values()) for c in changes]
     df = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in BASE)).coalesce(1).withColumn("grading_reason", rules.grading_reason())
-    df = df.withColumn("b", rules.basis()).withColumn("group", rules.machine_group())
-    return df.select("grading_reason", "group", "b.limits", "b.source", "b.reason").collect()
+    df = rules.with_basis(df).withColumn("group", rules.machine_group())
+    return df.select("grading_reason", "group", "limits", "source", F.col("basis_reason").alias("reason")).collect()
 
 
 @pytest.mark.parametrize("v, zone", [(1.4, "A"), (1.41, "B"), (2.8, "B"), (2.81, "C"), (4.5, "C"), (4.51, "D"), (None, None)])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Zone limits A/B, B/C, C/D in mm/s by machine group and support, and by pump category and power.
 MACHINE_LIMITS = {
@@ -43,147 +41,157 @@ LEAST_SCALE = {"vel": 0.01, "acc": 0.01, "disp": 1.0, "freq": 1.0, "temp": 0.01}
 IQR_TO_SIGMA, NOTABLE_Z, AXIAL_SHARE, BALANCED = 1.349, 3.0, 0.5, 0.8
 
 
-def _c(name: str) -> Column:
-    return F.trim(F.coalesce(F.col(name), F.lit("")))
+# The rules of machines are written as SQL text, one expression a rule: a plan of many small column objects takes seconds to build.
 
 
-def positive(name: str) -> Column:
-    v = _c(name).try_cast("double")
-    return F.when((v > 0) & (v < float("inf")), v)
+def _t(name: str) -> str:
+    """A text setting without blanks around it, empty where missing."""
+    return f"trim(coalesce({name}, ''))"
 
 
-def _first(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    out = F.when(F.lit(False), otherwise)
-    for when, then in pairs:
-        out = out.when(F.coalesce(when, F.lit(False)), then)
-    return out.otherwise(otherwise)
+def _pos(name: str) -> str:
+    """A number setting, null unless positive and finite."""
+    v = f"try_cast({_t(name)} AS DOUBLE)"
+    return f"CASE WHEN {v} > 0 AND {v} < double('infinity') THEN {v} END"
 
 
-def severity_zone(v: Column, limits: Column) -> Column:
-    """Zone A to D; a limit belongs to the better zone."""
-    return F.when(v <= limits[0], "A").when(v <= limits[1], "B").when(v <= limits[2], "C").when(v.isNotNull() & limits.isNotNull(), "D")
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def zone_margin(v: Column, limits: Column) -> Column:
-    """Distance to the next limit, negative in D."""
-    return F.when(v <= limits[0], limits[0] - v).when(v <= limits[1], limits[1] - v).otherwise(limits[2] - v)
+def _limits(values: tuple) -> str:
+    return "array(" + ", ".join(f"{v}D" for v in values) + ")"
 
 
-def zone_status(zone: Column, custom: Column) -> Column:
-    """Status of a zone; B is attention only under limits of the user's own."""
-    return F.when(zone == "A", "normal").when(zone == "B", F.when(custom, "attention").otherwise("normal")).when(zone == "C", "warning").when(zone == "D", "danger")
+def positive(name: str) -> Column:
+    return F.expr(_pos(name))
 
 
-def excluded() -> Column:
-    """Null if a standard may cover class and type, else whether another standard does; the exact pair first."""
-    pairs = [((_c("equipmentClass") == c) & (_c("equipmentType") == k), F.lit(v)) for (c, k), v in NOT_COVERED.items() if k]
-    pairs += [(_c("equipmentClass") == c, F.lit(v)) for (c, k), v in NOT_COVERED.items() if not k]
-    return _first(pairs, F.lit(None).cast("boolean"))
+def _first(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = F.when(F.lit(False), otherwise)
+    for when, then in pairs:
+        out = out.when(F.coalesce(when, F.lit(False)), then)
+    return out.otherwise(otherwise)
+
 
+_CLS, _KIND = _t("equipmentClass"), _t("equipmentType")
+#: Null if a standard may cover class and type, else whether another standard does; the exact pair first.
+_EXCLUDED = (
+    "CASE "
+    + " ".join(f"WHEN {_CLS} = '{c}' AND {_KIND} = '{k}' THEN {v}" for (c, k), v in NOT_COVERED.items() if k)
+    + " "
+    + " ".join(f"WHEN {_CLS} = '{c}' THEN {v}" for (c, k), v in NOT_COVERED.items() if not k)
+    + " END"
+)
+_PUMP = f"({_CLS} = 'PU' OR ({_CLS} = '' AND {_t('pumpCategory')} IN {_in(PUMPS)}))"
+_SHAFT = f"CASE WHEN {_CLS} IN {_in(ELECTRICAL)} THEN {_pos('shaftHeightMm')} END"
+_GROUP = f"CASE WHEN ({_SHAFT}) >= {SHAFT_GROUP1} THEN 'group1' WHEN ({_SHAFT}) >= {SHAFT_GROUP2} THEN 'group2' WHEN ({_pos('ratedPowerKw')}) > {GROUP1_KW} THEN 'group1' WHEN ({_pos('ratedPowerKw')}) IS NOT NULL THEN 'group2' END"
 
-def _partners(classes: str, types: str) -> Column:
+
+def _partners(classes: str, types: str) -> str:
     """array<struct<c, k>> of coupled machines by position; empty if none or if the counts differ."""
-    c = F.transform(F.split(_c(classes), ","), lambda x: F.trim(x))
-    k = F.when(_c(types) == "", F.transform(c, lambda x: F.lit(""))).otherwise(F.transform(F.split(_c(types), ","), lambda x: F.trim(x)))
-    zipped = F.transform(F.arrays_zip(c.alias("c"), k.alias("k")), lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k")))
-    return F.when((_c(classes) != "") & (F.size(c) == F.size(k)), zipped).otherwise(F.array().cast("array<struct<c:string,k:string>>"))
+    c = f"transform(split({_t(classes)}, ','), x -> trim(x))"
+    k = f"CASE WHEN {_t(types)} = '' THEN transform({c}, x -> '') ELSE transform(split({_t(types)}, ','), x -> trim(x)) END"
+    none = "CAST(array() AS array<struct<c:string,k:string>>)"
+    return f"CASE WHEN {_t(classes)} <> '' AND size({c}) = size({k}) THEN zip_with({c}, {k}, (a, b) -> struct(a AS c, b AS k)) ELSE {none} END"
 
 
-def coupled_reciprocating(pump: Column) -> Column:
-    """Whether a coupled machine is a reciprocating one; for a pump only its driver counts, and only engines."""
-    recip = lambda x: (x["c"] == "CE") | ((x["c"] == "CO") & (x["k"] == "RE")) | ((x["c"] == "PU") & (x["k"] == "RE"))
-    driver, driven = _partners("driverClass", "driverType"), _partners("drivenClass", "drivenType")
-    return F.when(pump, F.exists(driver, lambda x: x["c"] == "CE")).otherwise(F.exists(driver, recip) | F.exists(driven, recip))
+_RECIPROCATING = "x -> x.c = 'CE' OR (x.c = 'CO' AND x.k = 'RE') OR (x.c = 'PU' AND x.k = 'RE')"
+_DRIVER = _partners("driverClass", "driverType")
+#: Whether a coupled machine is a reciprocating one; for a pump only its driver counts, and only engines.
+_COUPLED = f"CASE WHEN {_PUMP} THEN exists({_DRIVER}, x -> x.c = 'CE') ELSE exists({_DRIVER}, {_RECIPROCATING}) OR exists({_partners('drivenClass', 'drivenType')}, {_RECIPROCATING}) END"
 
 
-def is_pump() -> Column:
-    return (_c("equipmentClass") == "PU") | ((_c("equipmentClass") == "") & _c("pumpCategory").isin(*PUMPS))
+def excluded() -> Column:
+    return F.expr(_EXCLUDED)
 
 
 def machine_group() -> Column:
     """group1 or group2: electrical machines by shaft height from 160 mm on, else by rated power; null if neither is known."""
-    shaft = F.when(_c("equipmentClass").isin(*ELECTRICAL), positive("shaftHeightMm"))
-    power = positive("ratedPowerKw")
-    return F.when(shaft >= SHAFT_GROUP1, "group1").when(shaft >= SHAFT_GROUP2, "group2").when(power > GROUP1_KW, "group1").when(power.isNotNull(), "group2")
+    return F.expr(_GROUP)
 
 
 def group_basis() -> Column:
-    shaft = F.when(_c("equipmentClass").isin(*ELECTRICAL), positive("shaftHeightMm"))
-    return F.when(shaft >= SHAFT_GROUP2, "shaftHeight").when(positive("ratedPowerKw").isNotNull(), "ratedPower")
-
-
-def _table(values: dict, a: Column, b: Column) -> Column:
-    return _first([((a == x) & (b == y), F.array(*map(F.lit, v))) for (x, y), v in values.items()], F.lit(None).cast("array<double>"))
+    return F.expr(f"CASE WHEN ({_SHAFT}) >= {SHAFT_GROUP2} THEN 'shaftHeight' WHEN ({_pos('ratedPowerKw')}) IS NOT NULL THEN 'ratedPower' END")
 
 
 def grading_reason() -> Column:
     """Why no standard grades the machine, null if one does; reasons that begin with no_standard are of scope."""
-    cls, kind, pump = _c("equipmentClass"), _c("equipmentType"), _c("pumpCategory")
-    power, rpm, mount = positive("ratedPowerKw"), positive("ratedSpeedRpm"), _c("supportClass")
-    wrong_kind = reduce(lambda a, b: a | b, [(cls == c) & ~kind.isin(*ks) if ks else (cls == c) for c, ks in CLASSES.items()])
-    no = lambda why: F.lit(f"no_standard: {why}")
-    pumped = is_pump()
-    return _first(
-        [
-            ((kind != "") & (cls == ""), F.lit("type without class")),
-            ((kind != "") & wrong_kind, F.lit("unknown type")),
-            (pump.isin(*PUMPS) & ~cls.isin("", "PU"), F.lit("pump category of another class")),
-            (F.lower(_c("vel_is_rms")) != "true", F.lit("velocity is not RMS")),
-            ((cls != "") & ~cls.isin(*CLASSES), no("class")),
-            (excluded().isNotNull(), no("excluded")),
-            (coupled_reciprocating(pumped), no("coupled to a reciprocating machine")),
-            (pumped & (_c("pumpEnvironment") == "submerged"), no("submerged pump")),
-            (pumped & ~pump.isin(*PUMPS), F.lit("pump category missing")),
-            (pumped & power.isNull(), F.lit("pump power missing")),
-            (pumped & (power <= PUMP_MIN_KW), no("pump power")),
-            (pumped, F.lit(None).cast("string")),
-            ((cls == "GT") & (power > GAS_TURBINE_MAX_KW), no("large gas turbine")),
-            ((cls == "BL") & (mount == "flexible") & (power <= FAN_SPLIT_KW), no("flexible fan")),
-            ((power <= MACHINE_KW[0]) | (power > MACHINE_KW[1]), no("power")),
-            ((rpm < MACHINE_RPM[0]) | (rpm > MACHINE_RPM[1]), no("speed")),
-            (machine_group().isNull(), F.lit("group unknown")),
-            (~mount.isin("rigid", "flexible"), F.lit("support missing")),
-        ],
-        F.lit(None).cast("string"),
-    )
+    category, support, kw, rpm = _t("pumpCategory"), _t("supportClass"), f"({_pos('ratedPowerKw')})", f"({_pos('ratedSpeedRpm')})"
+    wrong = " OR ".join(f"({_CLS} = '{c}'" + (f" AND {_KIND} NOT IN {_in(ks)})" if ks else ")") for c, ks in CLASSES.items())
+    scope = lambda why: f"'no_standard: {why}'"
+    steps = [
+        (f"{_KIND} <> '' AND {_CLS} = ''", "'type without class'"),
+        (f"{_KIND} <> '' AND ({wrong})", "'unknown type'"),
+        (f"{category} IN {_in(PUMPS)} AND {_CLS} NOT IN ('', 'PU')", "'pump category of another class'"),
+        (f"lower({_t('vel_is_rms')}) <> 'true'", "'velocity is not RMS'"),
+        (f"{_CLS} <> '' AND {_CLS} NOT IN {_in(CLASSES)}", scope("class")),
+        (f"({_EXCLUDED}) IS NOT NULL", scope("excluded")),
+        (_COUPLED, scope("coupled to a reciprocating machine")),
+        (f"{_PUMP} AND {_t('pumpEnvironment')} = 'submerged'", scope("submerged pump")),
+        (f"{_PUMP} AND {category} NOT IN {_in(PUMPS)}", "'pump category missing'"),
+        (f"{_PUMP} AND {kw} IS NULL", "'pump power missing'"),
+        (f"{_PUMP} AND {kw} <= {PUMP_MIN_KW}", scope("pump power")),
+        (_PUMP, "CAST(NULL AS STRING)"),
+        (f"{_CLS} = 'GT' AND {kw} > {GAS_TURBINE_MAX_KW}", scope("large gas turbine")),
+        (f"{_CLS} = 'BL' AND {support} = 'flexible' AND {kw} <= {FAN_SPLIT_KW}", scope("flexible fan")),
+        (f"{kw} <= {MACHINE_KW[0]} OR {kw} > {MACHINE_KW[1]}", scope("power")),
+        (f"{rpm} < {MACHINE_RPM[0]} OR {rpm} > {MACHINE_RPM[1]}", scope("speed")),
+        (f"({_GROUP}) IS NULL", "'group unknown'"),
+        (f"{support} NOT IN ('rigid', 'flexible')", "'support missing'"),
+    ]
+    return F.expr("CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in steps) + " END")
 
 
 def standard_limits() -> Column:
     """Limits of the standard that applies; to be used where grading_reason is null."""
-    band = F.when(positive("ratedPowerKw") <= PUMP_SPLIT_KW, "le200").otherwise("gt200")
-    return F.when(is_pump(), _table(PUMP_LIMITS, _c("pumpCategory"), band)).otherwise(_table(MACHINE_LIMITS, machine_group(), _c("supportClass")))
+    band = f"CASE WHEN ({_pos('ratedPowerKw')}) <= {PUMP_SPLIT_KW} THEN 'le200' ELSE 'gt200' END"
+    of = lambda table, a, b: "CASE " + " ".join(f"WHEN {a} = '{x}' AND {b} = '{y}' THEN {_limits(v)}" for (x, y), v in table.items()) + " END"
+    return F.expr(f"CASE WHEN {_PUMP} THEN {of(PUMP_LIMITS, _t('pumpCategory'), f'({band})')} ELSE {of(MACHINE_LIMITS, f'({_GROUP})', _t('supportClass'))} END")
 
 
 def custom_limits() -> Column:
     """The user's three lines if all are given and rise, else null."""
-    a, b, c = (_c(n).try_cast("double") for n in ("limitAttention", "limitWarning", "limitDanger"))
-    return F.when((a > 0) & (a < b) & (b < c), F.array(a, b, c))
+    a, b, c = (f"try_cast({_t(n)} AS DOUBLE)" for n in ("limitAttention", "limitWarning", "limitDanger"))
+    return F.expr(f"CASE WHEN {a} > 0 AND {a} < {b} AND {b} < {c} THEN array({a}, {b}, {c}) END")
 
 
 def any_custom() -> Column:
-    return F.concat(_c("limitAttention"), _c("limitWarning"), _c("limitDanger")) != ""
+    return F.expr(f"concat({_t('limitAttention')}, {_t('limitWarning')}, {_t('limitDanger')}) <> ''")
 
 
 def small_machine_applies() -> Column:
-    cls = _c("equipmentClass")
-    ok = (positive("ratedPowerKw") <= MACHINE_KW[0]) & cls.isin("", *CLASSES) & (cls != "BL") & ~F.coalesce(excluded(), F.lit(False)) & ~coupled_reciprocating(is_pump())
-    return F.coalesce(ok, F.lit(False))
+    ok = f"({_pos('ratedPowerKw')}) <= {MACHINE_KW[0]} AND {_CLS} IN {_in(['', *CLASSES])} AND {_CLS} <> 'BL' AND NOT coalesce({_EXCLUDED}, false) AND NOT {_COUPLED}"
+    return F.expr(f"coalesce({ok}, false)")
+
+
+def severity_zone(v: Column, limits: Column) -> Column:
+    """Zone A to D; a limit belongs to the better zone."""
+    return F.when(v <= limits[0], "A").when(v <= limits[1], "B").when(v <= limits[2], "C").when(v.isNotNull() & limits.isNotNull(), "D")
+
+
+def zone_margin(v: Column, limits: Column) -> Column:
+    """Distance to the next limit, negative in D."""
+    return F.when(v <= limits[0], limits[0] - v).when(v <= limits[1], limits[1] - v).otherwise(limits[2] - v)
+
+
+def zone_status(zone: Column, custom: Column) -> Column:
+    """Status of a zone; B is attention only under limits of the user's own."""
+    return F.when(zone == "A", "normal").when(zone == "B", F.when(custom, "attention").otherwise("normal")).when(zone == "C", "warning").when(zone == "D", "danger")
 
 
-def basis() -> Column:
-    """struct<limits, source, reason>: the standard, else the user's lines, else those of small machines.
+def with_basis(machines: DataFrame) -> DataFrame:
+    """machines (with grading_reason) with limits, source and basis_reason: the standard, else the user's lines, else those of small machines.
 
-    Lines that are given but wrong do not fall back.
+    Lines that are given but wrong do not fall back. What several rules need is made a column first, so that no rule repeats it.
     """
     why = F.col("grading_reason")
-    scope = why.startswith("no_standard")
-    source = (
-        F.when(why.isNull(), "standard")
-        .when(scope & custom_limits().isNotNull(), "custom")
-        .when(scope & ~any_custom() & small_machine_applies(), "small_machine")
-    )
-    limits = F.when(source == "standard", standard_limits()).when(source == "custom", custom_limits()).when(source == "small_machine", F.array(*map(F.lit, SMALL_MACHINE_LIMITS)))
-    return F.struct(limits.alias("limits"), source.alias("source"), F.when(source.isNull(), F.when(scope & any_custom(), "custom lines wrong").otherwise(why)).alias("reason"))
+    made = machines.select("*", custom_limits().alias("_custom"), any_custom().alias("_any"), small_machine_applies().alias("_small"), standard_limits().alias("_standard"), why.startswith("no_standard").alias("_scope"))
+    source = F.when(why.isNull(), "standard").when(F.col("_scope") & F.col("_custom").isNotNull(), "custom").when(F.col("_scope") & ~F.col("_any") & F.col("_small"), "small_machine")
+    made = made.withColumn("source", source)
+    limits = F.when(F.col("source") == "standard", F.col("_standard")).when(F.col("source") == "custom", F.col("_custom")).when(F.col("source") == "small_machine", F.array(*map(F.lit, SMALL_MACHINE_LIMITS)))
+    reason = F.when(F.col("source").isNull(), F.when(F.col("_scope") & F.col("_any"), "custom lines wrong").otherwise(why))
+    return made.withColumn("limits", limits).withColumn("basis_reason", reason).drop("_custom", "_any", "_small", "_standard", "_scope")
 
 
 def radial_peak(x: Column, y: Column, z: Column, axial: Column) -> Column:
@@ -205,11 +213,11 @@ def _radials(x: Column, y: Column, z: Column, axial: Column) -> tuple[Column, Co
     return pick(x, y, z), pick(y, x, x), pick(z, z, y)
 
 
-def axial_ratio(x: Column, y: Column, z: Column, axial: Column) -> Column:
-    """Axial over largest radial peak; 0 where the radial peaks are."""
+def axial_ratio(x: Column, y: Column, z: Column, axial: Column, still: float | None = 0.0) -> Column:
+    """Axial over largest radial peak; still where the radial peaks are 0."""
     a, r1, r2 = _radials(x, y, z, axial)
     top = F.greatest(r1, r2)
-    return F.when(a.isNotNull() & (top <= 0), 0.0).otherwise(a / F.when(top > 0, top))
+    return F.when(a.isNotNull() & (top <= 0), F.lit(still).cast("double")).otherwise(a / F.when(top > 0, top))
 
 
 def direction_hint(x: Column, y: Column, z: Column, axial: Column) -> Column:
@@ -267,3 +275,26 @@ def device_status(statuses: Column) -> Column:
     """The highest status of a collected array, null if none is ranked."""
     ranks = F.transform(statuses, lambda s: rank_of(s))
     return status_of(F.array_max(ranks))
+
+
+#: The settings of which methods run, alarm levels by status, and the slowest beat in s that raises alarms in time.
+ALGORITHMS = {"classic": ["classic"], "baseline": ["baseline"], "both": ["classic", "baseline"]}
+ALARM_LEVEL = {"attention": 300, "warning": 600, "danger": 800}
+SLOW_BEAT_S = 300
+
+
+def algorithms(setting: Column) -> Column:
+    """The methods that a setting enables; null where it is missing or none of ALGORITHMS."""
+    s = F.trim(setting)
+    return _first([(s == k, F.array(*map(F.lit, v))) for k, v in ALGORITHMS.items()], F.lit(None).cast("array<string>"))
+
+
+def classify_enabled(setting: Column) -> Column:
+    """Whether faults are classified: not where the setting is blank, null where it is neither true nor false."""
+    s = F.lower(F.trim(F.coalesce(setting, F.lit(""))))
+    return F.when(s == "true", True).when(s.isin("", "false"), False)
+
+
+def alarm_level(status: Column) -> Column:
+    """Level of the alarm row that a status raises; 0 for one that raises none."""
+    return _first([(status == k, F.lit(v)) for k, v in ALARM_LEVEL.items()], F.lit(0))

@@ -69,17 +69,39 @@ def median_iqr(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(p.alias("p"), F.count(value).alias("n")).select(*by, F.col("p")[1].alias("median"), (F.col("p")[2] - F.col("p")[0]).alias("iqr"), "n")
 
 
-def baseline(features: DataFrame, by: list[str]) -> DataFrame:
-    """(by, role, median, iqr, n) of the running frames of each set, one of features13 with zone and running.
+def baseline_documents(features: DataFrame, by: list[str]) -> DataFrame:
+    """One row a set: of each role of features13 the median, iqr and number (role_m, role_i, role_n) over the running frames, in one aggregate.
 
-    A set of under MIN_BASELINE_FRAMES running frames, or with one in zone C or D, is refused as a whole, and so is a
-    role of too few values.
+    A set of under MIN_BASELINE_FRAMES running frames, or with one in zone C or D, is refused as a whole, and a role of too few values is
+    null. With the columns axial and window_start the row also has base_axial and base_ratio, the axial over the largest radial
+    median of velocity, and t_from and t_to, the first and the last frame.
     """
-    running = features.where("running")
-    fit = running.groupBy(*by).agg(F.count("*").alias("frames"), F.max(F.coalesce(F.col("zone").isin("C", "D"), F.lit(False))).alias("bad"))
-    fit = fit.where((F.col("frames") >= MIN_BASELINE_FRAMES) & ~F.col("bad")).select(*by, "frames")
-    long = running.join(fit, by).unpivot([*by, "frames"], [r for r in ROLES if r in features.columns], "role", "value").where("value IS NOT NULL")
-    return median_iqr(long, [*by, "frames", "role"], "value").where(F.col("n") >= MIN_BASELINE_FRAMES)
+    roles = [r for r in ROLES if r in features.columns]
+    third = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    aggs = [F.count("*").alias("frames"), F.max(F.coalesce(F.col("zone").isin("C", "D"), F.lit(False))).alias("bad")]
+    aggs += [a for r in roles for a in (F.percentile(r, third).alias(f"{r}_p"), F.count(r).alias(f"{r}_n"))]
+    if "window_start" in features.columns:
+        aggs += [F.min("window_start").alias("t_from"), F.max("window_start").alias("t_to")]
+    if "axial" in features.columns:
+        aggs.append(F.max("axial").alias("base_axial"))
+    out = features.where("running").groupBy(*by).agg(*aggs).where((F.col("frames") >= MIN_BASELINE_FRAMES) & ~F.col("bad")).drop("bad")
+    for r in roles:
+        enough = F.col(f"{r}_n") >= MIN_BASELINE_FRAMES
+        out = out.withColumn(f"{r}_m", F.when(enough, F.col(f"{r}_p")[1])).withColumn(f"{r}_i", F.when(enough, F.col(f"{r}_p")[2] - F.col(f"{r}_p")[0])).drop(f"{r}_p")
+    if "base_axial" in out.columns:
+        from ..functions.rules import axial_ratio
+
+        medians = [F.col(f"{a}_vel_m") if f"{a}_vel" in roles else F.lit(None).cast("double") for a in AXES]
+        out = out.withColumn("base_ratio", axial_ratio(*medians, F.col("base_axial"), still=None))
+    return out
+
+
+def baseline(features: DataFrame, by: list[str]) -> DataFrame:
+    """(by, frames, role, median, iqr, n): baseline_documents in rows, a role each."""
+    docs = baseline_documents(features, by)
+    roles = [r for r in ROLES if r in features.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_m").alias("median"), F.col(f"{r}_i").alias("iqr"), F.col(f"{r}_n").alias("n")) for r in roles]))
+    return docs.select(*by, "frames", each.alias("r")).select(*by, "frames", "r.*").where("median IS NOT NULL")
 
 
 def refused_baselines(features: DataFrame, by: list[str], peak: str) -> DataFrame:
@@ -129,19 +151,36 @@ def split_span(spans: DataFrame, window_s: int) -> DataFrame:
     return rows.withColumn("window_start", start).withColumn("window_end", end).withColumn("closed", F.col("k") == F.col("n") - 1).drop("n", "k")
 
 
-def samples_in_windows(windows: DataFrame, samples: DataFrame, bucket_s: int = 86400) -> DataFrame:
-    """Windows (binding, window_start, window_end, closed) with their samples, empty windows kept.
+WINDOW = ["binding", "window_start", "window_end", "closed"]
+
+
+def _met(windows: DataFrame, samples: DataFrame, bucket_s: int) -> DataFrame:
+    """Windows with the samples inside them: both sides meet on the binding and on buckets of time, so that the join has an equality.
 
-    Both sides meet on the binding and on buckets of time, so that the join has an equality; a sample has one
-    bucket and a window those that it touches.
+    A sample has one bucket and a window those that it touches.
     """
-    of = lambda c: F.floor(F.unix_micros(c) / (bucket_s * 1_000_000))
-    wide = windows.withColumn("bucket", F.explode(F.sequence(of("window_start"), of("window_end"))))
-    s = samples.withColumn("bucket", of("t")).withColumnRenamed("binding", "b").withColumnRenamed("bucket", "sb")
+    of = lambda t: F.floor(t / (bucket_s * 1_000_000))
+    last = F.unix_micros("window_end") - F.when(F.col("closed"), 0).otherwise(1)
+    wide = windows.withColumn("bucket", F.explode(F.sequence(of(F.unix_micros("window_start")), of(last))))
+    s = samples.withColumn("sb", of(F.unix_micros("t"))).withColumnRenamed("binding", "b")
     inside = (F.col("t") >= F.col("window_start")) & ((F.col("t") < F.col("window_end")) | (F.col("closed") & (F.col("t") == F.col("window_end"))))
-    met = wide.join(s, (F.col("binding") == F.col("b")) & (F.col("bucket") == F.col("sb")) & inside).drop("b", "sb", "bucket")
-    keys = [c for c in windows.columns]
-    return windows.join(met.select(*[F.col(c).alias(f"_{c}") for c in keys], *[c for c in met.columns if c not in keys]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left").drop(*[f"_{c}" for c in keys])
+    return wide.join(s, (F.col("binding") == F.col("b")) & (F.col("bucket") == F.col("sb")) & inside).drop("b", "sb", "bucket")
+
+
+def samples_in_windows(windows: DataFrame, samples: DataFrame, bucket_s: int = 86400) -> DataFrame:
+    """Windows (WINDOW and more) with their samples; a window without any stays, with null samples."""
+    met = _met(windows, samples, bucket_s)
+    empty = windows.join(met.select(*WINDOW).distinct(), WINDOW, "left_anti")
+    return met.unionByName(empty, allowMissingColumns=True)
+
+
+def aggregated_in_windows(windows: DataFrame, samples: DataFrame, aggs: list[Column], bucket_s: int = 86400) -> DataFrame:
+    """Windows (WINDOW and more) with aggregates of their samples, null for a window without any.
+
+    Equal windows of one binding are joined to samples once, and only their aggregates go back to the rows that have them.
+    """
+    each = _met(windows.select(*WINDOW).distinct(), samples, bucket_s).groupBy(*WINDOW).agg(*aggs)
+    return windows.join(each, WINDOW, "left")
 
 
 def frame_gate(spans: DataFrame, window_s: int, by: list[str], most_frames: int = 5000, most_samples: int = 20000) -> DataFrame:

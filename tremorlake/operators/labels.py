@@ -143,3 +143,44 @@ def check_field_binding(roles: DataFrame, fields: DataFrame, inputs: DataFrame)
         .when(F.col("record_group").isNotNull() & spread, "record on several points")
     )
     return out.select("binding", "role", "tag_id", wrong.alias("violation"))
+
+
+def slow_source_check(bindings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, shortest_s, slow) over bindings (by, enabled, raises_alarm, beat_s): the shortest beat of those that are enabled and raise alarms."""
+    from ..functions.rules import SLOW_BEAT_S
+
+    on = bindings.where("enabled AND raises_alarm").groupBy(*by).agg(F.min("beat_s").alias("shortest_s"))
+    return on.withColumn("slow", F.col("shortest_s") >= SLOW_BEAT_S)
+
+
+def with_containers(points: DataFrame, containers: DataFrame) -> DataFrame:
+    """points (domain, binding) with the container of their binding, else that of their domain, whose binding is null."""
+    own = containers.where("binding IS NOT NULL").select("domain", "binding", F.col("container").alias("_own"))
+    whole = containers.where("binding IS NULL").select("domain", F.col("container").alias("_whole"))
+    out = points.join(own, ["domain", "binding"], "left").join(whole, "domain", "left")
+    return out.withColumn("container", F.coalesce("_own", "_whole")).drop("_own", "_whole")
+
+
+def key_changes(declared: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """(by, change): keys declared that no point has are new, those whose point is retired revived; living points no more declared retired.
+
+    held: (by, retired), a row a key.
+    """
+    both = declared.select(*by, F.lit(True).alias("_d")).join(held.select(*by, "retired"), by, "full")
+    change = F.when(F.col("_d") & F.col("retired").isNull(), "new").when(F.col("_d") & F.col("retired"), "revived").when(F.col("_d").isNull() & ~F.col("retired"), "retired")
+    return both.withColumn("change", change).where("change IS NOT NULL").drop("_d", "retired")
+
+
+def with_display_name(findings: DataFrame, outputs: DataFrame) -> DataFrame:
+    """findings (key) with the display name that outputs (key, display) declare, the key itself where none does."""
+    return findings.join(outputs.select("key", "display"), "key", "left").withColumn("display", F.coalesce("display", "key"))
+
+
+def bindable_fields(points: DataFrame, structs: DataFrame, fields: DataFrame) -> DataFrame:
+    """(tag_id, struct_id, version, number, name, bindable): fields of the struct that a point carries now, the last of structs (tag_id, t, ...).
+
+    Numbers of one value can be bound, arrays and texts cannot.
+    """
+    now = structs.groupBy("tag_id").agg(F.max_by(F.struct("struct_id", "version"), "t").alias("s"))
+    out = points.select("tag_id").join(now, "tag_id").select("tag_id", "s.struct_id", "s.version").join(fields, ["struct_id", "version"])
+    return out.select("tag_id", "struct_id", "version", "number", "name", (F.col("numeric") & ~F.col("is_array")).alias("bindable"))

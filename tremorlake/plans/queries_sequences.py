@@ -176,12 +176,12 @@ def where_in_segment(spark, d):
 
 
 _GRID = SAMPLES + f""",
-pts AS (SELECT DISTINCT tag_id FROM samples WHERE tag_id < 20), grid AS (SELECT tag_id, bucket, make_timestamp((({BEGIN} + bucket * {HOURS6})::BIGINT * 1000000)::BIGINT) AS start FROM pts CROSS JOIN (SELECT CAST(unnest(range(120)) AS INTEGER) AS bucket)),
-inr AS (SELECT *, epoch_us(t) AS us FROM good WHERE epoch_us(t) >= {BEGIN}000000 AND epoch_us(t) < {END}000000 AND tag_id < 20), lastus AS (SELECT tag_id, max(us) AS last_us FROM inr GROUP BY tag_id)"""
+pts AS (SELECT DISTINCT tag_id FROM samples), grid AS (SELECT tag_id, bucket, make_timestamp((({BEGIN} + bucket * {HOURS6})::BIGINT * 1000000)::BIGINT) AS start FROM pts CROSS JOIN (SELECT CAST(unnest(range(120)) AS INTEGER) AS bucket)),
+inr AS (SELECT *, epoch_us(t) AS us FROM good WHERE epoch_us(t) >= {BEGIN}000000 AND epoch_us(t) < {END}000000), lastus AS (SELECT tag_id, max(us) AS last_us FROM inr GROUP BY tag_id)"""
 
 
 def _points(spark, d):
-    s = samples(spark, d).where("tag_id < 20")
+    s = samples(spark, d)
     return s, s.select("tag_id").distinct()
 
 
@@ -224,8 +224,7 @@ def history_change_count(spark, d):
 
 
 @query(
-    f"""WITH {_GRID}, e AS (SELECT tag_id, bucket, start, epoch_us(start) AS x FROM grid), q AS (SELECT e.*, (SELECT max(us) FROM inr i WHERE i.tag_id = e.tag_id AND i.us <= e.x) AS u0, (SELECT min(us) FROM inr i WHERE i.tag_id = e.tag_id AND i.us >= e.x) AS u1 FROM e),
-    r AS (SELECT q.*, a.v AS v0, b.v AS v1 FROM q LEFT JOIN inr a ON a.tag_id = q.tag_id AND a.us = q.u0 LEFT JOIN inr b ON b.tag_id = q.tag_id AND b.us = q.u1), w AS (SELECT *, CASE WHEN u0 = x THEN v0 ELSE v0 + (v1 - v0) * (x - u0) / (u1 - u0) END AS value FROM r)
+    f"""WITH {_GRID}, e AS (SELECT tag_id, bucket, start, epoch_us(start) AS x FROM grid), r AS (SELECT e.*, a.us AS u0, a.v AS v0, b.us AS u1, b.v AS v1 FROM e ASOF LEFT JOIN inr a ON a.tag_id = e.tag_id AND a.us <= e.x ASOF LEFT JOIN inr b ON b.tag_id = e.tag_id AND b.us >= e.x), w AS (SELECT *, CASE WHEN u0 = x THEN v0 ELSE v0 + (v1 - v0) * (x - u0) / (u1 - u0) END AS value FROM r)
     SELECT w.tag_id, bucket, round(value, 8) AS value, CASE WHEN value IS NOT NULL THEN NULL WHEN x > last_us OR last_us IS NULL THEN -1027 ELSE -1028 END AS reason FROM w LEFT JOIN lastus USING (tag_id)"""
 )
 def history_interpolated(spark, d):

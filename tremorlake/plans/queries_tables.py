@@ -58,12 +58,12 @@ def unlink_deleted(spark, d):
 
 
 @query(
-    f"""WITH {ANNOTATIONS}, e AS (SELECT binding, label, CASE WHEN data_origin <> '' THEN data_origin WHEN binding % 3 = 0 THEN 'simulated' ELSE '' END AS origin FROM annotations WHERE binding % 2 = 0 OR data_origin = 'field')
+    f"""WITH {ANNOTATIONS}, e AS (SELECT binding, label, CASE WHEN data_origin <> '' THEN data_origin WHEN binding % 3 = 0 THEN 'simulated' ELSE '' END AS origin FROM annotations)
     SELECT binding, CASE WHEN bool_or(origin = 'simulated') THEN 'simulated' WHEN count(DISTINCT origin) = 1 THEN min(origin) ELSE '' END AS origin, count(DISTINCT origin) AS origins, count(DISTINCT origin) > 1 AS mixed FROM e GROUP BY binding"""
 )
 def origin_fold(spark, d):
     now = F.when(F.col("binding") % 3 == 0, "simulated").otherwise("field")
-    a = annotations(spark, d).where("binding % 2 = 0 OR data_origin = 'field'").withColumn("origin", labels.effective_origin(F.col("data_origin"), now))
+    a = annotations(spark, d).withColumn("origin", labels.effective_origin(F.col("data_origin"), now))
     return labels.fold_origin(a, ["binding"]).join(labels.spread_of_origins(a, ["binding"]), "binding")
 
 
@@ -308,11 +308,11 @@ def minmax(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 1000000 + l_suppkey AS k, [l_discount * 10, l_tax * 10, 0.5] AS v FROM lineitem WHERE l_orderkey % 10 = 0), e AS (SELECT *, exp(v[1]) + exp(v[2]) + exp(v[3]) AS z, abs(v[1] + v[2] + v[3] - 1) <= 1e-3 AND v[1] >= 0 AND v[2] >= 0 AS done FROM s)
+    """WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 1000000 + l_suppkey AS k, [l_discount * 10, l_tax * 10, 0.5] AS v FROM lineitem), e AS (SELECT *, exp(v[1]) + exp(v[2]) + exp(v[3]) AS z, abs(v[1] + v[2] + v[3] - 1) <= 1e-3 AND v[1] >= 0 AND v[2] >= 0 AS done FROM s)
     SELECT done, count(*) AS n, round(sum(CASE WHEN done THEN v[1] ELSE exp(v[1]) / z END), 5) AS first, sum(CASE WHEN v[1] >= v[2] AND v[1] >= v[3] THEN 0 WHEN v[2] >= v[3] THEN 1 ELSE 2 END)::BIGINT AS classes FROM e GROUP BY done"""
 )
 def softmax_if_needed(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").withColumn("v", F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.lit(0.5)))
+    li = table(spark, d, "lineitem").withColumn("v", F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.lit(0.5)))
     v = F.col("v")
     done = (F.abs(v[0] + v[1] + v[2] - 1) <= 1e-3) & (v[0] >= 0) & (v[1] >= 0)
     return li.groupBy(done.alias("done")).agg(F.count("*").alias("n"), F.round(F.sum(evaluation.softmax_if_needed(v)[0]), 5).alias("first"), F.sum(evaluation.arg_max(v)).alias("classes"))
@@ -395,10 +395,16 @@ def tag_documents(spark, d):
     return text.tag_documents(table(spark, d, "documents"), _PROSE)
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS taxonomy, '{t}' AS tag, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i){p}') HAVING count(*) > 0" for k, ps in text.TAXONOMIES.items() for t, p in ps.items() if "(?!" not in p))
+#: What the texts are about and what they look like.
+_TOPICS = {
+    "topic": {"licence": r"licen[cs]e|copyright", "contact": r"mail\d|555-|@", "machine": r"\bpump\b|bearing|gear", "secret": r"key|password|token"},
+    "form": {"number": r"\d{4}", "loud": r"!!|\?\?", "markup": r"[*#$%&]{3}", "piped": r" \| "},
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS taxonomy, '{t}' AS tag, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i){p}') HAVING count(*) > 0" for k, ps in _TOPICS.items() for t, p in ps.items()))
 def tag_counts(spark, d):
-    tags = text.tag_documents(table(spark, d, "documents"), {k: {t: p for t, p in ps.items() if "(?!" not in p} for k, ps in text.TAXONOMIES.items()})
-    return text.tag_counts(tags)
+    return text.tag_counts(text.tag_documents(table(spark, d, "documents"), _TOPICS))
 
 
 @query(f"WITH t AS ({_PROSE_SQL}) SELECT doc_id, count(*) FILTER (taxonomy = 'algorithm') AS na, count(*) FILTER (taxonomy = 'low_frequency') AS nb FROM t GROUP BY doc_id HAVING na > 0 AND nb > 0")
@@ -406,9 +412,16 @@ def tagged_in_both(spark, d):
     return text.in_both(text.tag_documents(table(spark, d, "documents"), _PROSE), "algorithm", "low_frequency")
 
 
-@query()
+_TERMS = ["licence", "license", "source", "the ", "Hz"]
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[\n.!?。]+'))) AS sentence FROM documents)
+    SELECT doc_id, sentence FROM s WHERE length(sentence) BETWEEN 26 AND 259
+      AND ({" OR ".join(f"contains(translate(sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{t.lower()}')" for t in _TERMS)})"""
+)
 def evidence_sentences(spark, d):
-    return text.evidence_sentences(table(spark, d, "documents"))
+    return text.evidence_sentences(table(spark, d, "documents"), _TERMS)
 
 
 @query(
@@ -475,7 +488,7 @@ def thinning_damage(spark, d):
 @query()
 def spectrum_bins(spark, d):
     names = [f"bin{i}" for i in range(20)]
-    return _signal(spark, d, names, lambda x, a: dict(zip(names, signal.spectrum_bins(x, a["fs"]))))
+    return _signal(spark, d, names, lambda x, a: dict(zip(names, signal.spectrum_bins(x, a["fs"]).T)))
 
 
 _PRESS = """SELECT l_orderkey, list(l_quantity ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS p, list(l_extendedprice ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS f FROM lineitem GROUP BY l_orderkey"""
@@ -517,3 +530,49 @@ def fault_classifier(spark, d):
 def remaining_life(spark, d):
     s = evaluation.rul_labels(samples(spark, d), ["tag_id"]).withColumn("log_value", F.log1p("value"))
     return models.train_remaining_life(s, ["value", "log_value", "age_days"], "remaining", "tag_id")
+
+
+@query(
+    """WITH c AS (SELECT n_regionkey AS domain, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS binding, n_name AS container FROM nation WHERE n_nationkey % 3 > 0 OR n_nationkey IN (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 3 = 0 GROUP BY n_regionkey)),
+    p AS (SELECT s_suppkey AS point, n_regionkey AS domain, s_nationkey AS binding FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT point, coalesce(o.container, w.container) AS container FROM p LEFT JOIN c o ON o.domain = p.domain AND o.binding = p.binding LEFT JOIN c w ON w.domain = p.domain AND w.binding IS NULL"""
+)
+def point_containers(spark, d):
+    n = table(spark, d, "nation")
+    first = n.where("n_nationkey % 3 = 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey")).select("n_nationkey")
+    c = n.where("n_nationkey % 3 > 0").unionByName(n.join(first, "n_nationkey", "left_semi").select(n.columns))
+    c = c.select(F.col("n_regionkey").alias("domain"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey")).alias("binding"), F.col("n_name").alias("container"))
+    p = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("point"), F.col("n_regionkey").alias("domain"), F.col("s_nationkey").alias("binding"))
+    return labels.with_containers(p, c).select("point", "container")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT s_nationkey AS domain, s_suppkey % 40 AS key FROM supplier WHERE s_acctbal > 0), h AS (SELECT c_nationkey AS domain, c_custkey % 40 AS key, min(c_acctbal) < 0 AS retired FROM customer GROUP BY 1, 2)
+    SELECT coalesce(d.domain, h.domain) AS domain, coalesce(d.key, h.key) AS key, CASE WHEN h.key IS NULL THEN 'new' WHEN d.key IS NOT NULL THEN 'revived' ELSE 'retired' END AS change
+    FROM d FULL JOIN h ON d.domain = h.domain AND d.key = h.key WHERE h.key IS NULL OR (d.key IS NOT NULL AND retired) OR (d.key IS NULL AND NOT retired)"""
+)
+def key_changes(spark, d):
+    declared = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("domain"), (F.col("s_suppkey") % 40).alias("key")).distinct()
+    held = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("domain"), (F.col("c_custkey") % 40).alias("key")).agg((F.min("c_acctbal") < 0).alias("retired"))
+    return labels.key_changes(declared, held, ["domain", "key"])
+
+
+@query("""SELECT o_orderpriority AS key, coalesce(n_name, o_orderpriority) AS display, count(*) AS n FROM orders LEFT JOIN nation ON n_nationkey = CAST(left(o_orderpriority, 1) AS INTEGER) AND n_nationkey < 4 GROUP BY 1, 2""")
+def display_names(spark, d):
+    names = table(spark, d, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("display"))
+    keys = table(spark, d, "orders").select("o_orderpriority").distinct().withColumn("i", F.left("o_orderpriority", F.lit(1)).cast("int"))
+    outputs = keys.join(names, "i").select(F.col("o_orderpriority").alias("key"), "display")
+    out = labels.with_display_name(table(spark, d, "orders").select(F.col("o_orderpriority").alias("key")), outputs)
+    return out.groupBy("key", "display").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT user_id AS tag_id, arg_max(event_id % 4, ts) AS struct_id FROM events GROUP BY user_id), f AS (SELECT p_partkey % 4 AS struct_id, p_size AS number, min(p_brand) AS name, bool_and(p_partkey % 5 > 0) AS num, bool_or(p_partkey % 7 = 0) AS arr FROM part GROUP BY 1, 2)
+    SELECT struct_id, number, name, num AND NOT arr AS bindable, count(*) AS n FROM s JOIN f USING (struct_id) GROUP BY ALL"""
+)
+def bindable_fields(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("tag_id"), F.struct("ts", "event_id").alias("t"), (F.col("event_id") % 4).alias("struct_id"), F.lit(1).alias("version"))
+    k = F.col("p_partkey")
+    f = table(spark, d, "part").groupBy((k % 4).alias("struct_id"), F.col("p_size").alias("number")).agg(F.min("p_brand").alias("name"), F.every(k % 5 > 0).alias("numeric"), F.some(k % 7 == 0).alias("is_array"))
+    out = labels.bindable_fields(e.select("tag_id").distinct(), e, f.withColumn("version", F.lit(1)))
+    return out.groupBy("struct_id", "number", "name", "bindable").agg(F.count("*").alias("n"))
