@@ -37,15 +37,17 @@ SELECT x AS vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(y) AS
 
 OP8 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT doc_id, i, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
-one AS (SELECT b AS w, count(*) AS c FROM t GROUP BY b),
-two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+t AS (SELECT doc_id, i, ws[i] AS w0, CASE WHEN i > 1 THEN ws[i - 1] END AS w1, CASE WHEN i > 2 THEN ws[i - 2] END AS w2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+one AS (SELECT w0 AS a, count(*) AS c FROM t GROUP BY 1),
+two AS (SELECT w1 AS a, w0 AS b, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+three AS (SELECT w2 AS a, w1 AS b, w0 AS d, count(*) AS c FROM t WHERE w2 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 n AS (SELECT count(*) AS n FROM t),
-s AS (SELECT doc_id, CASE WHEN two.c IS NOT NULL THEN log10(two.c / oa.c) ELSE log10(ob.c / n.n) + CASE WHEN t.a IS NULL THEN 0 ELSE log10(0.4) END END AS s,
-  CASE WHEN t.a IS NOT NULL AND two.c IS NULL THEN 1 ELSE 0 END AS back
-  FROM t CROSS JOIN n JOIN one ob ON ob.w = t.b LEFT JOIN one oa ON oa.w = t.a LEFT JOIN two ON two.a = t.a AND two.b = t.b),
-d AS (SELECT doc_id, count(*) AS k, sum(back) AS back, sum(s) / count(*) AS m FROM s GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backed_off, round(m, 4) AS mean_log10 FROM w LEFT JOIN d USING (doc_id)
+s AS (SELECT doc_id, CASE WHEN c3.c IS NOT NULL THEN log10(c3.c / b2.c) WHEN c2.c IS NOT NULL THEN log10(c2.c / b1.c) + CASE WHEN w2 IS NULL THEN 0 ELSE log10(0.4) END
+    ELSE log10(c1.c / n.n) + CASE WHEN w1 IS NULL THEN 0 WHEN w2 IS NULL THEN log10(0.4) ELSE 2 * log10(0.4) END END AS s,
+  CASE WHEN c3.c IS NOT NULL OR (c2.c IS NOT NULL AND w2 IS NULL) OR w1 IS NULL THEN 0 ELSE 1 END AS back
+  FROM t CROSS JOIN n JOIN one c1 ON c1.a = w0 LEFT JOIN one b1 ON b1.a = w1 LEFT JOIN two c2 ON c2.a = w1 AND c2.b = w0 LEFT JOIN two b2 ON b2.a = w2 AND b2.b = w1 LEFT JOIN three c3 ON c3.a = w2 AND c3.b = w1 AND c3.d = w0),
+d AS (SELECT doc_id, count(*) AS k, sum(back) AS back, sum(s) AS total FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backed_off, round(total, 4) AS log10_score, round(total / k, 6) AS mean_log10 FROM w LEFT JOIN d USING (doc_id)
 """
 
 OP10 = r"""

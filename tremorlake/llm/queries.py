@@ -59,7 +59,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
     out = lm_scores(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_backed_off", F.round("mean_log10", 4).alias("mean_log10"))
+    return out.select("doc_id", "n_words", "n_backed_off", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
