@@ -146,7 +146,7 @@ def lm_by_force(docs, order, alpha=0.4, least=2):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(spark, order):
     rng = np.random.default_rng(order)
     docs = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 40)))) for i in range(40)] + [(50, None), (51, " "), (3, "a b")]

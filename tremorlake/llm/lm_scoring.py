@@ -3,7 +3,8 @@
 Three relations, whose rows are packed blocks of n-grams partitioned by hash: the n-grams of the corpus, exploded, by chunk of documents and
 hash bucket; the count table, by hash bucket, made by adding up the exploded n-grams of each bucket; and the join of the count table to
 the exploded n-grams on the bucket, which gives each chunk the counts of its n-grams. Scores are summed per document. The
-count table holds n-grams that occur twice or more: one of the corpus that it lacks occurs once.
+count table holds n-grams that occur twice or more: one of the corpus that it lacks occurs once. Single words and pairs are counted
+first; of longer n-grams only those are exploded whose two shorter ones both occur twice or more, as no other can.
 
 A word's score is the relative frequency of the longest n-gram with at least min_count occurrences that ends at it, single words always,
 times alpha for each step of backing off. With min_count 1 no n-gram of the scored corpus is unseen, so that nothing would back
@@ -21,12 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .textkit import U, Words, as_bytes, slices
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 20
 KEYS_A_BUCKET = 400_000
 _MANY = 255
 
@@ -89,8 +91,29 @@ class _Grams:
         left = np.repeat(sizes, sizes) - self.nth
         self.keys = [(np.flatnonzero(left >= n), self.words.windows(n)) for n in range(1, order + 1)]
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        return _summed(np.concatenate([w[at] for at, w in self.keys]))
+    def counts(self, rows: pa.Table, order: int) -> list[np.ndarray]:
+        """By length up to order, how often the n-gram that begins at each word occurs in the corpus (0 where none does), from joined rows."""
+        out = []
+        for level in range(2, max(2, order) + 1):
+            own = rows.filter(pc.equal(rows["level"], level)).sort_by("bucket")
+            total = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(x) for x in own["total"].to_pylist())])
+            asked = self.asked(level, out)
+            known, _ = _summed(np.concatenate([w for _, w in asked]))
+            for at, w in asked[: order if level == 2 else None]:
+                c = np.zeros(len(self.nth), np.int64)
+                if level > 2:
+                    c[self.keys[level - 1][0]] = 1  # those not asked for
+                c[at] = total[np.searchsorted(known, w)]
+                out.append(c)
+        return out
+
+    def asked(self, level: int, counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(where it begins, key) of the n-grams of a level: 2 has single words and pairs, others the n-grams that may occur twice."""
+        if level == 2:
+            return [(at, w[at]) for at, w in self.keys[:2]]
+        at, w = self.keys[level - 1]
+        at = at[(counts[level - 2][at] > 1) & (counts[level - 2][at + 1] > 1)]
+        return [(at, w[at])]
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,19 +136,29 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(rows, f"chunk long, ids array<{kind}>, sizes array<long>, texts binary")
 
 
-def _exploded(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+_EXPLODED = "chunk long, bucket long, keys binary, held binary"
+_JOINED = "chunk long, bucket long, level int, total binary"
+_EXPLODED_ROWS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("held", pa.binary())])
+
+
+def _exploded(chunks: DataFrame, joined: DataFrame | None, level: int, order: int, buckets: int) -> DataFrame:
     """(chunk, bucket, keys, held): the distinct n-grams of each chunk by bucket of their hash, and how often it has them."""
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("held", pa.binary())])
 
-    def explode(rows: pa.Table) -> pa.Table:
-        keys, held = _Grams(rows, order).distinct()
+    def rows_of(chunk: int, asked: list) -> pa.Table:
+        keys, held = _summed(np.concatenate([w for _, w in asked]))
         bucket = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # in the order of the keys
         cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(keys)]
-        chunk = rows["chunk"][0].as_py()
         out = [{"chunk": chunk, "bucket": int(bucket[a]), "keys": packed_keys(keys[a:b]), "held": packed_counts(held[a:b])} for a, b in zip(cut, cut[1:])]
-        return pa.Table.from_pylist(out, schema)
+        return pa.Table.from_pylist(out, _EXPLODED_ROWS)
+
+    if joined is None:
+        return chunks.groupBy("chunk").applyInArrow(lambda rows: rows_of(rows["chunk"][0].as_py(), _Grams(rows, min(order, 2)).asked(2, [])), _EXPLODED)
+
+    def longer(rows: pa.Table, found: pa.Table) -> pa.Table:
+        grams = _Grams(rows, level)
+        return rows_of(rows["chunk"][0].as_py(), grams.asked(level, grams.counts(found, level - 1)))
 
-    return chunks.groupBy("chunk").applyInArrow(explode, "chunk long, bucket long, keys binary, held binary")
+    return chunks.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(longer, _EXPLODED)
 
 
 def _count_table(exploded: DataFrame) -> DataFrame:
@@ -140,9 +173,9 @@ def _count_table(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("bucket").applyInArrow(count, "bucket long, known binary, total binary")
 
 
-def _joined(exploded: DataFrame, counts: DataFrame) -> DataFrame:
-    """(chunk, bucket, total): exploded n-grams with their counts in the corpus, in the order of their keys."""
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("total", pa.binary())])
+def _joined(exploded: DataFrame, counts: DataFrame, level: int) -> DataFrame:
+    """(chunk, bucket, level, total): exploded n-grams with their counts in the corpus, in the order of their keys."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("total", pa.binary())])
 
     def join(rows: pa.Table, table: pa.Table) -> pa.Table:
         known, total = unpacked_keys(table["known"][0].as_py()), unpacked_counts(table["total"][0].as_py())
@@ -154,9 +187,9 @@ def _joined(exploded: DataFrame, counts: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 n = np.where(known[at] == keys, total[at], 1)
             found.append(packed_counts(n))
-        return pa.table([rows["chunk"], rows["bucket"], found], schema=schema)
+        return pa.table([rows["chunk"], rows["bucket"], pa.array([level] * len(found), pa.int32()), found], schema=schema)
 
-    return exploded.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(join, "chunk long, bucket long, total binary")
+    return exploded.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(join, _JOINED)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -164,18 +197,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     text = F.col(text_col)
     size, words = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))).first()
     chunks = _chunks(docs, id_col, text_col)
-    exploded = _exploded(chunks, order, max(1, order * size // 8 // KEYS_A_BUCKET))
-    joined = _joined(exploded, _count_table(exploded))
+    buckets, joined = max(1, size // 4 // KEYS_A_BUCKET), None
+    for level in range(2, max(2, order) + 1):
+        exploded = _exploded(chunks, joined, level, order, buckets)
+        found = _joined(exploded, _count_table(exploded), level)
+        joined = found if joined is None else joined.unionByName(found)
 
     def scored(rows: pa.Table, found: pa.Table) -> pa.Table:
         grams = _Grams(rows, order)
-        known, _ = grams.distinct()
-        found = found.sort_by("bucket")
-        total = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(x) for x in found["total"].to_pylist())])
         n, counts = len(grams.nth), []  # by length, of the n-gram that ends at each word; 0 if it does not count
-        for k, (at, w) in enumerate(grams.keys, 1):
+        for k, begins in enumerate(grams.counts(found, order), 1):
             c = np.zeros(n, np.int64)
-            c[at + k - 1] = total[np.searchsorted(known, w[at])]
+            c[k - 1 :] = begins[: max(0, n - k + 1)]
+            c[grams.nth < k - 1] = 0
             counts.append(c if k == 1 else np.where(c >= min_count, c, 0))
         most = np.minimum(grams.nth + 1, order)
         log = np.log10(np.maximum(counts[0], 1) / max(words, 1))
