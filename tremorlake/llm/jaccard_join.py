@@ -3,9 +3,10 @@
 Every set is put in one order for the whole corpus: shingles that are not known to be frequent by
 hash, then the frequent ones, rarest first. Two sets of Jaccard similarity t or more share a token
 within their first n - ceil(t n) + 1. Documents of equal sets become one class, classes of one
-prefix and size become one group, and groups meet on prefix tokens. Pairs of groups are filtered by size
-by how many tokens that no other group holds lie ahead of a shared one, and by how many prefix tokens they share and where; what is left is expanded to members, which are
-verified on whole sets of 64-bit shingle hashes.
+prefix and size become one group, and groups meet on prefix tokens. Pairs of groups are filtered by size,
+by how many tokens that no other group holds lie ahead of a shared one, and by how many prefix tokens they share and where; of a pair
+that is left the leaders are verified on whole sets of 64-bit shingle hashes, and the members with the leader of their group. Members of a pair
+whose components differ yet are compared in blocks, as below; no product of members is written.
 
 A token that more than SMALL groups hold is not expanded into pairs at first: its leader, the set with the
 fewest tokens of its own, meets the other groups, as a group's leader meets its members, and links so found are
@@ -145,7 +146,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _counted_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in one bucket whose sets may be similar enough.
+    """Pairs (a, b, na, nb), a < b, of different components in one bucket whose sets, of sizes na and nb, may be similar enough.
 
     entries: (token, id, n, pos, comp, ahead, other); ahead is how many tokens before pos no other group's prefix
     holds, other how many are in buckets left out here. Both prefixes reach the shared token, so that those ahead
@@ -162,7 +163,7 @@ def _counted_pairs(entries: DataFrame, percent: int) -> DataFrame:
     past_last = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     past_prefix = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
     possible = (shared + F.least(past_last, past_prefix)) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    return met.where(possible).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    return met.where(possible).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb")
 
 
 def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -263,20 +264,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         return _linked(pairs, texts, k, percent)
 
-    # groups of small buckets in pairs, expanded to members
-    small = _counted_pairs(entries.where(F.col("met") <= SMALL).withColumn("other", F.col("in_large")), percent)
-    of = members.select(F.col("gid").alias("a"), F.col("rep").alias("ra"))
-    small = small.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
-    small = small.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # groups of large buckets by their leaders, members by the leader of their group
+    # groups of small buckets in pairs: leader with leader, and all their members as a bucket of their own
+    small = written(_counted_pairs(entries.where(F.col("met") <= SMALL).withColumn("other", F.col("in_large")), percent), "group-pairs")
     zero = F.lit(0).cast("long")
-    group = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), zero.alias("own"), zero.cast("int").alias("ahead"), zero.alias("other"), F.col("rep").alias("comp"))
+    bucket = lambda df, token: df.select(token.alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), zero.alias("own"), zero.cast("int").alias("ahead"), zero.alias("other"), F.col("rep").alias("comp"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("gid"), F.col("na").alias("n")), F.struct(F.col("b").alias("gid"), F.col("nb").alias("n"))))
+    sides = small.select(F.xxhash64("a", "b", F.lit("pair")).alias("token"), sides.alias("s")).select("token", "s.gid", "s.n")
+    sides = sides.join(members.select("gid", "rep"), "gid", "left")
+    paired = sides.join(sides.where("rep IS NOT NULL").select("token").distinct(), "token", "left_semi").withColumn("rep", F.coalesce("rep", "gid"))
+    # groups of large buckets by their leaders, members by the leader of their group
     large = entries.where(F.col("met") > SMALL).withColumn("other", F.col("in_small")).join(members.select(F.col("gid").alias("id"), "rep"), "id", "left")
-    large = large.select("token", F.coalesce("rep", "id").alias("id"), "n", "pos", "own", "ahead", "other", F.coalesce("rep", "id").alias("comp")).unionByName(group)
-    links = verified(small.union(_leader_pairs(large, percent)))
+    large = large.select("token", F.coalesce("rep", "id").alias("id"), "n", "pos", "own", "ahead", "other", F.coalesce("rep", "id").alias("comp"))
+    large = large.unionByName(bucket(members, F.xxhash64("gid", F.lit("group"))))
+    links = verified(small.select("a", "b").union(_leader_pairs(large, percent)))
 
     # buckets of several components yet
-    links = links.union(_dense_links(_mixed(large, links, percent), texts, k, percent))
+    links = links.union(_dense_links(_mixed(large.unionByName(bucket(paired, F.col("token"))), links, percent), texts, k, percent))
 
     label = components(links.union(same))
     out = rows.select("id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
