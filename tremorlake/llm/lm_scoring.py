@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import U, Words, as_bytes, slices
 
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 6 << 20
+TEXT_LEVEL = 6
 KEYS_A_BUCKET = 400_000
 _MANY = 255
 
 
-def _squeezed(*parts: np.ndarray) -> bytes:
+def _squeezed(*parts: np.ndarray, level: int = 1) -> bytes:
     raw = b"".join(x.tobytes() for x in parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def _loosened(raw: bytes) -> bytes:
@@ -127,7 +128,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 data, off = as_bytes(part.column("text"))
                 one = pa.array([0, part.num_rows], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([nth]), pa.ListArray.from_arrays(one, part.column("id")), pa.ListArray.from_arrays(one, pa.array(np.diff(off))), pa.array([_squeezed(data)], pa.binary())],
+                    [pa.array([nth]), pa.ListArray.from_arrays(one, part.column("id")), pa.ListArray.from_arrays(one, pa.array(np.diff(off))), pa.array([_squeezed(data, level=TEXT_LEVEL)], pa.binary())],
                     ["chunk", "ids", "sizes", "texts"],
                 )
                 nth += 1
