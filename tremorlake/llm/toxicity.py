@@ -85,13 +85,17 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([counts[at], total]))], ["key", "n"])
 
-    got = sample.select("text", "y").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    counts, total = np.zeros((1 << BITS, 2)), np.zeros(2)
-    key, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
-    for side in (0, 1):
-        total[side] = n[key == -1 - side].sum()
-    counts.ravel()[key[key >= 0]] = n[key >= 0]
-    return counts, total
+    def packed(rows: pa.Table) -> pa.Table:
+        # a few wide rows are lighter to the driver than one a bucket
+        return pa.table({"keys": [rows["key"].to_numpy().astype(np.int32).tobytes()], "n": [rows["n"].to_numpy().tobytes()]})
+
+    summed = sample.select("text", "y").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts, total = np.zeros((1 << BITS) * 2, np.int64), np.zeros(2, np.int64)
+    for r in summed.groupBy(F.shiftright("key", 14).alias("wide")).applyInArrow(packed, "keys binary, n binary").collect():
+        key, n = np.frombuffer(r.keys, np.int32), np.frombuffer(r.n, np.int64)
+        counts[key[key >= 0]] = n[key >= 0]
+        total[-1 - key[key < 0]] = n[key < 0]
+    return counts.reshape(-1, 2), total
 
 
 def _logistic(size: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
@@ -118,9 +122,10 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     if not total.all():
         share = total[1] / total.sum() if total.sum() else 0.0
         return np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    ratio = np.log((counts[:, 1] + 1) / (total[1] + 2)) - np.log((counts[:, 0] + 1) / (total[0] + 2))
+    ratio = (np.log((counts[:, 1] + 1) / (total[1] + 2)) - np.log((counts[:, 0] + 1) / (total[0] + 2))).astype(np.float32)
+    del counts
     prior = float(np.log(total[1] / total[0]))
-    sent = sample.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    sent = sample.sparkSession.sparkContext.broadcast(ratio)
 
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("upto")
@@ -135,8 +140,11 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
 
     dealt = sample.select("text", "y", "upto", F.floor((F.col("upto") - 1) / GROUP_BYTES).alias("g"))
     fitted = dealt.groupBy("g").applyInArrow(group, "n long, b double, w binary").collect()
-    n = sum(r.n for r in fitted)
-    return sum(np.frombuffer(r.w, np.float32) * (r.n / n) for r in fitted).astype(np.float32), sum(r.b * r.n / n for r in fitted)
+    sent.destroy()
+    n, weight = sum(r.n for r in fitted), np.zeros(1 << BITS, np.float32)
+    for r in fitted:
+        weight += np.frombuffer(r.w, np.float32) * np.float32(r.n / n)
+    return weight, sum(r.b * r.n / n for r in fitted)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
