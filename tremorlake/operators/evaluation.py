@@ -127,6 +127,16 @@ def minmax(rows: DataFrame, by: list[str], columns: list[str], train: Column) ->
     return out.drop(*[f"{c}_{s}" for c in columns for s in ("lo", "hi")])
 
 
+def zscore(rows: DataFrame, by: list[str], columns: list[str], train: Column) -> DataFrame:
+    """rows with each column in standard deviations from its mean, both of the training part; null where the deviation is not positive."""
+    fit = rows.where(train).groupBy(*by).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_std") for c in columns])
+    out = rows.join(fit, by)
+    for c in columns:
+        std = F.col(f"{c}_std")
+        out = out.withColumn(f"{c}_z", F.when(std > 0, (F.col(c) - F.col(f"{c}_mean")) / std))
+    return out.drop(*[f"{c}_{s}" for c in columns for s in ("mean", "std")])
+
+
 def softmax_if_needed(scores: Column) -> Column:
     """The scores if they are probabilities already (none negative, sum within a thousandth of 1), else their softmax."""
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)

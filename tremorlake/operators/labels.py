@@ -131,13 +131,14 @@ def check_bindings(bindings: DataFrame) -> DataFrame:
 def check_field_binding(roles: DataFrame, fields: DataFrame, inputs: DataFrame) -> DataFrame:
     """Roles bound to struct fields with what is wrong: field by number else by name; scalar; unit and quantity as the input asks;
     inputs of one record on one point."""
-    numbered = fields.select("struct_id", F.col("number").alias("n1"), F.struct("name", "unit", "quantity", "scalar").alias("f1"))
-    named = fields.select("struct_id", F.col("name").alias("n2"), F.struct("name", "unit", "quantity", "scalar").alias("f2"))
-    out = roles.join(numbered, (roles["struct_id"] == numbered["struct_id"]) & (F.col("field_number") == F.col("n1")), "left").drop(numbered["struct_id"])
-    out = out.join(named, (out["struct_id"] == named["struct_id"]) & (F.col("field_name") == F.col("n2")), "left").drop(named["struct_id"])
-    out = out.join(F.broadcast(inputs.select("role", F.col("unit").alias("want_unit"), F.col("quantity").alias("want_quantity"), "record_group")), "role")
+    field = F.struct("name", "unit", "quantity", "scalar")
+    numbered = fields.select("struct_id", F.col("number").alias("field_number"), field.alias("f1"))
+    named = fields.select("struct_id", F.col("name").alias("field_name"), field.alias("f2"))
+    out = roles.join(numbered, ["struct_id", "field_number"], "left").join(named, ["struct_id", "field_name"], "left")
+    out = out.join(inputs.select("role", F.col("unit").alias("want_unit"), F.col("quantity").alias("want_quantity"), "record_group"), "role")
     f = F.when(F.col("field_number").isNotNull(), F.col("f1")).otherwise(F.col("f2"))
-    spread = F.size(F.collect_set("tag_id").over(Window.partitionBy("binding", "record_group"))) > 1
+    record = Window.partitionBy("binding", "record_group")
+    spread = F.min("tag_id").over(record) < F.max("tag_id").over(record)
     wrong = (
         F.when(f.isNull(), "no such field").when(~f["scalar"], "not a number").when(f["unit"] != F.col("want_unit"), "unit").when(f["quantity"] != F.col("want_quantity"), "quantity")
         .when(F.col("record_group").isNotNull() & spread, "record on several points")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import queries_frames, queries_sequences, queries_tables  # noqa: F401
+    from . import queries_frames, queries_sequences, queries_sources, queries_tables  # noqa: F401
 
 
 def all_queries() -> dict:

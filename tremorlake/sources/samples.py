@@ -69,8 +69,8 @@ def project_struct_fields(values: DataFrame, roles: DataFrame, fields: DataFrame
 
 
 def flag_shape_mismatch(rows: DataFrame) -> DataFrame:
-    """Rows (v_kind, role_is_struct) where one is a struct and the other is not become bad, with a null value."""
-    wrong = (F.col("v_kind") == "struct") != F.col("role_is_struct")
+    """Rows (v_kind, role_is_struct) where one is a struct and the other is not become bad, with a null value; a null kind is no struct."""
+    wrong = F.coalesce(F.col("v_kind") == "struct", F.lit(False)) != F.col("role_is_struct")
     return rows.withColumn("quality", F.when(wrong, "input_bad").otherwise(F.col("quality"))).withColumn("value", F.when(~wrong, F.col("value")))
 
 
@@ -115,13 +115,14 @@ def iso_captured_at(raw: Column) -> Column:
 
 
 def list_media(media: DataFrame, tag: int, begin: Column, end: Column | None, limit: int) -> DataFrame:
-    """Media of a tag that begin in the range, the earliest first; without an end, the latest first."""
+    """Media of a tag that begin in the range, the earliest first; without an end, the latest first; ties by media_id."""
     rows = media.where((F.col("tag_id") == tag) & (F.col("start") >= begin))
-    return rows.orderBy(F.desc("start")).limit(limit) if end is None else rows.where(F.col("start") < end).orderBy("start").limit(limit)
+    return rows.orderBy(F.desc("start"), "media_id").limit(limit) if end is None else rows.where(F.col("start") < end).orderBy("start", "media_id").limit(limit)
 
 
 def media_at(media: DataFrame, times: DataFrame) -> DataFrame:
-    """The medium of a tag that covers a time: start <= t < start + seconds, or t = start if it has no length; null in a gap.
+    """The medium of a tag that covers a time: start <= t < start + seconds, or t = start if it has no length; null in a gap. The latest start wins, then the
+    greatest media_id.
 
     Both sides meet on the hours that a medium covers.
     """
@@ -131,4 +132,4 @@ def media_at(media: DataFrame, times: DataFrame) -> DataFrame:
     asked = times.withColumn("h", hour(F.col("t"))).withColumnRenamed("tag_id", "tag").withColumnRenamed("h", "hh")
     cover = (F.col("tag") == F.col("tag_id")) & (F.col("hh") == F.col("h")) & (F.col("start") <= F.col("t")) & ((F.col("t") < F.col("until")) | (F.col("t") == F.col("start")))
     met = asked.join(spans, cover, "left")
-    return met.groupBy("tag", "t").agg(F.max_by("media_id", "start").alias("media_id"))
+    return met.groupBy("tag", "t").agg(F.max_by("media_id", F.when(F.col("media_id").isNotNull(), F.struct("start", "media_id"))).alias("media_id"))
