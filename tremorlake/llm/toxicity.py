@@ -27,6 +27,8 @@ SAMPLE_ROWS = 12_000
 SAMPLE_BYTES, GROUP_BYTES = 40 << 20, 10 << 20
 SIZES = (3, 4, 5)
 BITS = 20
+#: Features that a step of the fit takes at a time.
+RUN = 1 << 20
 STEPS, RATE, PENALTY = 60, 0.02, 0.01
 
 
@@ -98,18 +100,30 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts.reshape(-1, 2), total
 
 
-def _logistic(size: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sparse rows of size features each, by Adam on the whole of it."""
-    w, b = np.zeros(width, np.float32), prior
-    m, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
+def _logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on sparse rows of size features each, by Adam on the whole of it.
+
+    A feature's value is the scale of its bucket. Steps go over RUN features at a time, so that scratch does not grow with col.
+    """
+    w, b = np.zeros(len(scale), np.float32), prior
+    m, v = np.zeros(len(scale) + 1, np.float32), np.zeros(len(scale) + 1, np.float32)
     full = np.flatnonzero(size)
-    begin = (np.cumsum(size) - size)[full]
+    end = np.cumsum(size)[full]
+    begin = end - size[full]
+    runs = []
+    for at in range(0, len(col), RUN):
+        to = min(at + RUN, len(col))
+        rows = slice(*np.searchsorted(end, [at, at + RUN - 1], "right") + [0, 1])
+        runs.append((col[at:to], full[rows], np.maximum(begin[rows], at) - at, np.minimum(end[rows], to) - np.maximum(begin[rows], at)))
     for step in range(1, STEPS + 1):
-        z = np.full(len(y), b)
-        if len(full):
-            z[full] += np.add.reduceat(x * w[col], begin, dtype=np.float64)
+        z, scaled = np.full(len(y), b), scale * w
+        for part, row, first, _ in runs:
+            z[row] += np.add.reduceat(scaled[part], first, dtype=np.float64)
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(col, x * np.repeat(off.astype(np.float32), size), width).astype(np.float32) + PENALTY * w, np.float32(off.sum()))
+        met = np.zeros(len(scale))
+        for part, row, _, n in runs:
+            met += np.bincount(part, np.repeat(off[row], n), len(scale))
+        g = np.append((scale * met).astype(np.float32) + PENALTY * w, np.float32(off.sum()))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - d[:-1], b - float(d[-1])
@@ -135,7 +149,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
             size.append(np.bincount(row, minlength=part.num_rows))
             col.append(bucket.astype(np.int32))
         col = np.concatenate(col)
-        w, b = _logistic(np.concatenate(size), col, sent.value[col], rows["y"].to_numpy().astype(float), 1 << BITS, prior)
+        w, b = _logistic(np.concatenate(size), col, sent.value, rows["y"].to_numpy().astype(float), prior)
         return pa.table({"n": [rows.num_rows], "b": [b], "w": [(w * sent.value).tobytes()]})
 
     dealt = sample.select("text", "y", "upto", F.floor((F.col("upto") - 1) / GROUP_BYTES).alias("g"))
