@@ -65,6 +65,18 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+c AS (SELECT doc_id, text, length(text) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(text) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(text) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, least(a, b) AS x, greatest(a, b) AS y FROM c),
+parts AS (SELECT *, substring(text, 1, x) AS pre, substring(text, x + 1, y - x) AS mid, substring(text, y + 1, n - y) AS suf FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op8_lm_scoring": OP8, "op10_benchmark_decontamination": OP10}
+    return {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op8_lm_scoring": OP8, "op10_benchmark_decontamination": OP10, "op12_fill_in_middle": OP12}

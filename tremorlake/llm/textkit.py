@@ -20,6 +20,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes with A-Z in lower case and a blank for all others of ASCII that are neither letters nor digits.
+PLAIN = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
