@@ -24,29 +24,6 @@ def test_one_second_delay_on_a_sixty_second_series(spark):
     assert [(r.kind, r.t.minute) for r in longer] == [("raised", 1), ("cleared", 3)]
 
 
-def _streamed(spark, df, build, mode):
-    path = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    df.write.mode("overwrite").parquet(f"{path}/in")
-    q = build(spark.readStream.schema(df.schema).parquet(f"{path}/in")).writeStream.format("memory").queryName(f"q{abs(hash(path))}").outputMode(mode).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(f"q{abs(hash(path))}")
-
-
-def test_debounce_with_state(spark):
-    rows = [(1, at(60 * i), v) for i, v in enumerate([0.0, 5.0, 5.0, 5.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "key long, t timestamp, value double").coalesce(1)
-    got = _streamed(spark, df, lambda s: alarms.debounced_stream(s, 3.0, 90, 30), "append").orderBy("t").collect()
-    assert [(r.kind, r.t.minute, r.value) for r in got] == [("raised", 1, 5.0), ("cleared", 4, 0.0)]
-
-
-def test_state_is_kept_cleared_and_refused(spark):
-    rows = [(1, at(0), '{"n": 1}'), (1, at(1), None), (1, at(2), '{"n": 2}'), (1, at(3), "[1]"), (2, at(0), '{"n": 1}'), (2, at(1), "{}")]
-    df = spark.createDataFrame(rows, "key long, t timestamp, state_json string").coalesce(1)
-    got = {r.key: r for r in _streamed(spark, df, alarms.carried_state, "update").collect()}
-    assert (got[1].state, got[1].writes, got[1].since.second) == ('{"n": 2}', 2, 0)
-    assert (got[2].state, got[2].writes, got[2].since) == (None, 0, None)
-
-
 def test_hysteresis_is_one_sided(spark):
     rows = [(1, at(i), i, v) for i, v in enumerate([4.5, 5.0, 4.5, 4.0, 4.5, 5.0])]
     df = spark.createDataFrame(rows, "tag_id long, t timestamp, seq long, value double")

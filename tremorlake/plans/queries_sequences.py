@@ -282,6 +282,85 @@ def state_changes(spark, d):
     return out.groupBy("tag_id", "state").agg(F.count("*").alias("n"))
 
 
+def _streamed(spark, build, mode="append"):
+    """The rows that a stream writes over the event files until they are all read, through a file sink in the shared folder."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+    from .inputs import stream_samples
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = build(stream_samples)
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+#: A stream settles what its watermark has passed, in whole milliseconds.
+_SETTLED = f"{_PLACED}, settled AS (SELECT * FROM placed WHERE t <= (SELECT date_trunc('milliseconds', max(t)) FROM placed))"
+
+
+@query(
+    f"""WITH {_SETTLED}, s AS (SELECT tag_id, seq, t, value, CASE WHEN value <= 0.5 THEN true WHEN value >= 1.0 THEN false END AS lo, CASE WHEN value >= 8 THEN true WHEN value <= 7.5 THEN false END AS hi, CASE WHEN value >= 12 THEN true WHEN value <= 11.5 THEN false END AS hh FROM settled),
+    a AS (SELECT *, coalesce(last_value(lo IGNORE NULLS) OVER w, false) AS lo_, coalesce(last_value(hi IGNORE NULLS) OVER w, false) AS hi_, coalesce(last_value(hh IGNORE NULLS) OVER w, false) AS hh_ FROM s WINDOW w AS (PARTITION BY tag_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    l AS (SELECT tag_id, seq, t, value, unnest(['LO', 'HI', 'HH']) AS level, unnest([lo_, hi_, hh_]) AS active FROM a),
+    b AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY tag_id, level ORDER BY t, seq), false) AS before FROM l)
+    SELECT tag_id, level, CASE WHEN active THEN 'raised' ELSE 'cleared' END AS kind, t, value FROM b WHERE active <> before"""
+)
+def stream_limit_alarms(spark, d):
+    """Alarms of three levels as a stream raises and clears them."""
+    from ..streaming.stateful import limit_alarms_stream
+
+    def build(source):
+        return limit_alarms_stream(source(spark, d).withColumnRenamed("tag_id", "key"), {"LO": 0.5, "HI": 8.0, "HH": 12.0}, 0.5)
+
+    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "level", "kind", "t", "value"))
+
+
+@query(
+    f"""WITH {_SETTLED}, s AS (SELECT tag_id, t, seq, value, CASE WHEN value >= 10 THEN 'high' WHEN value >= 5 THEN 'raised' WHEN seq % 50 = 0 THEN 'exception' ELSE 'normal' END AS state FROM settled), b AS (SELECT *, lag(state) OVER (PARTITION BY tag_id ORDER BY t, seq) AS before FROM s)
+    SELECT tag_id, before, state, t, value FROM b WHERE before IS NULL OR before <> state"""
+)
+def stream_state_changes(spark, d):
+    """Changes of a state table as a stream tells them."""
+    from ..streaming.stateful import state_changes_stream
+
+    def build(source):
+        v = F.when((F.col("seq") % 50 != 0) | (F.col("value") >= 5), F.col("value"))
+        return state_changes_stream(source(spark, d).withColumnRenamed("tag_id", "key"), alarms.state_of(v, [(10.0, 1e9, "high"), (5.0, 1e9, "raised")]))
+
+    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "before", "state", "t", "value"))
+
+
+@query(
+    f"""WITH {_SETTLED}, o AS (SELECT *, value >= 3 AS on_ FROM settled), c AS (SELECT *, CASE WHEN on_ = lag(on_) OVER (PARTITION BY tag_id ORDER BY t, seq) THEN 0 ELSE 1 END AS new FROM o), r AS (SELECT *, sum(new) OVER (PARTITION BY tag_id ORDER BY t, seq) AS run FROM c),
+    g AS (SELECT tag_id, run, on_, min(t) AS t, arg_min(value, t) AS value FROM r GROUP BY tag_id, run, on_), e AS (SELECT date_trunc('milliseconds', max(t)) AS until FROM placed), h AS (SELECT g.*, (epoch_us(coalesce(lead(t) OVER (PARTITION BY tag_id ORDER BY run), until)) - epoch_us(t)) / 1e6 AS held FROM g CROSS JOIN e),
+    s AS (SELECT * FROM h WHERE (on_ AND held >= 36000) OR (NOT on_ AND held >= 18000)), f AS (SELECT *, coalesce(lag(on_) OVER (PARTITION BY tag_id ORDER BY run), false) <> on_ AS first FROM s)
+    SELECT tag_id, CASE WHEN on_ THEN 'raised' ELSE 'cleared' END AS kind, t, value FROM f WHERE first"""
+)
+def stream_debounced_alarms(spark, d):
+    """Alarms with delays that timers end, as a stream tells them."""
+    from ..streaming.stateful import debounced_stream
+
+    def build(source):
+        return debounced_stream(source(spark, d).withColumnRenamed("tag_id", "key"), F.col("value") >= 3, 36000, 18000)
+
+    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "kind", "t", "value"))
+
+
+@query(
+    f"""WITH {SAMPLES}, s AS (SELECT tag_id % 40 AS source, t FROM samples), n AS (SELECT *, lead(t) OVER (PARTITION BY source ORDER BY t) AS after, (SELECT date_trunc('milliseconds', max(t)) FROM samples) AS now FROM s),
+    q AS (SELECT source, t FROM n WHERE t + INTERVAL 2 HOUR <= coalesce(after, now) AND t + INTERVAL 2 HOUR <= now), p AS (SELECT DISTINCT tag_id, tag_id % 40 AS source FROM samples)
+    SELECT source, tag_id, t, t + INTERVAL 2 HOUR AS silent_from, -1007 AS status_code FROM q JOIN p USING (source)"""
+)
+def stream_silent_sources(spark, d):
+    """Out-of-service rows of every silence of two hours, as a stream writes them."""
+    from ..streaming.stateful import silence_stream
+
+    points = samples(spark, d).select("tag_id", (F.col("tag_id") % 40).alias("source")).distinct()
+    out = _streamed(spark, lambda source: silence_stream(source(spark, d).withColumn("source", F.col("tag_id") % 40), points, 7200.0))
+    return plain_times(out.select("source", "tag_id", "t", "silent_from", "status_code"))
+
+
 @query(
     f"""WITH {SAMPLES}, l AS (SELECT tag_id % 40 AS source, max(t) AS t FROM samples GROUP BY 1), p AS (SELECT DISTINCT tag_id, tag_id % 40 AS source FROM samples)
     SELECT source, tag_id, t, -1007 AS status_code FROM p JOIN l USING (source) WHERE epoch(TIMESTAMP '2024-01-31') - epoch(t) >= 7200"""
@@ -327,16 +406,8 @@ def final_values(spark, d):
     SELECT * FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 5 SECOND FROM samples)"""
 )
 def stream_beat_peaks(spark, d):
-    """The finished beats of a stream over the event files, written by a file sink in the shared folder."""
-    import uuid
-
-    from ..sources.shared import shared_dir
+    """The finished beats of a stream over the event files."""
     from ..streaming.beats import beat_peaks
-    from .inputs import stream_samples
 
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    beats = beat_peaks(stream_samples(spark, d), 86400)
-    q = beats.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.schema(beats.schema).parquet(f"{at}/out")
+    out = _streamed(spark, lambda source: beat_peaks(source(spark, d), 86400))
     return plain_times(out.select("binding", "role", "window_start", "n", "n_good", "peak"))

@@ -1,17 +1,14 @@
-"""Alarms with delay and hysteresis, state across beats, silence of sources, per-tag compression.
+"""Alarms with delay and hysteresis, silence of sources, per-tag compression, over whole tables.
 
-Each has a batch form on Spark's windows and, where state is needed, a streaming form on applyInPandasWithState;
-both count time on the samples' own axis.
+stateful.py has the streaming forms; both count time on the samples' own axis.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def state_of(value: Column, rows: list[tuple[float, float, str]], exception: str = "exception") -> Column:
@@ -29,18 +26,18 @@ def state_changes(samples: DataFrame, state: Column, by: list[str]) -> DataFrame
     return marked.where(F.col("before").isNull() | (F.col("before") != F.col("state")))
 
 
-def debounced(samples: DataFrame, condition: Column, by: list[str], on_s: float, off_s: float) -> DataFrame:
+def debounced(samples: DataFrame, condition: Column, by: list[str], on_s: float, off_s: float, until: Column | None = None) -> DataFrame:
     """(by, kind, t, value): alarms raised after the condition held on_s, cleared after it was gone off_s.
 
     An event carries the time at which its run of the condition began, and that sample's value. A run lasts until the next one
-    begins, the last one until its last sample.
+    begins, the last one until its last sample, or until the time until if given.
     """
     w = Window.partitionBy(*by).orderBy("t", "seq")
     rows = samples.withColumn("on", F.coalesce(condition, F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.coalesce((F.col("on") != F.lag("on").over(w)).cast("int"), F.lit(1))).over(w))
     runs = rows.groupBy(*by, "run", "on").agg(F.min("t").alias("t"), F.max("t").alias("last"), F.min_by("value", F.struct("t", "seq")).alias("value"))
     v = Window.partitionBy(*by).orderBy("run")
-    held = (F.unix_micros(F.coalesce(F.lead("t").over(v), F.col("last"))) - F.unix_micros("t")) / 1e6
+    held = (F.unix_micros(F.coalesce(F.lead("t").over(v), F.col("last") if until is None else F.greatest("last", until))) - F.unix_micros("t")) / 1e6
     solid = runs.withColumn("held", held).where((F.col("on") & (F.col("held") >= on_s)) | (~F.col("on") & (F.col("held") >= off_s)))
     # of solid runs in a row of one kind the first tells; a series begins cleared
     first = F.coalesce(F.lag("on").over(v), F.lit(False)) != F.col("on")
@@ -65,6 +62,22 @@ def limit_levels(samples: DataFrame, limits: dict[str, float], dead_band: float,
     return out
 
 
+def limit_events(samples: DataFrame, limits: dict[str, float], dead_band: float, by: list[str]) -> DataFrame:
+    """(by, level, kind, t, seq, value) where a level of limit_levels is raised or cleared; all are clear at first."""
+    w = Window.partitionBy(*by).orderBy("t", "seq")
+    rows = limit_levels(samples, limits, dead_band, by)
+    each = F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("active"), F.coalesce(F.lag(n).over(w), F.lit(False)).alias("before")) for n in limits])
+    rows = rows.select(*by, "t", "seq", "value", F.filter(each, lambda x: x["active"] != x["before"]).alias("x")).select(*by, "t", "seq", "value", F.inline("x"))
+    return rows.select(*by, "level", F.when(F.col("active"), "raised").otherwise("cleared").alias("kind"), "t", "seq", "value")
+
+
+def active_levels(samples: DataFrame, limits: dict[str, float], dead_band: float, by: list[str]) -> DataFrame:
+    """(by, level, active) after the last sample of each series: the state from which a stream goes on."""
+    rows = limit_levels(samples, limits, dead_band, by)
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(*limits), F.struct("t", "seq")).alias("x"))
+    return last.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"x.{n}").alias("active")) for n in limits])))
+
+
 def silent_sources(samples: DataFrame, points: DataFrame, now: Column, limit_s: float = 300.0) -> DataFrame:
     """One out-of-service row (code -1007) for each point of a source that has been silent for the limit, at its last sample."""
     last = samples.groupBy("source").agg(F.max("t").alias("last_t"))
@@ -72,58 +85,6 @@ def silent_sources(samples: DataFrame, points: DataFrame, now: Column, limit_s:
     return points.join(silent, "source").select("source", "tag_id", F.col("last_t").alias("t"), F.lit(None).cast("double").alias("value"), F.lit(-1007).alias("status_code"))
 
 
-def debounced_stream(samples: DataFrame, threshold: float, on_s: float, off_s: float) -> DataFrame:
-    """Streaming debounced(): samples (key, t, value) of a watermarked stream; rows (key, kind, t, value).
-
-    Samples of a batch are taken in time order; those older than the last one seen of their key are ignored.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alarm, on, since, value, last = state.get if state.exists else (False, False, 0, 0.0, -1)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("t").itertuples():
-            us, now = int(row.t.value // 1000), row.value is not None and row.value >= threshold
-            if us <= last:
-                continue
-            if now != on or last < 0:
-                on, since, value = bool(now), us, float(row.value)
-            if on != alarm and us - since >= (on_s if on else off_s) * 1e6:
-                alarm = on
-                out.append((key[0], "raised" if on else "cleared", pd.Timestamp(since, unit="us"), value))
-            last = us
-        state.update((alarm, on, since, value, last))
-        yield pd.DataFrame(out, columns=["key", "kind", "t", "value"])
-
-    state = "alarm boolean, on boolean, since long, value double, last long"
-    return samples.groupBy("key").applyInPandasWithState(step, "key long, kind string, t timestamp, value double", state, "append", GroupStateTimeout.NoTimeout)
-
-
-def carried_state(beats: DataFrame, most_bytes: int = 256 * 1024) -> DataFrame:
-    """State of each binding across beats (key, t, state_json): null keeps it, {} clears it, others replace it if they are JSON objects of
-    bounded size. Streaming; rows (key, state, since, writes) after each batch, since the time of the first write."""
-
-    def legal(text: str) -> bool:
-        try:
-            return len(text.encode()) <= most_bytes and isinstance(json.loads(text), dict)
-        except ValueError:
-            return False
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, since, writes = state.get if state.exists else ("", 0, 0)
-        for row in pd.concat(list(frames)).sort_values("t").itertuples():
-            text = row.state_json
-            if not isinstance(text, str) or not legal(text):
-                continue
-            if json.loads(text) == {}:
-                kept, since, writes = "", 0, 0
-            else:
-                kept, since, writes = text, since or int(row.t.value // 1000), writes + 1
-        state.update((kept, since, writes))
-        yield pd.DataFrame([(key[0], kept or None, pd.Timestamp(since, unit="us") if since else None, writes)], columns=["key", "state", "since", "writes"])
-
-    return beats.groupBy("key").applyInPandasWithState(step, "key long, state string, since timestamp, writes long", "state string, since long, writes long", "update", GroupStateTimeout.NoTimeout)
-
-
 def drop_equal(samples: DataFrame, by: list[str], frozen_s: float) -> DataFrame:
     """Samples that differ from the one before, or come frozen_s or more after it; the first of each series stays."""
     w = Window.partitionBy(*by).orderBy("t", "seq")
