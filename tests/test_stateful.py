@@ -162,3 +162,52 @@ def test_silence_fires_once_and_arms_again(spark):
     assert tuples(batch, "source", "tag_id", "t") == collections.Counter(w for w in want if w[2] == at(880).replace(tzinfo=None))
     every = stateful.silence_stream(rows, points, 300).where(F.col("silent_from") <= now)
     assert tuples(every, "source", "tag_id", "t") == got
+
+
+def test_each_image_is_told_once(spark):
+    """Late, doubled, zone-less, empty and too large files, with restarts between them."""
+    from tremorlake.streaming import images
+
+    folder = tempfile.mkdtemp(prefix="spark-images-", dir="/tmp")
+    bindings = spark.createDataFrame([("m1", True), ("m2", False)], "binding string, enabled boolean")
+    files = Stream(spark, "name string, modified timestamp, length long, content binary")
+    told = Stream(spark, "name string, binding string, captured_at string, received timestamp")
+
+    def run():
+        f = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{files.at}/in/*")
+        c = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{told.at}/in/*")
+        out = images.image_events(images.scored_files(f, lambda x: x.withColumn("bright", F.length("content").cast("long")), 100), c, bindings, 600, 600, 100)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return {r.name: r for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()}, spark.read.schema(out.schema).parquet(f"{folder}/out").count()
+
+    image = lambda name, s, n=5: (name, at(s), n, b"x" * n)
+    files.add([image("a", 0), image("a", 0), image("early", 10), image("empty", 20, 0), image("big", 30, 101), image("bare", 40), image("off", 50), image("lost", 60), image("odd", 65)])
+    told.add([("a", "m1", "2026-09-17T09:59:00+02:00", at(5)), ("a", "m1", "2026-09-17T09:59:00+02:00", at(6)), ("bare", "m1", "2026-09-17T08:00:00", at(41)), ("off", "m2", "2026-09-17T08:00:00Z", at(51))])
+    got, n = run()
+    assert n == len(got) == 3 and (got["a"].t, got["a"].bright, got["a"].reject) == (dt.datetime(2026, 9, 17, 7, 59), 5, None)
+    told.add([("early", "m1", "2026-09-17T08:00:09Z", at(400)), ("empty", "m1", "2026-09-17T08:00:00Z", at(300)), ("big", "m1", "2026-09-17T08:00:00Z", at(310)), ("odd", "m9", "yesterday", at(320))])
+    files.add([image("a", 3), image("later", 350)])
+    got, n = run()
+    assert n == len(got) == 7 and got["early"].t == dt.datetime(2026, 9, 17, 8, 0, 9)
+    files.add([image("far", 5000)])
+    told.add([("far", "m1", "2026-09-17T10:00:00Z", at(5000)), ("lost", "m1", "2026-09-17T08:00:00Z", at(4990))])
+    got, n = run()
+    why = {k: r.reject for k, r in got.items()}
+    assert n == len(got) and why == {"a": None, "early": None, "far": None, "empty": "empty", "big": "too large", "bare": "capture time without zone", "off": "binding disabled", "odd": "unknown binding", "lost": "no capture event", "later": "no capture event"}
+    assert all((r.t is None) == (r.bright is None) == (r.reject is not None) for r in got.values())
+
+
+def test_content_is_read_of_usable_files_only(spark):
+    from tremorlake.sources.samples import read_images
+
+    folder = tempfile.mkdtemp(prefix="spark-images-", dir="/tmp")
+    for name, n in (("a", 10), ("b", 0), ("c", 200), ("d", 10), ("e", 10), ("f", 10)):
+        with open(f"{folder}/{name}.png", "wb") as f:
+            f.write(b"x" * n)
+    times = [("a", "2026-09-17T08:00:00Z"), ("b", "2026-09-17T08:00:00Z"), ("c", "2026-09-17T08:00:00Z"), ("d", "2026-09-17T08:00:00"), ("e", "2026-13-45T08:00:00Z")]
+    captured = spark.createDataFrame([(f"file:{folder}/{n}.png", t) for n, t in times], "path string, captured_at string")
+    out = read_images(spark, folder, captured, 100)
+    got = {r.path[-5]: (r.reject, r.content and len(r.content), r.t) for r in out.collect()}
+    none = lambda why: (why, None)
+    assert got["a"] == (None, 10, dt.datetime(2026, 9, 17, 8)) and {k: v[:2] for k, v in got.items() if k != "a"} == {"b": none("empty"), "c": none("too large"), "d": none("capture time without zone"), "e": none("no ISO-8601 capture time"), "f": none("capture time missing")}
+    assert "LessThanOrEqual(length,100)" in out._jdf.queryExecution().toString()

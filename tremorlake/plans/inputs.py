@@ -38,11 +38,16 @@ def _as_samples(e: DataFrame) -> DataFrame:
     )
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    df = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
+
+
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same samples as a stream of the event files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return _as_samples(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    return _as_samples(stream_table(spark, sf_dir, "events"))
 
 
 SAMPLES = """samples AS (SELECT event_id AS seq, user_id AS tag_id, user_id % 25 AS binding, ts AS t, value / 10 AS value,

@@ -282,7 +282,7 @@ def state_changes(spark, d):
     return out.groupBy("tag_id", "state").agg(F.count("*").alias("n"))
 
 
-def _streamed(spark, build, mode="append"):
+def streamed(spark, build, mode="append"):
     """The rows that a stream writes over the event files until they are all read, through a file sink in the shared folder."""
     import uuid
 
@@ -313,7 +313,7 @@ def stream_limit_alarms(spark, d):
     def build(source):
         return limit_alarms_stream(source(spark, d).withColumnRenamed("tag_id", "key"), {"LO": 0.5, "HI": 8.0, "HH": 12.0}, 0.5)
 
-    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "level", "kind", "t", "value"))
+    return plain_times(streamed(spark, build).select(F.col("key").alias("tag_id"), "level", "kind", "t", "value"))
 
 
 @query(
@@ -328,7 +328,7 @@ def stream_state_changes(spark, d):
         v = F.when((F.col("seq") % 50 != 0) | (F.col("value") >= 5), F.col("value"))
         return state_changes_stream(source(spark, d).withColumnRenamed("tag_id", "key"), alarms.state_of(v, [(10.0, 1e9, "high"), (5.0, 1e9, "raised")]))
 
-    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "before", "state", "t", "value"))
+    return plain_times(streamed(spark, build).select(F.col("key").alias("tag_id"), "before", "state", "t", "value"))
 
 
 @query(
@@ -344,7 +344,7 @@ def stream_debounced_alarms(spark, d):
     def build(source):
         return debounced_stream(source(spark, d).withColumnRenamed("tag_id", "key"), F.col("value") >= 3, 36000, 18000)
 
-    return plain_times(_streamed(spark, build).select(F.col("key").alias("tag_id"), "kind", "t", "value"))
+    return plain_times(streamed(spark, build).select(F.col("key").alias("tag_id"), "kind", "t", "value"))
 
 
 @query(
@@ -357,7 +357,7 @@ def stream_silent_sources(spark, d):
     from ..streaming.stateful import silence_stream
 
     points = samples(spark, d).select("tag_id", (F.col("tag_id") % 40).alias("source")).distinct()
-    out = _streamed(spark, lambda source: silence_stream(source(spark, d).withColumn("source", F.col("tag_id") % 40), points, 7200.0))
+    out = streamed(spark, lambda source: silence_stream(source(spark, d).withColumn("source", F.col("tag_id") % 40), points, 7200.0))
     return plain_times(out.select("source", "tag_id", "t", "silent_from", "status_code"))
 
 
@@ -409,5 +409,5 @@ def stream_beat_peaks(spark, d):
     """The finished beats of a stream over the event files."""
     from ..streaming.beats import beat_peaks
 
-    out = _streamed(spark, lambda source: beat_peaks(source(spark, d), 86400))
+    out = streamed(spark, lambda source: beat_peaks(source(spark, d), 86400))
     return plain_times(out.select("binding", "role", "window_start", "n", "n_good", "peak"))

@@ -108,6 +108,45 @@ def captured_at(spark, d):
     return plain_times(table(spark, d, "orders").select("o_orderkey", src.iso_captured_at(text).alias("captured_at")))
 
 
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 6 = 1 THEN NULL WHEN o_orderkey % 6 = 2 THEN 'capture time without zone' WHEN o_orderkey % 6 = 3 THEN 'no ISO-8601 capture time' ELSE 'capture time missing' END AS problem FROM orders"""
+)
+def capture_time_problems(spark, d):
+    k, day = F.col("o_orderkey") % 6, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, F.concat(day, F.lit("z"))).when(k == 1, F.concat(F.lit(" "), day, F.lit(".5+0200"))).when(k == 2, day).when(k == 3, F.concat(day, F.lit("Z?"))).when(k == 4, " ")
+    return table(spark, d, "orders").select("o_orderkey", src.capture_time_problem(text).alias("problem"))
+
+
+@query(
+    """WITH f AS (SELECT event_id, ts + to_minutes(event_id % 5) AS modified, CASE WHEN event_id % 50 = 0 THEN 0 WHEN event_id % 49 = 0 THEN 30000000 ELSE 1000 END AS length, user_id % 27 AS binding, value,
+      CASE event_id % 8 WHEN 0 THEN 'capture time without zone' WHEN 1 THEN 'capture time missing' END AS problem, ts + INTERVAL 90 MINUTE AS t FROM events),
+    r AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'no capture event' WHEN n_nationkey IS NULL THEN 'unknown binding' WHEN n_regionkey = 0 THEN 'binding disabled' WHEN length = 0 THEN 'empty' WHEN length > 20971520 THEN 'too large' ELSE problem END AS reject
+      FROM f LEFT JOIN nation ON n_nationkey = binding WHERE modified <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events))
+    SELECT 'img-' || event_id AS name, CASE WHEN event_id % 13 > 0 THEN binding END AS binding, CASE WHEN reject IS NULL THEN date_trunc('second', t) END AS t, CASE WHEN reject IS NULL THEN value * 2 END AS score, reject FROM r"""
+)
+def stream_image_events(spark, d):
+    """Images and their capture events as two streams over the event files: late, doubled, missing and zone-less ones among them."""
+    from ..streaming.images import image_events, scored_files
+    from .inputs import stream_table
+    from .queries_sequences import streamed
+
+    def build(_):
+        e, k = stream_table(spark, d, "events"), F.col("event_id")
+        name = F.concat(F.lit("img-"), k)
+        size = F.when(k % 50 == 0, 0).when(k % 49 == 0, 30_000_000).otherwise(1000)
+        files = e.select(name.alias("name"), (F.col("ts") + F.make_interval(mins=(k % 5).cast("int"))).alias("modified"), size.alias("length"), F.col("value").cast("string").cast("binary").alias("content"), k)
+        files = files.withColumn("copy", F.explode(F.when(k % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy", "event_id")
+        text = F.date_format(F.col("ts") + F.expr("INTERVAL 210 MINUTE"), "yyyy-MM-dd'T'HH:mm:ss")
+        raw = F.when(k % 8 == 0, text).when(k % 8 > 1, F.concat(text, F.lit("+02:00")))
+        told = e.where(k % 13 > 0).select(name.alias("name"), (F.col("user_id") % 27).alias("binding"), raw.alias("captured_at"), F.col("ts").alias("received"), k)
+        told = told.withColumn("copy", F.explode(F.when(k % 12 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy", "event_id")
+        bindings = table(spark, d, "nation").select(F.col("n_nationkey").alias("binding"), (F.col("n_regionkey") > 0).alias("enabled"))
+        return image_events(scored_files(files, lambda x: x.withColumn("score", F.col("content").cast("string").cast("double") * 2)), told, bindings)
+
+    last = table(spark, d, "events").agg(F.max("ts") - F.expr("INTERVAL 2 HOUR")).first()[0]
+    return plain_times(streamed(spark, build).where(F.col("modified") <= F.lit(last)).select("name", "binding", "t", "score", "reject"))
+
+
 @query(
     f"""WITH {SAMPLES}, f AS (SELECT role, avg(v) AS m, stddev_pop(v) AS s FROM good WHERE seq % 2 = 0 GROUP BY role) SELECT seq, round(CASE WHEN s > 0 THEN (v - m) / s END, 6) AS z FROM good JOIN f USING (role)"""
 )

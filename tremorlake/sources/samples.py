@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Numeric types of buffers.
+#: The largest image, and numeric types of buffers.
+IMAGE_BYTES = 20 << 20
 DTYPES = ("i1", "u1", "i2", "u2", "i4", "u4", "i8", "u8", "f4", "f8")
 
 
@@ -100,18 +101,37 @@ def read_wave_csv(spark, paths, sample_columns: int = 6) -> DataFrame:
     return lines.where(count(F.col("v")) >= sample_columns).select("file", "seq", *[F.get("v", i).alias(n) for i, n in enumerate(names)])
 
 
-def read_images(spark, path: str, captured: DataFrame, limit: int = 20 << 20) -> DataFrame:
-    """Image files with captured (path, captured_at text) and a reject reason, null if usable."""
-    files = spark.read.format("binaryFile").load(path).join(captured, "path", "left")
-    at = iso_captured_at(F.col("captured_at"))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too large").when(at.isNull(), "no zoned capture time")
-    return files.withColumn("t", at).withColumn("reject", reason)
+def read_images(spark, path: str, captured: DataFrame, limit: int = IMAGE_BYTES) -> DataFrame:
+    """Image files with captured (path, captured_at text) and a reject reason, null if usable; content is read of usable ones only.
+
+    What is known without content decides first; the rest filters on length, which the reader of files takes over. Spark lists no files
+    without content, so a captured path that has no file counts as empty.
+    """
+    at = F.col("captured_at")
+    reason = F.when(F.coalesce(F.col("length"), F.lit(0)) == 0, "empty").when(F.col("length") > limit, "too large").otherwise(capture_time_problem(at))
+    files = lambda: spark.read.format("binaryFile").load(path)
+    known = files().drop("content").join(captured, "path", "full").withColumn("t", iso_captured_at(at)).withColumn("reject", reason)
+    usable = files().where((F.col("length") > 0) & (F.col("length") <= limit)).join(captured.where(capture_time_problem(at).isNull()), "path").withColumn("t", iso_captured_at(at))
+    names = ["path", "modificationTime", "length", *[c for c in captured.columns if c != "path"], "t", "reject", "content"]
+    refused = known.where("reject IS NOT NULL").withColumn("content", F.lit(None).cast("binary"))
+    return refused.select(names).union(usable.withColumn("reject", F.lit(None).cast("string")).select(names))
+
+
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_ZONE = r"([Zz]|[+-]\d{2}:?\d{2})$"
 
 
 def iso_captured_at(raw: Column) -> Column:
     """An ISO-8601 time with its zone, Z or an offset; null without a zone."""
-    zoned = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, raw.try_cast("timestamp"))
+    raw = F.upper(F.trim(raw))
+    return F.when(raw.rlike(_ISO + _ZONE), raw.try_cast("timestamp"))
+
+
+def capture_time_problem(raw: Column) -> Column:
+    """Why a capture time can't be used, null if it can."""
+    blank = F.coalesce(F.trim(raw), F.lit("")) == ""
+    bare = F.trim(raw).rlike(_ISO + "$") & F.trim(raw).try_cast("timestamp").isNotNull()
+    return F.when(blank, "capture time missing").when(bare, "capture time without zone").when(iso_captured_at(raw).isNull(), "no ISO-8601 capture time")
 
 
 def list_media(media: DataFrame, tag: int, begin: Column, end: Column | None, limit: int) -> DataFrame:
