@@ -31,13 +31,6 @@ def test_hysteresis_is_one_sided(spark):
     assert [r.active for r in got] == [False, True, True, False, False, True]
 
 
-def test_swinging_door_keeps_corners(spark):
-    rows = [(1, at(i), i, float(v)) for i, v in enumerate([0, 1, 2, 3, 4, 3, 2, 1, 0])]
-    df = spark.createDataFrame(rows, "tag_id long, t timestamp, seq long, value double")
-    got = alarms.swinging_door(df, ["tag_id"], 0.01).orderBy("seq").collect()
-    assert [r.seq for r in got] == [0, 4, 8]
-
-
 def test_last_version_of_a_revisable_value(spark):
     path = tempfile.mkdtemp(prefix="spark-upsert-", dir="/tmp") + "/t"
     for batch, v in ((0, 1.0), (1, 2.0), (1, 3.0)):

@@ -381,7 +381,18 @@ def drop_equal(spark, d):
 
 @query()
 def swinging_door(spark, d):
-    return alarms.swinging_door(samples(spark, d), BY, 1.0).groupBy("tag_id").agg(F.count("*").alias("kept"))
+    from ..streaming.doors import swinging_door as door
+
+    return door(samples(spark, d), BY, 1.0).groupBy("tag_id").agg(F.count("*").alias("kept"))
+
+
+@query()
+def stream_swinging_door(spark, d):
+    """Samples that a stream keeps by swinging doors; those of swinging_door but for the last of each series, which is still open."""
+    from ..streaming.doors import swinging_door_stream
+
+    out = streamed(spark, lambda source: swinging_door_stream(source(spark, d).withColumnRenamed("tag_id", "key"), 1.0))
+    return out.groupBy(F.col("key").alias("tag_id")).agg(F.count("*").alias("kept"))
 
 
 @query(

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     made = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

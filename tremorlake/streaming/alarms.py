@@ -1,13 +1,10 @@
-"""Alarms with delay and hysteresis, silence of sources, per-tag compression, over whole tables.
+"""Alarms with delay and hysteresis, silence of sources, equal values dropped, over whole tables.
 
 stateful.py has the streaming forms; both count time on the samples' own axis.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -91,44 +88,3 @@ def drop_equal(samples: DataFrame, by: list[str], frozen_s: float) -> DataFrame:
     same = F.col("value").eqNullSafe(F.lag("value").over(w)) & (F.row_number().over(w) > 1)
     soon = (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))) / 1e6 < frozen_s
     return samples.withColumn("keep", ~(same & F.coalesce(soon, F.lit(False)))).where("keep").drop("keep")
-
-
-def swinging_door(samples: DataFrame, by: list[str], error: float) -> DataFrame:
-    """The published swinging-door compression with an absolute error: samples from which the rest is linear within it.
-
-    A series is sequential: each (by, day) is walked in time order, whose first and last samples stay. Days of all series are dealt
-    evenly, and a task streams through its sorted rows with one sample of state.
-    """
-    keys = [*by, "_day"]
-    rows = samples.where("value IS NOT NULL").withColumn("_day", F.to_date("t"))
-    names = samples.columns
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, at, last, shut = None, None, None, True
-        high = low = 0.0
-        for batch in batches:
-            out = []
-            now = batch["t"].astype("int64").to_numpy() / (1e9 if batch["t"].dtype.str.endswith("[ns]") else 1e6)
-            values, ids = batch["value"].to_numpy(float), list(zip(*(batch[k] for k in keys)))
-            full = list(batch[names].itertuples(index=False, name=None))
-            for t, v, key, row in zip(now, values, ids, full):
-                if key != series:
-                    if not shut:
-                        out.append(last[2])
-                    out.append(row)
-                    series, at, last, shut = key, (t, v), (t, v, row), True
-                    high, low = float("inf"), float("-inf")
-                    continue
-                dt = max(t - at[0], 1e-9)
-                high, low = min(high, (v + error - at[1]) / dt), max(low, (v - error - at[1]) / dt)
-                if low > high:
-                    if not shut:
-                        out.append(last[2])
-                    at, dt = last[:2], max(t - last[0], 1e-9)
-                    high, low = (v + error - at[1]) / dt, (v - error - at[1]) / dt
-                last, shut = (t, v, row), False
-            yield pd.DataFrame(out, columns=names)
-        if not shut:
-            yield pd.DataFrame([last[2]], columns=names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "seq").mapInPandas(walk, samples.schema)

@@ -43,6 +43,10 @@ class InOrder(StatefulProcessor):
         """What the key keeps after rows (us, seq, value, label), rows that go out, and when to wake it, in microseconds; now is the watermark."""
         raise NotImplementedError
 
+    def farewell(self, key, kept: tuple | None) -> list[tuple]:
+        """Rows that go out when a key is forgotten."""
+        return []
+
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, seq long, value double, label string")
@@ -80,6 +84,7 @@ class InOrder(StatefulProcessor):
         if len(us):
             self.last.update((last,))
         if last is not None and last + self.forget <= now and not len(held):
+            out = out + self.farewell(key, kept)
             self.kept.clear()
             self.last.clear()
         else:
