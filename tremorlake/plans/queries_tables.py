@@ -461,6 +461,12 @@ def envelope_snr(spark, d):
     return _signal(spark, d, ["snr", "white_snr"], lambda x, a: {"snr": signal.envelope_snr(x, a["fs"], a["fault"]), "white_snr": signal.envelope_snr(signal.prewhitened(x), a["fs"], a["fault"])})
 
 
+@query()
+def cyclic_coherence(spark, d):
+    """Modulation of each wave at its fault frequency and at its double."""
+    return _signal(spark, d, ["once", "twice"], lambda x, a: dict(zip(("once", "twice"), signal.cyclic_coherence(x, a["fs"], a["fault"][:, None] * [1, 2], 16).T)))
+
+
 @query()
 def harmonic_count(spark, d):
     def f(x, a):
