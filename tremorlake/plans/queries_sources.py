@@ -147,6 +147,34 @@ def stream_image_events(spark, d):
     return plain_times(streamed(spark, build).where(F.col("modified") <= F.lit(last)).select("name", "binding", "t", "score", "reject"))
 
 
+_CAPTURE_CHANNELS = "l_quantity, l_extendedprice, l_discount, l_tax, l_partkey, l_suppkey"
+
+
+@query(
+    f"""WITH l AS (SELECT *, l_orderkey % 40 AS capture FROM lineitem WHERE l_orderkey % 40 <> 7 OR l_orderkey < 200), n AS (SELECT capture, count(*) AS rows, count(*) FILTER (capture = 3 AND l_linenumber = 1) AS bad, count(*) FILTER (l_linenumber = 1) AS ones FROM l GROUP BY capture),
+    r AS (SELECT capture, rows, CASE WHEN bad > 0 THEN 'not numbers: ' || bad || ' lines' WHEN capture = 9 AND ones < rows THEN 'ragged: 8 to 9 columns' WHEN capture = 5 THEN 'columns: 7' WHEN rows < 50 THEN 'short: ' || rows || ' rows' END AS reject FROM n),
+    c AS (SELECT capture, unnest([1, 2, 3, 4, 5, 6]) AS channel, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in _CAPTURE_CHANNELS.split(', '))}]) AS x FROM l),
+    s AS (SELECT capture, channel, avg(x) AS mean, stddev_pop(x) AS deviation, kurtosis_pop(x) + 3 AS kurt, greatest(max(x) - avg(x), avg(x) - min(x)) / stddev_pop(x) AS crest FROM c GROUP BY capture, channel)
+    SELECT r.capture, rows, reject, channel, round(mean, 6) AS mean, round(deviation, 6) AS deviation, round(kurt, 6) AS kurt, round(crest, 6) AS crest FROM r LEFT JOIN s ON s.capture = r.capture AND reject IS NULL"""
+)
+def capture_features(spark, d):
+    """Statistics of the channels of text files written from a table; some have words, a column too few, uneven lines or too few of them."""
+    import uuid
+
+    from ..sources.captures import capture_statistics, read_captures
+    from ..sources.shared import shared_dir
+
+    rows = table(spark, d, "lineitem").withColumn("capture", F.col("l_orderkey") % 40).where((F.col("capture") != 7) | (F.col("l_orderkey") < 200))
+    first = F.col("l_linenumber") == 1
+    fields = [F.when((F.col("capture") == 3) & first, "x").otherwise(F.col("l_linenumber").cast("string")), *[F.col(c).cast("string") for c in _CAPTURE_CHANNELS.split(", ")]]
+    fields += [F.when(F.col("capture") != 5, F.col("l_orderkey").cast("string")), F.when((F.col("capture") == 9) & ~first, "1")]
+    at = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    rows.select(F.concat_ws(", ", *fields).alias("value"), "capture").repartition("capture").write.partitionBy("capture").text(at)
+    told = capture_statistics(read_captures(spark, at), 8, 50)
+    told = told.select(F.regexp_extract("file", r"capture=(\d+)", 1).cast("long").alias("capture"), "rows", "reject", F.inline_outer("stats"))
+    return told.select("capture", "rows", "reject", "channel", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "kurt", "crest")])
+
+
 @query(
     f"""WITH {SAMPLES}, f AS (SELECT role, avg(v) AS m, stddev_pop(v) AS s FROM good WHERE seq % 2 = 0 GROUP BY role) SELECT seq, round(CASE WHEN s > 0 THEN (v - m) / s END, 6) AS z FROM good JOIN f USING (role)"""
 )
