@@ -532,6 +532,61 @@ def fault_classifier(spark, d):
     return evaluation.classification_report(scored)
 
 
+_STUDY = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS wave, CAST(label % 3 AS VARCHAR) AS label, vec_id % 50 AS grp FROM embeddings),
+    t0 AS (SELECT vec_id, wave, label, grp, unnest(CASE label WHEN '0' THEN ['0 or 1', 'all'] WHEN '1' THEN ['0 or 1', '1 or 2', 'all'] ELSE ['1 or 2', 'all'] END) AS task FROM e),
+    h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM e WHERE label = '0'),
+    t AS (SELECT vec_id, wave, label, grp, task FROM t0 UNION ALL SELECT vec_id, wave, CASE WHEN i <= n // 2 THEN 'first half' ELSE 'second half' END, grp, 'null control of ' || label FROM h),
+    g AS (SELECT DISTINCT task, label, grp, unnest([1, 2, 3]) AS seed FROM t), r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY task, label, seed) AS n FROM g WINDOW w AS (PARTITION BY task, label, seed ORDER BY md5(seed || ':' || grp), grp)),
+    s AS (SELECT vec_id, wave, t.task, t.label, seed, r > least(n - 1, greatest(1, floor(n * 0.25))) AS train FROM t JOIN r ON r.task = t.task AND r.label = t.label AND r.grp = t.grp),
+    v AS (SELECT vec_id, unnest(wave) AS y FROM e), m AS (SELECT vec_id, avg(y) AS mean FROM v GROUP BY vec_id), k AS (SELECT vec_id, any_value(mean) AS mean, avg((y - mean) * (y - mean)) AS m2, avg(pow(y - mean, 4)) AS m4, max(abs(y - mean)) AS top FROM v JOIN m USING (vec_id) GROUP BY vec_id),
+    x AS (SELECT task, label, seed, train, vec_id, 'scalars' AS feature_set, [mean, sqrt(m2), m4 / (m2 * m2), top / sqrt(m2)] AS x FROM s JOIN k USING (vec_id) UNION ALL SELECT task, label, seed, train, vec_id, 'values', wave FROM s),
+    l AS (SELECT *, unnest(x) AS v, unnest(range(len(x))) AS i FROM x), f AS (SELECT task, feature_set, seed, label, i, avg(v) AS m, greatest(var_pop(v), 1e-9) AS s, count(*) AS n FROM l WHERE train GROUP BY ALL),
+    total AS (SELECT task, feature_set, seed, sum(n) AS total FROM f WHERE i = 0 GROUP BY ALL),
+    p AS (SELECT l.task, l.feature_set, l.seed, l.vec_id, l.label AS truth, f.label, sum(-0.5 * ln(2 * pi() * s) - (v - m) * (v - m) / (2 * s)) + ln(any_value(n) / any_value(total)) AS score
+      FROM l JOIN f ON f.task = l.task AND f.feature_set = l.feature_set AND f.seed = l.seed AND f.i = l.i JOIN total ON total.task = l.task AND total.feature_set = l.feature_set AND total.seed = l.seed WHERE NOT train GROUP BY l.task, l.feature_set, l.seed, l.vec_id, l.label, f.label),
+    b AS (SELECT task, feature_set, seed, vec_id, truth, arg_max(label, score) AS prediction FROM p GROUP BY ALL), c AS (SELECT task, feature_set, seed, truth, count(*) AS n, count(*) FILTER (truth = prediction) AS good FROM b GROUP BY ALL),
+    a AS (SELECT task, feature_set, seed, sum(n) AS tested, sum(good) / sum(n) AS accuracy, max(n) / sum(n) AS chance FROM c GROUP BY ALL)"""
+
+
+def _study_rows(spark, d):
+    """Waves of three classes in groups: each two of them apart, all three apart, and the null control of the first."""
+    from ..operators import studies
+
+    w = waves(spark, d).select("vec_id", "wave", "fs", (F.col("label") % 3).cast("string").alias("label"), (F.col("vec_id") % 50).alias("group"))
+    tasks = studies.task_rows(w, {"0 or 1": ["0", "1"], "1 or 2": ["1", "2"], "all": ["0", "1", "2"]})
+    return tasks.unionByName(studies.null_control(w.where("label = '0'"), [], ["vec_id"]))
+
+
+@query(
+    f"WITH {_STUDY} SELECT task, feature_set, count(*) AS seeds, median(tested) AS tested, round(median(accuracy), 9) AS accuracy, round(median(chance), 9) AS chance, round(median(accuracy) - median(chance), 9) AS gain FROM a GROUP BY task, feature_set"
+)
+def scalars_against_values(spark, d):
+    """Gaussian models on four scalars of a wave against its values, medians over three seeds, the null control beside them."""
+    from ..operators import studies
+
+    rows = studies.repeated_holdout(_study_rows(spark, d), [1, 2, 3])
+    n, k = F.size("wave"), signal.kurtosis_crest(F.col("wave"))
+    mean = F.aggregate("wave", F.lit(0.0), lambda a, v: a + v) / n
+    deviation = F.sqrt(F.aggregate("wave", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
+    rows = rows.withColumn("scalars", F.array(mean, deviation, k["kurt"], k["crest"]))
+    x = studies.feature_rows(rows, {"scalars": F.col("scalars"), "values": F.col("wave")}).select(*studies.KEYS, "label", "train", "x")
+    out = studies.study_table(studies.gaussian_scores(x))
+    return out.select("task", "feature_set", "seeds", "tested", *[F.round(c, 9).alias(c) for c in ("accuracy", "chance", "gain")])
+
+
+@query()
+def scalars_against_spectrum(spark, d):
+    """Forests on four sensor scalars of a wave against its spectrum in 20 ranges, medians over two seeds, the null control beside them."""
+    from ..operators import studies
+    from ..sources.shared import written
+
+    names, bins = ["acc", "vel", "disp", "freq"], [f"bin{i}" for i in range(20)]
+    w = signal.with_features(_study_rows(spark, d), lambda x, a: signal.sensor_scalars(x, a["fs"]) | dict(zip(bins, signal.spectrum_bins(x, a["fs"]).T)), [*names, *bins], ["fs"]).drop("wave")
+    rows = studies.repeated_holdout(w, [1, 2])
+    x = studies.feature_rows(rows, {"scalars": F.array(*names), "spectrum": F.array(*bins)}).select(*studies.KEYS, "label", "train", "x")
+    return studies.study_table(studies.forest_scores(written(x, "study"), trees=20))
+
+
 @query()
 def remaining_life(spark, d):
     s = evaluation.rul_labels(samples(spark, d), ["tag_id"]).withColumn("log_value", F.log1p("value"))
