@@ -43,6 +43,6 @@ def test_same_rows_as_sql(spark, duck, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql()) - {"fault_classifier"}))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
 def test_runs_without_sql(spark, name):
     assert all_queries()[name](spark, DATA).count() > 0

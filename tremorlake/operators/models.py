@@ -11,26 +11,45 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import written
 from .evaluation import arg_max, grouped_holdout
 
 
-def train_fault_classifier(frames: DataFrame, features: list[str], seed: int = 7) -> tuple[PipelineModel, DataFrame]:
-    """A forest of 100 trees on labelled frames (label, sample_id, features), refitted on all after evaluation on held-out samples.
+def usable_frames(frames: DataFrame, features: list[str]) -> DataFrame:
+    """Labelled frames (label, sample_id, features) without those that miss a feature, with held_out by whole samples and a weight that balances labels.
 
-    Frames with a missing feature are left out. Returns the model and the held-out rows (truth, prediction).
+    Written, as each fit reads them several times.
     """
-    usable = grouped_holdout(frames.dropna(subset=[*features, "label"]))
+    usable = written(grouped_holdout(frames.dropna(subset=[*features, "label"])), "frames")
     total = usable.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k"))
     weight = usable.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(total)).select("label", (F.col("n") / (F.col("k") * F.col("c"))).alias("weight"))
-    usable = usable.join(F.broadcast(weight), "label")
+    return usable.join(weight, "label")
+
+
+def fit_fault_classifier(usable: DataFrame, features: list[str], seed: int = 7, trees: int = 100) -> PipelineModel:
+    """A forest on usable_frames."""
     stages = [
         StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        VectorAssembler(inputCols=features, outputCol="x"),
-        RandomForestClassifier(labelCol="class", featuresCol="x", numTrees=100, maxDepth=6, minInstancesPerNode=2, maxBins=32, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed),
+        VectorAssembler(inputCols=features, outputCol="feature_vector"),
+        RandomForestClassifier(labelCol="class", featuresCol="feature_vector", numTrees=trees, maxDepth=6, minInstancesPerNode=2, maxBins=32, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed),
     ]
-    tried = Pipeline(stages=stages).fit(usable.where("NOT held_out"))
-    scored = score_fault_class(tried, usable.where("held_out"), features).select(F.col("label").alias("truth"), F.col("fault_class").alias("prediction"))
-    return Pipeline(stages=stages).fit(usable), scored
+    return Pipeline(stages=stages).fit(usable)
+
+
+def evaluate_fault_classifier(usable: DataFrame, features: list[str], seed: int = 7, trees: int = 100) -> DataFrame:
+    """(truth, prediction) of the held-out rows of usable_frames by a forest on the others."""
+    tried = fit_fault_classifier(usable.where("NOT held_out"), features, seed, trees)
+    return score_fault_class(tried, usable.where("held_out"), features).select(F.col("label").alias("truth"), F.col("fault_class").alias("prediction"))
+
+
+def train_fault_classifier(frames: DataFrame, features: list[str], seed: int = 7, trees: int = 100) -> tuple[PipelineModel, dict]:
+    """A forest fitted on all usable frames after evaluation on held-out samples, and what its registry row tells: a fit for registry.train_and_store."""
+    usable = usable_frames(frames, features)
+    scored = evaluate_fault_classifier(usable, features, seed, trees)
+    right, tested = scored.agg(F.avg((F.col("truth") == F.col("prediction")).cast("double")), F.count("*")).first()
+    skipped = frames.count() - usable.count()
+    facts = {"accuracy": right, "feature_count": len(features), "skipped_count": skipped, "summary": f"{trees} trees, {tested} frames of held-out samples tested"}
+    return fit_fault_classifier(usable, features, seed, trees), facts
 
 
 def score_fault_class(model: PipelineModel, frames: DataFrame, features: list[str]) -> DataFrame:
@@ -42,7 +61,7 @@ def score_fault_class(model: PipelineModel, frames: DataFrame, features: list[st
     kept = [*frames.columns, "fault_class", "fault_probability", "quality"]
     rest = frames.where(" OR ".join(f"`{c}` IS NULL" for c in features))
     rest = rest.withColumn("fault_class", F.lit(None).cast("string")).withColumn("fault_probability", F.lit(None).cast("double")).withColumn("quality", F.lit("insufficient_samples"))
-    return p.select(kept).union(rest.select(kept))
+    return p.select(kept).unionByName(rest.select(kept))
 
 
 def train_remaining_life(rows: DataFrame, features: list[str], target: str, machine: str, share: float = 0.3) -> DataFrame:

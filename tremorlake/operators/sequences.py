@@ -33,8 +33,18 @@ def lead_and_persistence(rows: DataFrame, by: list[str], order: list[str], mask:
     return out
 
 
+def lead_minutes(leads: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """leads with minutes, from the start of the first run to the end of the series, and rho, the rank correlation of its values with time."""
+    ends = rows.groupBy(*by).agg(F.max("t").alias("_end"))
+    out = leads.join(ends, by, "left").withColumn("minutes", (F.unix_micros("_end") - F.unix_micros("run_start")) / 6e7).drop("_end")
+    return out.join(spearman(rows, by, "value"), by, "left")
+
+
 def alarm_summary(leads: DataFrame, by: list[str]) -> DataFrame:
-    """Per indicator: machines, those that alarm, median lead and early share, machines of early share over 0.2."""
+    """Per indicator: machines, those that alarm, median lead and early share, machines of early share over 0.2, persistence; with
+    lead_minutes also the median lead in minutes and the median rank correlation with time.
+    """
+    more = [F.median(c).alias(f"median_{c}") for c in ("minutes", "rho") if c in leads.columns]
     return leads.groupBy(*by).agg(
         F.count("*").alias("machines"),
         F.count("lead_share").alias("alarming"),
@@ -42,6 +52,8 @@ def alarm_summary(leads: DataFrame, by: list[str]) -> DataFrame:
         F.median("early_share").alias("median_early"),
         F.count_if(F.col("early_share") > 0.2).alias("often_early"),
         F.avg("persistence").alias("persistence"),
+        F.count_if(F.col("persistence") >= 0.8).alias("persistent"),
+        *more,
     )
 
 

@@ -110,6 +110,36 @@ def degradation_ratio(spark, d):
     return sequences.degradation_ratio(samples(spark, d), BY, "value").select("tag_id", F.round("ratio", 9).alias("ratio"))
 
 
+_LIVES = _LEADS + """, e AS (SELECT tag_id, max(t) AS t_end FROM samples GROUP BY tag_id),
+ra AS (SELECT tag_id, rank() OVER (PARTITION BY tag_id ORDER BY t) + (count(*) OVER (PARTITION BY tag_id, t) - 1) / 2 AS rt, rank() OVER (PARTITION BY tag_id ORDER BY value) + (count(*) OVER (PARTITION BY tag_id, value) - 1) / 2 AS rv FROM samples),
+rho AS (SELECT tag_id, corr(rt, rv) AS rho FROM ra GROUP BY tag_id)"""
+
+
+@query(
+    f"""WITH {_LIVES} SELECT count(*) AS machines, count(*) FILTER (persistence >= 0.8) AS persistent, round(median((epoch_us(t_end) - epoch_us(run_start)) / 6e7), 6) AS median_minutes, round(median(rho), 9) AS median_rho
+    FROM leads LEFT JOIN first_run USING (tag_id) JOIN e USING (tag_id) JOIN rho USING (tag_id)"""
+)
+def alarm_leads(spark, d):
+    """Lead in minutes, persistent alarms and monotonicity over all machines."""
+    s = samples(spark, d)
+    alarm = F.col("value") >= 2.0
+    leads = sequences.lead_and_persistence(s, BY, ["t", "seq"], alarm, 3).join(sequences.first_run(s, BY, ["t", "seq"], alarm, 3), BY, "left")
+    out = sequences.alarm_summary(sequences.lead_minutes(leads, s, BY).withColumn("indicator", F.lit("value")), ["indicator"])
+    return out.select("machines", "persistent", F.round("median_minutes", 6).alias("median_minutes"), F.round("median_rho", 9).alias("median_rho"))
+
+
+@query(
+    f"""WITH {SAMPLES}, s AS (SELECT tag_id, t, seq, floor(value) AS v FROM samples), p AS (SELECT a.tag_id, count(*) FILTER (a.v < b.v) AS concordant, count(*) FILTER (a.v > b.v) AS discordant, count(*) FILTER (a.v = b.v) AS tied FROM s a JOIN s b ON a.tag_id = b.tag_id AND (a.t < b.t OR (a.t = b.t AND a.seq < b.seq)) GROUP BY a.tag_id),
+    n AS (SELECT tag_id, count(*) AS n FROM s GROUP BY tag_id)
+    SELECT tag_id, n, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant, coalesce(tied, 0) AS tied, CASE WHEN n * (n - 1) / 2 > tied THEN round((concordant - discordant) / sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - tied)), 9) END AS tau FROM n LEFT JOIN p USING (tag_id)"""
+)
+def concordance(spark, d):
+    from ..operators.ranking import concordance as pairs
+
+    out = pairs(samples(spark, d).withColumn("v", F.floor("value").cast("double")), BY, "v")
+    return out.select("tag_id", "n", "concordant", "discordant", "tied", F.round("tau", 9).alias("tau"))
+
+
 @query(
     f"""WITH {_PLACED}, b AS (SELECT tag_id, median(value) AS m, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS s FROM placed WHERE i <= greatest(30, floor(k * 0.1)) GROUP BY tag_id)
     SELECT tag_id, count(*) AS n, round(max((value - m) / greatest(s, 1e-9)), 6) AS top_z FROM placed JOIN b USING (tag_id) GROUP BY tag_id"""

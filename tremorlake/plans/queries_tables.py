@@ -522,14 +522,39 @@ def press_resample(spark, d):
     return out.select("l_orderkey", F.size("position_n").alias("n"), F.round(F.get("force_n", 0), 6).alias("force_first"), F.round(F.get("force_n", 15), 6).alias("force_last"))
 
 
+_FEATURES = ["vel", "acc", "kurt", "crest", "env"]
+
+
+def _fault_frames(spark, d):
+    f = signal.with_features(waves(spark, d), lambda x, a: signal.life_indicators(x, a["fs"]), _FEATURES, ["fs"]).drop("wave")
+    return f.select("vec_id", (F.col("vec_id") % 50).alias("sample_id"), (F.col("label") % 3).cast("string").alias("label"), *_FEATURES)
+
+
 @query()
 def fault_classifier(spark, d):
     """Report on held-out samples of a forest trained on wave features by label."""
-    names = ["vel", "acc", "kurt", "crest", "env"]
-    f = signal.with_features(waves(spark, d), lambda x, a: signal.life_indicators(x, a["fs"]), names, ["fs"]).drop("wave")
-    frames = f.select("vec_id", (F.col("vec_id") % 50).alias("sample_id"), (F.col("label") % 3).cast("string").alias("label"), *names)
-    _, scored = models.train_fault_classifier(frames, names)
-    return evaluation.classification_report(scored)
+    usable = models.usable_frames(_fault_frames(spark, d), _FEATURES)
+    return evaluation.classification_report(models.evaluate_fault_classifier(usable, _FEATURES))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(label % 3 AS VARCHAR) AS label, vec_id % 50 AS sample FROM embeddings), m(domain, kind, binding, name, active) AS (VALUES ('vibration', 'model', '', 'all machines', false), ('vibration', 'model', '', 'three classes', true))
+    SELECT domain, kind, binding, name, active, (SELECT count(DISTINCT sample) FROM e) AS sample_count, (SELECT count(*) FROM e) AS frame_count, 5 AS feature_count,
+      (SELECT '{' || string_agg('"' || label || '": ' || n, ', ' ORDER BY label) || '}' FROM (SELECT label, count(*) AS n FROM e GROUP BY label)) AS label_counts, 64 AS hash_length, 'trained' AS origin FROM m"""
+)
+def trained_models(spark, d):
+    """The registry after two models were trained, the first stored twice, and both made active in turn."""
+    import uuid
+
+    from ..sources import registry
+    from ..sources.shared import shared_dir, written
+
+    root, frames = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}", written(_fault_frames(spark, d), "frames")
+    for name in ("all machines", "all machines", "three classes"):
+        request = {"domain": "vibration", "kind": "model", "binding": "", "name": name, "algo": "forest", "origin": "trained", "data_origin": "field"}
+        registry.activate(spark, root, registry.train_and_store(spark, root, frames, request, lambda x: models.train_fault_classifier(x, _FEATURES, trees=10)))
+    out = registry.registered(spark, root).withColumn("hash_length", F.length("sha256"))
+    return out.select("domain", "kind", "binding", "name", "active", "sample_count", "frame_count", "feature_count", "label_counts", "hash_length", "origin")
 
 
 _STUDY = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS wave, CAST(label % 3 AS VARCHAR) AS label, vec_id % 50 AS grp FROM embeddings),
