@@ -114,18 +114,40 @@ def undeclared_params(bindings: DataFrame, declared: DataFrame) -> DataFrame:
     return keys.join(declared.select("domain", "param"), ["domain", "param"], "left_anti")
 
 
+def undeclared_roles(roles: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(domain, binding, role) of roles that the module does not declare."""
+    return roles.select("domain", "binding", "role").join(inputs.select("domain", "role"), ["domain", "role"], "left_anti")
+
+
+#: Fixed value: the longest delay of an alarm in s.
+MOST_DELAY_S = 4294967295
+
+
 def check_bindings(bindings: DataFrame) -> DataFrame:
-    """bindings (roles map<string, long>, window_s, interval_s, params) with an array of what is wrong with them."""
-    bad = F.array_compact(
-        F.array(
-            F.when(F.coalesce(F.size("roles"), F.lit(0)) <= 0, "no role"),
-            F.when(F.exists(F.map_values("roles"), lambda v: v <= 0), "point id not positive"),
-            F.when(F.col("interval_s") <= 0, "beat not positive"),
-            F.when(F.col("window_s") <= 0, "window not positive"),
-            F.when(F.exists(F.map_keys("params"), lambda k: F.trim(k) == ""), "blank parameter"),
-        )
-    )
-    return bindings.withColumn("violations", bad)
+    """bindings (roles map<string, long>, window_s, interval_s, params map) with violations, an array of what is wrong with them.
+
+    Judged where bindings have them: fields and field_numbers, maps by role; delay_s; image_only, of modules that need no role.
+    """
+    has = lambda c: c in bindings.columns
+    keys = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
+    values = lambda c, wrong: F.coalesce(F.exists(F.map_values(c), lambda v: v.isNull() | wrong(v)), F.lit(False))
+    loose = lambda c: F.size(F.array_except(keys(c), keys("roles"))) > 0
+    no_role = F.coalesce(F.size("roles"), F.lit(0)) <= 0
+    delay = F.col("delay_s") if has("delay_s") else F.lit(0)
+    rules = [
+        F.when(no_role & ~F.coalesce(F.col("image_only"), F.lit(False)) if has("image_only") else no_role, "no role"),
+        F.when(values("roles", lambda v: v <= 0), "point id not positive"),
+        F.when(F.col("interval_s") <= 0, "beat not positive"),
+        F.when(F.col("window_s") <= 0, "window not positive"),
+        F.when(F.exists(keys("params"), lambda k: F.trim(k) == ""), "blank parameter"),
+        F.when(values("params", lambda v: F.lit(False)), "parameter without value"),
+        F.when(loose("fields"), "field without point") if has("fields") else None,
+        F.when(values("fields", lambda v: F.trim(v) == ""), "blank field") if has("fields") else None,
+        F.when(loose("field_numbers"), "field number without point") if has("field_numbers") else None,
+        F.when(values("field_numbers", lambda v: v <= 0), "field number not positive") if has("field_numbers") else None,
+        F.when(F.coalesce((delay < 0) | (delay > MOST_DELAY_S) | (delay != F.floor(delay)), F.lit(True)), "delay out of range") if has("delay_s") else None,
+    ]
+    return bindings.withColumn("violations", F.array_compact(F.array(*[r for r in rules if r is not None])))
 
 
 def check_field_binding(roles: DataFrame, fields: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -178,10 +200,12 @@ def with_display_name(findings: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def bindable_fields(points: DataFrame, structs: DataFrame, fields: DataFrame) -> DataFrame:
-    """(tag_id, struct_id, version, number, name, bindable): fields of the struct that a point carries now, the last of structs (tag_id, t, ...).
+    """(tag_id, struct_id, version, number, name, bindable): fields of the struct that a point carries now, the last of structs (tag_id, t, ...), of equal
+    times the largest.
 
     Numbers of one value can be bound, arrays and texts cannot.
     """
-    now = structs.groupBy("tag_id").agg(F.max_by(F.struct("struct_id", "version"), "t").alias("s"))
+    carried = F.struct("struct_id", "version")
+    now = structs.groupBy("tag_id").agg(F.max_by(carried, F.struct("t", carried)).alias("s"))
     out = points.select("tag_id").join(now, "tag_id").select("tag_id", "s.struct_id", "s.version").join(fields, ["struct_id", "version"])
     return out.select("tag_id", "struct_id", "version", "number", "name", (F.col("numeric") & ~F.col("is_array")).alias("bindable"))

@@ -450,3 +450,58 @@ def replay_findings(spark, d):
 def class_gates(spark, d):
     s = table(spark, d, "orders").select(F.lit(1).alias("job"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("sample_id"))
     return evaluation.class_gates(s, ["job"])
+
+
+@query(
+    f"""WITH {PEAKS}, f AS (SELECT binding, unnest(['status', 'zone', 'vel_radial', 'margin']) AS key, peak, zone, n_good FROM zoned)
+    SELECT key, CASE WHEN zone IS NOT NULL THEN 'ok' WHEN n_good > 0 THEN 'insufficient_samples' ELSE 'input_bad' END AS quality, CAST(NULL AS VARCHAR) AS violation, count(*) AS n, round(sum(CASE WHEN key = 'vel_radial' THEN peak END), 4) AS total FROM f GROUP BY 1, 2"""
+)
+def module_findings(spark, d):
+    """Findings of the declared vibration module, checked against its declaration."""
+    from . import declarations
+
+    f = declarations.plan(declarations.vibration(86400), samples(spark, d), {"machines": _machine_dimension(spark, d)})
+    return f.groupBy("key", "quality", "violation").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("key") == "vel_radial", F.col("value"))), 4).alias("total"))
+
+
+_SETTINGS = """c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS none, ['classic', 'baseline', 'both', '', 'all'][1 + c_custkey % 5] AS algorithms, ['true', 'false', '', 'yes'][1 + c_nationkey % 4] AS fault FROM customer)"""
+
+
+def _bindings(spark, d):
+    """Bindings of customers to the vibration module, many of them wrong in some way."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    pick = lambda by, *xs: F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
+    role = lambda name, when: F.when(when, F.create_map(F.lit(name), k)).otherwise(F.create_map().cast("map<string,bigint>"))
+    roles = F.map_concat(role("x_vel", k % 3 > 0), role("y_vel", k % 6 > 0), role("noise", k % 10 == 0))
+    params = F.map_concat(
+        F.create_map(F.lit("algorithms"), pick(k, "classic", "baseline", "both", "", "all"), F.lit("fault_classify"), pick(F.col("c_nationkey"), "true", "false", "", "yes"), F.lit("ratedPowerKw"), pick(k, "50", "-1", "x", "")),
+        F.when(k % 11 == 0, F.create_map(F.lit("axialaxis"), F.lit("z"), F.lit("supportClass"), F.lit("soft"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    number = F.when(k % 7 == 0, F.create_map(F.lit("z_vel"), F.lit(3))).when(k % 7 == 1, F.create_map(F.lit("y_vel"), F.lit(0))).otherwise(F.create_map().cast("map<string,int>"))
+    delay = F.when(k % 13 == 0, F.lit(-1)).when(k % 13 == 1, F.lit(4294967296)).when(k % 13 == 2, F.lit(None)).otherwise(F.lit(4294967295)).cast("long")
+    return c.select(F.lit("vibration").alias("domain"), k.alias("binding"), roles.alias("roles"), params.alias("params"), number.alias("field_numbers"), delay.alias("delay_s"), F.lit(60).alias("window_s"), F.lit(60).alias("interval_s"))
+
+
+@query(
+    f"""WITH {_SETTINGS}, r AS (SELECT k, unnest([CASE WHEN k = 0 THEN 'point id not positive' END, CASE WHEN k % 6 = 0 AND k % 10 > 0 THEN 'no role' END, CASE WHEN k % 7 = 0 OR (k % 7 = 1 AND k % 6 = 0) THEN 'field number without point' END, CASE WHEN k % 7 = 1 THEN 'field number not positive' END,
+      CASE WHEN k % 13 < 3 THEN 'delay out of range' END, CASE WHEN k % 3 = 0 THEN 'role not bound: x_vel' END, CASE WHEN k % 6 = 0 THEN 'role not bound: y_vel' END, CASE WHEN k % 10 = 0 THEN 'role not declared: noise' END,
+      CASE WHEN k % 4 = 1 THEN 'ratedPowerKw: under least' WHEN k % 4 = 2 THEN 'ratedPowerKw: no float' END, CASE WHEN fault = 'yes' THEN 'fault_classify: no bool' END, CASE WHEN k % 11 = 0 THEN 'axialaxis: not declared' END, CASE WHEN k % 11 = 0 THEN 'supportClass: no choice' END]) AS problem FROM c)
+    SELECT k AS binding, problem FROM r WHERE problem IS NOT NULL"""
+)
+def binding_problems(spark, d):
+    from . import declarations
+
+    return declarations.binding_problems(_bindings(spark, d), declarations.tables(spark, [declarations.vibration()])).select("binding", "problem")
+
+
+@query(
+    f"""WITH {_SETTINGS}, n AS (SELECT k, unnest([CASE WHEN algorithms <> 'classic' THEN 'baseline' END, CASE WHEN fault IN ('true', 'yes') THEN 'classifier' END]) AS kind FROM c)
+    SELECT k AS binding, kind FROM n WHERE kind IS NOT NULL AND NOT (kind = 'baseline' AND k % 2 = 0)"""
+)
+def missing_artifacts(spark, d):
+    """Artifacts that bindings need by their settings and lack; every second one has a baseline of its own."""
+    from . import declarations
+
+    b = _bindings(spark, d)
+    active = b.where("binding % 2 = 0").select("domain", F.col("binding").cast("string").alias("binding"), F.lit("baseline").alias("kind"))
+    return declarations.missing_artifacts(b, declarations.vibration(), active)

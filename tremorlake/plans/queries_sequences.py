@@ -452,3 +452,39 @@ def stream_beat_peaks(spark, d):
 
     out = streamed(spark, lambda source: beat_peaks(source(spark, d), 86400))
     return plain_times(out.select("binding", "role", "window_start", "n", "n_good", "peak"))
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT seq, t, CASE WHEN seq % 4 = 3 THEN NULL ELSE value END AS value, CASE WHEN seq % 4 = 3 THEN -1035 ELSE status_code END AS status_code FROM samples WHERE tag_id IN (SELECT s_suppkey FROM supplier)"""
+)
+def stream_subscription(spark, d):
+    """Samples of the points that a table selects, as a subscription writes them; one struct in four is not known."""
+    import uuid
+
+    from ..sources.shared import shared_dir, written
+    from ..streaming.beats import subscription
+    from .inputs import stream_samples
+
+    at = f"{shared_dir(spark)}/subscription-{uuid.uuid4().hex}"
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("tag_id")).write.parquet(f"{at}/points")
+    table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("struct_id")).write.parquet(f"{at}/structs")
+    rows = stream_samples(spark, d).withColumn("struct_id", (F.col("seq") % 4).cast("int"))
+    subscription(rows, f"{at}/points", f"{at}/out", f"{at}/state", f"{at}/structs").trigger(availableNow=True).start().awaitTermination()
+    return plain_times(written(spark.read.parquet(f"{at}/out"), "subscribed").select("seq", "t", "value", "status_code"))
+
+
+@query(
+    f"""WITH {_PLACED}, g AS (SELECT tag_id, CAST((i - 1) // 16 AS INTEGER) AS segment, value, avg(value) OVER (PARTITION BY tag_id, (i - 1) // 16) AS m, count(*) OVER (PARTITION BY tag_id, (i - 1) // 16) AS n FROM placed),
+    k AS (SELECT tag_id, segment, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) AS kurt FROM g WHERE n = 16 GROUP BY tag_id, segment), r AS (SELECT tag_id, count(*) AS segments, avg(CAST(kurt > 2.5 AS INTEGER)) AS share FROM k GROUP BY tag_id)
+    SELECT tag_id % 3 AS label, count(*) AS records, sum(segments) AS segments, round(avg(share), 9) AS share, round(avg(CAST(share > 0.5 AS INTEGER)), 9) AS over_half FROM r GROUP BY 1"""
+)
+def segment_verdicts(spark, d):
+    """Records of all samples of a point, cut into segments of 16, which trigger by their kurtosis."""
+    from ..functions.signal import kurtosis_crest
+    from ..operators import ranking, segments
+
+    placed = ranking.numbered(samples(spark, d).select("tag_id", "t", "seq", "value"), BY, ["t", "seq"])
+    cut = segments.segments_of_rows(placed, BY, "position", "value", 16)
+    judged = segments.record_verdicts(cut, BY, kurtosis_crest(F.col("wave"))["kurt"] > 2.5).withColumn("label", F.col("tag_id") % 3)
+    out = segments.class_verdicts(judged, "label").join(judged.groupBy("label").agg(F.sum("segments").alias("segments"), F.avg("share").alias("share")), "label")
+    return out.select("label", "records", "segments", F.round("share", 9).alias("share"), F.round("over_half", 9).alias("over_half"))

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quality import trusted
 from ..operators.frames import good_value
 
 
-def stream_samples(spark: SparkSession, path: str, schema, points: DataFrame, known_structs: list[int] | None = None) -> DataFrame:
-    """New sample files under path as a stream of the selected points; a struct not in known_structs is null with code -1035."""
-    rows = spark.readStream.schema(schema).parquet(path).join(points.select("tag_id").distinct(), "tag_id", "left_semi")
-    if known_structs is None:
-        return rows
-    strange = F.col("struct_id").isNotNull() & ~F.col("struct_id").isin(*known_structs)
-    return rows.withColumn("status_code", F.when(strange, -1035).otherwise(F.col("status_code"))).withColumn("value", F.when(~strange, F.col("value")))
+UNKNOWN_STRUCT = -1035
+
+
+def selected(rows: DataFrame, points: DataFrame, structs: DataFrame | None = None) -> DataFrame:
+    """Samples of the selected points; a struct that structs (struct_id) does not list is null with code -1035."""
+    out = rows.join(points.select("tag_id").distinct(), "tag_id", "left_semi")
+    if structs is None:
+        return out
+    known = structs.select("struct_id", F.lit(True).alias("_known")).distinct()
+    out = out.join(known, "struct_id", "left")
+    strange = F.col("struct_id").isNotNull() & F.col("_known").isNull()
+    return out.withColumn("status_code", F.when(strange, UNKNOWN_STRUCT).otherwise(F.col("status_code"))).withColumn("value", F.when(~strange, F.col("value"))).select(rows.columns)
+
+
+def subscription(samples: DataFrame, points_path: str, out_path: str, checkpoint: str, structs_path: str | None = None):
+    """A writer of the selected samples of a stream, to be started: each batch reads the tables of points and structs as they are then.
+
+    So a point that is added or taken away counts from the next batch on, without a restart. A batch is its own partition of out_path, written over when it
+    is tried again.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        structs = None if structs_path is None else spark.read.parquet(structs_path)
+        upsert(selected(rows, spark.read.parquet(points_path), structs), batch_id, out_path)
+
+    return samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
 def beat_peaks(samples: DataFrame, window_s: int, interval_s: int | None = None, delay_s: int = 5) -> DataFrame:
