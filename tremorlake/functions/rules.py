@@ -250,7 +250,7 @@ def rank_of(status: Column) -> Column:
 
 
 def status_of(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, RANKS)), rank + 1)
+    return _first([(rank == i, F.lit(s)) for i, s in enumerate(RANKS)], F.lit(None).cast("string"))
 
 
 def combine_status(classic: Column, classic_bad: Column, own: Column, own_bad: Column) -> Column:
@@ -277,6 +277,18 @@ def device_status(statuses: Column) -> Column:
     return status_of(F.array_max(ranks))
 
 
+def device_statuses(findings: DataFrame, outputs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, status, stopped, modules): of findings (by, domain, key, text, quality) those whose output is a status, one row a device and time.
+
+    status is the highest of the modules that tell one, null if none does; stopped counts those that say stopped, which stands apart and is
+    compared with nothing; modules counts all that tell either. outputs: (domain, key, is_status).
+    """
+    own = findings.join(outputs.where("is_status").select("domain", "key"), ["domain", "key"], "left_semi").where("quality = 'ok' AND text IS NOT NULL")
+    rank, still = rank_of(F.col("text")), F.col("text") == "stopped"
+    out = own.groupBy(*by).agg(F.max(F.when(~still, rank)).alias("_r"), F.count_if(still).alias("stopped"), F.count_if(still | rank.isNotNull()).alias("modules"))
+    return out.select(*by, status_of(F.col("_r")).alias("status"), "stopped", "modules")
+
+
 #: The settings of which methods run, alarm levels by status, and the slowest beat in s that raises alarms in time.
 ALGORITHMS = {"classic": ["classic"], "baseline": ["baseline"], "both": ["classic", "baseline"]}
 ALARM_LEVEL = {"attention": 300, "warning": 600, "danger": 800}

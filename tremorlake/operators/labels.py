@@ -82,7 +82,7 @@ def pending_deletion(known: DataFrame, snapshot: DataFrame, samples: DataFrame)
 
 def conclusion_points(bindings: DataFrame, outputs: DataFrame, points: DataFrame) -> DataFrame:
     """Every output of every binding with its point id, null where it has none, and whether it is in use."""
-    out = bindings.select("domain", "binding", "enabled").join(F.broadcast(outputs.select("domain", "key")), "domain")
+    out = bindings.select("domain", "binding", "enabled").join(outputs.select("domain", "key"), "domain")
     out = out.join(points.select("domain", "binding", "key", "point_id"), ["domain", "binding", "key"], "left")
     return out.withColumn("in_use", F.col("enabled") & F.col("point_id").isNotNull())
 
@@ -104,7 +104,7 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 def missing_required_roles(bindings: DataFrame, roles: DataFrame, inputs: DataFrame) -> DataFrame:
     """(domain, binding, role) of required inputs that no point is bound to."""
-    need = bindings.select("domain", "binding").join(F.broadcast(inputs.where("required").select("domain", "role")), "domain")
+    need = bindings.select("domain", "binding").join(inputs.where("required").select("domain", "role"), "domain")
     return need.join(roles.select("domain", "binding", "role"), ["domain", "binding", "role"], "left_anti")
 
 

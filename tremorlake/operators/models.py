@@ -1,4 +1,4 @@
-"""Training and scoring of fault classifiers and remaining-life models on Spark ML, and batch scoring of given networks."""
+"""Training and scoring of fault classifiers and remaining-life models on Spark ML, and press curves."""
 
 from __future__ import annotations
 
@@ -75,50 +75,6 @@ def train_remaining_life(rows: DataFrame, features: list[str], target: str, mach
     return tested.agg(F.count_distinct(machine).alias("machines"), F.sqrt(F.avg((y - F.col("prediction")) ** 2)).alias("rmse"), F.sqrt(F.avg((y - F.col("m")) ** 2)).alias("constant_rmse"))
 
 
-_SESSIONS: dict = {}
-
-
-def _session(network: bytes):
-    import onnxruntime
-
-    key = hash(network)
-    if key not in _SESSIONS:
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = 1
-        _SESSIONS[key] = onnxruntime.InferenceSession(network, options, providers=["CPUExecutionProvider"])
-    return _SESSIONS[key]
-
-
-def score_windows(tails: DataFrame, network: bytes, channels: list[str], classes: list[str]) -> DataFrame:
-    """tails (tail map of channels to values, quality) scored by an ONNX network of input (batch, channels, n).
-
-    One session a worker; the channels are put in the network's own order. Rows of bad quality pass through unscored.
-    """
-    sent = tails.sparkSession.sparkContext.broadcast(network)
-    matrix = F.flatten(F.array(*[F.try_element_at("tail", F.lit(c)) for c in channels]))
-    rows = tails.withColumn("matrix", F.when(F.col("quality") == "ok", matrix)).drop("tail")
-
-    def scored(batches):
-        session = _session(sent.value)
-        name = session.get_inputs()[0].name
-        for batch in batches:
-            lists = batch.column("matrix").to_pylist()
-            at = [i for i, m in enumerate(lists) if m is not None]
-            cls, prob = [None] * len(lists), [None] * len(lists)
-            if at:
-                x = np.array([lists[i] for i in at], np.float32).reshape(len(at), len(channels), -1)
-                y = np.asarray(session.run(None, {name: x})[0], float)
-                if (y < 0).any() or (np.abs(y.sum(1) - 1) > 1e-3).any():
-                    y = np.exp(y - y.max(1, keepdims=True))
-                    y /= y.sum(1, keepdims=True)
-                for i, p in zip(at, y):
-                    cls[i], prob[i] = classes[int(p.argmax())], float(p.max())
-            yield batch.drop_columns(["matrix"]).append_column("class", pa.array(cls, pa.string())).append_column("probability", pa.array(prob, pa.float64()))
-
-    kept = [f for f in rows.schema.fields if f.name != "matrix"]
-    return rows.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", class string, probability double")
-
-
 def press_features(press: DataFrame) -> DataFrame:
     """press (position, velocity, force arrays) with peak force, stroke, points and quality."""
     n = F.size("position")

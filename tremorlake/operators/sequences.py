@@ -92,6 +92,28 @@ def dropped_samples(rows: DataFrame, by: list[str], factor: float = 1.5) -> Data
     )
 
 
+def multiples(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with dt, place, the number of their interval from 0, and multiple, the interval over the base of base_interval; the first of a series has none."""
+    stepped = gaps(rows, by).withColumn("place", F.row_number().over(_ordered(by, ["t", "seq"])) - 2).where("dt IS NOT NULL")
+    base = base_interval(rows, by)
+    return stepped.join(base, by).withColumn("multiple", F.col("dt") / F.nullif(F.col("base"), F.lit(0.0)))
+
+
+def worst_interval(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, worst, place, t): the largest multiple of each series, where it is, the first of equals."""
+    out = multiples(rows, by).where("multiple IS NOT NULL").groupBy(*by).agg(F.max_by(F.struct("multiple", "place", "t"), F.struct("multiple", -F.col("place"))).alias("x"))
+    return out.select(*by, F.col("x.multiple").alias("worst"), "x.place", "x.t")
+
+
+def find_gaps(rows: DataFrame, by: list[str], tolerance: float = 0.5) -> DataFrame:
+    """(by, t, place, dt, ratio): intervals that differ from the mean one by more than tolerance of it; series of two rows have none."""
+    w = Window.partitionBy(*by)
+    stepped = gaps(rows, by).withColumn("place", F.row_number().over(_ordered(by, ["t", "seq"])) - 2).withColumn("_n", F.count("*").over(w))
+    mean = (F.unix_micros(F.max("t").over(w)) - F.unix_micros(F.min("t").over(w))) / 1e6 / F.nullif(F.col("_n") - 1, F.lit(0))
+    out = stepped.withColumn("_mean", mean).where("dt IS NOT NULL AND _n >= 3").where(F.abs(F.col("dt") - F.col("_mean")) > tolerance * F.col("_mean"))
+    return out.select(*by, "t", "place", "dt", (F.col("dt") / F.nullif(F.col("_mean"), F.lit(0.0))).alias("ratio"))
+
+
 def interval_histogram(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, ratio, n): intervals over the base, in tenths."""
     stepped = gaps(rows, by).where("dt IS NOT NULL").join(base_interval(rows, by), by).where("base > 0")

@@ -30,10 +30,13 @@ def evidence_sentences(docs: DataFrame, terms: list[str], least: int = 26, most:
     """
     from ..functions.quality import ascii_lower
 
-    parts = docs.select("doc_id", F.explode(F.split("text", r"[\n.!?。]+")).alias("part")).select("doc_id", F.trim("part").alias("sentence"))
-    low = ascii_lower(F.col("sentence"))
-    told = F.greatest(F.lit(False), *[low.contains(ascii_lower(F.lit(t))) for t in terms])
-    return parts.where(F.length("sentence").between(least, most)).where(told)
+    def told(sentence):
+        low = ascii_lower(sentence)
+        return F.length(sentence).between(least, most) & F.greatest(F.lit(False), *[low.contains(ascii_lower(F.lit(t))) for t in terms])
+
+    # tested before it is exploded: most sentences hold no term
+    sentences = F.filter(F.transform(F.split("text", r"[\n.!?。]+"), lambda s: F.trim(s)), told)
+    return docs.select("doc_id", F.explode(sentences).alias("sentence"))
 
 
 def search_logs(logs: DataFrame, min_level: int, category: str | None, text: str | None, t_from, t_to) -> DataFrame:
@@ -46,6 +49,12 @@ def search_logs(logs: DataFrame, min_level: int, category: str | None, text: str
     return rows if text is None else rows.where(ascii_lower(F.col("message")).contains(ascii_lower(F.lit(text))))
 
 
+def page_with_total(rows: DataFrame, order: list, offset: int, size: int = 100) -> DataFrame:
+    """One page with the true total in each row; past the end, one row of nulls with the total."""
+    own, total = page(rows, order, offset, size)
+    return total.join(own, F.lit(True), "left").select(*rows.columns, "total")
+
+
 def page(rows: DataFrame, order: list, offset: int, size: int = 100) -> tuple[DataFrame, DataFrame]:
     """One page, of 1000 rows at most, and the true total."""
     return rows.orderBy(*order).offset(offset).limit(min(size, 1000)), rows.agg(F.count("*").alias("total"))

@@ -89,6 +89,16 @@ def detections_json(detections: DataFrame, k: int = LISTED) -> DataFrame:
     return rows.select("image_id", F.to_json(F.transform("d", lambda x: x["d"])).alias("detections"))
 
 
+def evidence(detections: DataFrame, threshold: float, listed: int = LISTED, labels: tuple[str, ...] = ("person", "hat", "nohat", "vest", "novest")) -> DataFrame:
+    """(image_id, evidence): what was found above the threshold, by label, in words; whether that breaks a rule; how many a list leaves out."""
+    ok = F.col("conf") > threshold
+    out = detections.groupBy("image_id").agg(F.count_if(ok).alias("n"), *[F.count_if(ok & (F.col("label") == x)).alias(f"n_{x}") for x in labels])
+    each = F.concat_ws(", ", *[F.concat(F.lit(f"{x} "), F.col(f"n_{x}")) for x in labels])
+    breach = F.when((F.col("n_nohat") > 0) | (F.col("n_novest") > 0), "; without helmet or vest").otherwise("; no violation")
+    rest = F.when(F.col("n") > listed, F.concat(F.lit(f"; the surest {listed} of "), "n", F.lit(" listed"))).otherwise("")
+    return out.select("image_id", F.concat(F.lit(f"threshold {threshold:g}: "), "n", F.lit(" found: "), each, breach, rest).alias("evidence"))
+
+
 def compare_detections(a: DataFrame, b: DataFrame, box_px: float = 1.0, score: float = 0.005) -> DataFrame:
     """(image_id, na, nb, box_diff, score_diff, same): two detectors' lists by place of confidence."""
     w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")

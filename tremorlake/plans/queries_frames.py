@@ -279,6 +279,45 @@ def device_status(spark, d):
     return plain_times(by.select("window_start", rules.device_status(F.col("s")).alias("status")))
 
 
+@query(
+    f"""WITH {PEAKS}, r AS (SELECT binding % 5 AS device, window_start, CASE WHEN (peak < 12) IS TRUE THEN 'stopped' WHEN zone IN ('A', 'B') THEN 'normal' WHEN zone = 'C' THEN 'warning' WHEN zone = 'D' THEN 'danger' END AS text FROM zoned WHERE binding % 7 > 0)
+    SELECT device, window_start, ['normal', 'attention', 'warning', 'danger'][1 + max(CASE text WHEN 'normal' THEN 0 WHEN 'warning' THEN 2 WHEN 'danger' THEN 3 END)] AS status, count(*) FILTER (text = 'stopped') AS stopped, count(text) AS modules FROM r WHERE text IS NOT NULL GROUP BY device, window_start"""
+)
+def device_statuses(spark, d):
+    """Devices of five modules each: their highest status, and how many stand still; outputs that are no status say nothing."""
+    g = _zoned(spark, d).withColumn("run_state", rules.run_state(F.col("peak"), F.lit("12")))
+    f = diagnosis.to_findings(g).withColumn("domain", F.col("binding") % 7).withColumn("device", F.col("binding") % 5).withColumn("window_start", F.col("t") - F.expr("INTERVAL 1 DAY"))
+    outputs = table(spark, d, "nation").select((F.col("n_nationkey") % 7).alias("domain"), F.lit("status").alias("key"), (F.col("n_nationkey") % 7 > 0).alias("is_status")).distinct()
+    outputs = outputs.union(outputs.select("domain", F.lit("zone"), F.lit(False)))
+    return plain_times(rules.device_statuses(f, outputs, ["device", "window_start"]))
+
+
+@query(
+    f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY binding, window_start, role ORDER BY t DESC, seq DESC) AS k FROM good WHERE role IN ('x_vel', 'y_vel')),
+    e AS (SELECT binding, window_start, role, count(*) AS got, count(v) AS ok, (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS span FROM r WHERE k <= 2 GROUP BY ALL),
+    f AS (SELECT DISTINCT binding, window_start FROM good), a AS (SELECT f.binding, f.window_start, count(role) AS seen, min(CASE WHEN got < 2 THEN role || ': short' WHEN ok < 2 THEN role || ': bad' WHEN abs(span - 7200) > 1800 THEN role || ': spacing' END) AS bad FROM f LEFT JOIN e USING (binding, window_start) GROUP BY ALL)
+    SELECT binding, window_start, CASE WHEN seen = 0 THEN 'no_input' WHEN seen < 2 OR bad IS NOT NULL THEN 'insufficient_samples' ELSE 'ok' END AS quality, CASE WHEN seen = 0 THEN 'no channel' WHEN bad IS NOT NULL THEN bad WHEN seen < 2 THEN 'channel missing' END AS reason FROM a"""
+)
+def tail_spacing(spark, d):
+    """The last two samples of two channels, which must be two hours apart within a quarter."""
+    return plain_times(frames.tail_n(frames.frames(samples(spark, d), DAY), 2, ["x_vel", "y_vel"], 1 / 7200).select("binding", "window_start", "quality", "reason"))
+
+
+@query(
+    """WITH b AS (SELECT event_id, props, length(props) AS n FROM events), c AS (SELECT event_id, n, unnest(range(1, n + 1)) AS i, props FROM b), v AS (SELECT event_id, n, i, ascii(substr(props, i, 1)) AS x FROM c)
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN n WHEN n % 2 = 0 THEN n // 2 END AS items, CASE WHEN event_id % 2 = 0 THEN sum(x) WHEN n % 2 = 0 THEN sum(CASE WHEN i % 2 = 1 THEN 256 * x ELSE x END) END::DOUBLE AS total FROM v GROUP BY event_id, n"""
+)
+def decoded_bytes(spark, d):
+    """Texts as buffers of unsigned bytes, every second one of unsigned big-endian pairs of bytes; null where half a pair is left."""
+    e = table(spark, d, "events")
+    rows = e.select("event_id", F.lit(1).alias("struct_id"), F.lit(1).alias("version"), (F.col("event_id") % 2).cast("int").alias("number"), F.encode("props", "utf-8").alias("payload"))
+    kind = F.when(F.col("n_nationkey") == 0, "u1").otherwise("u2")
+    fields = table(spark, d, "nation").where("n_nationkey < 2").select(F.lit(1).alias("struct_id"), F.lit(1).alias("version"), F.col("n_nationkey").cast("int").alias("number"), kind.alias("dtype"), F.lit(True).alias("big_endian"))
+    out = src.decode_structs(rows, fields)
+    total = F.when(F.col("values").isNotNull(), F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
+    return out.select("event_id", F.when(F.col("values").isNotNull(), F.size("values")).cast("long").alias("items"), total.alias("total"))
+
+
 _GRADING = f"""WITH {MACHINES_SQL}, m AS (SELECT *, CASE WHEN try_cast(ratedPowerKw AS DOUBLE) > 0 THEN try_cast(ratedPowerKw AS DOUBLE) END AS kw, CASE WHEN try_cast(ratedSpeedRpm AS DOUBLE) > 0 THEN try_cast(ratedSpeedRpm AS DOUBLE) END AS rpm,
     CASE WHEN equipmentClass IN ('EM', 'EG', 'servoMotor') THEN try_cast(shaftHeightMm AS DOUBLE) END AS shaft, equipmentClass = 'PU' OR (equipmentClass = '' AND pumpCategory <> '') AS pump,
     (equipmentClass || '-' || equipmentType) IN ('CO-SC', 'BL-rotaryPD', 'PU-RE', 'EG-MD', 'CO-RE') OR equipmentClass IN ('CE', 'CF') AS other_standard,

@@ -89,6 +89,23 @@ def interval_histogram(spark, d):
     return sequences.interval_histogram(samples(spark, d), BY)
 
 
+@query(
+    f"""WITH {_BASE}, m AS (SELECT tag_id, t, i - 2 AS place, dt / nullif(base, 0) AS multiple FROM placed JOIN base USING (tag_id) WHERE dt IS NOT NULL), w AS (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY multiple DESC, place) AS r FROM m WHERE multiple IS NOT NULL)
+    SELECT tag_id, round(multiple, 6) AS worst, place, t FROM w WHERE r = 1"""
+)
+def worst_interval(spark, d):
+    return plain_times(sequences.worst_interval(samples(spark, d), BY).select("tag_id", F.round("worst", 6).alias("worst"), F.col("place").cast("long").alias("place"), "t"))
+
+
+@query(
+    f"""WITH {_PLACED}, m AS (SELECT tag_id, (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 / (count(*) - 1) AS mean FROM placed GROUP BY tag_id HAVING count(*) >= 3)
+    SELECT tag_id, t, i - 2 AS place, round(dt / mean, 6) AS ratio FROM placed JOIN m USING (tag_id) WHERE dt IS NOT NULL AND abs(dt - mean) > 1.5 * mean"""
+)
+def find_gaps(spark, d):
+    """Intervals that are off the mean one by more than one and a half of it."""
+    return plain_times(sequences.find_gaps(samples(spark, d), BY, 1.5).select("tag_id", "t", F.col("place").cast("long").alias("place"), F.round("ratio", 6).alias("ratio")))
+
+
 @query(f"WITH {_PLACED} SELECT tag_id, CAST(floor((i - 1) / 8) AS BIGINT) AS window_no, round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high FROM placed GROUP BY 1, 2 HAVING count(*) = 8")
 def count_windows(spark, d):
     out = sequences.count_windows(samples(spark, d), BY, 8, "value")
@@ -243,6 +260,40 @@ def history_weighted(spark, d):
     return out.select("tag_id", "bucket", F.round("time_good", 6).alias("time_good"), F.round("total", 5).alias("total"), F.round("average", 8).alias("average"), "reason")
 
 
+@query(
+    f"""WITH {_GRID}, b AS (SELECT *, CAST(floor((us - {BEGIN}000000) / ({HOURS6}000000)) AS INTEGER) AS bucket FROM inr WHERE v IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY tag_id, bucket ORDER BY v, us) AS lo, row_number() OVER (PARTITION BY tag_id, bucket ORDER BY v DESC, us) AS hi FROM b)
+    SELECT tag_id, bucket, max(CASE WHEN lo = 1 THEN t END) AS low_t, max(CASE WHEN hi = 1 THEN t END) AS high_t FROM k GROUP BY tag_id, bucket"""
+)
+def history_extreme_times(spark, d):
+    """When the least and the largest good value of each bucket were, the first of equals."""
+    s, p = _points(spark, d)
+    return plain_times(history.statistics(s, p, BEGIN, END, HOURS6).where("n > 0").select("tag_id", "bucket", "low_t", "high_t"))
+
+
+@query(
+    f"""WITH {_GRID}, u AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY tag_id ORDER BY us, seq), {END}000000) AS until FROM inr),
+    x AS (SELECT *, unnest(range(CAST(floor((us - {BEGIN}000000) / {HOURS6}000000.0) AS BIGINT), CAST(floor((until - 1 - {BEGIN}000000) / {HOURS6}000000.0) AS BIGINT) + 1)) AS bucket FROM u WHERE v IS NOT NULL AND until > us),
+    y AS (SELECT *, (least(until, {BEGIN}000000 + (bucket + 1) * {HOURS6}000000) - greatest(us, {BEGIN}000000 + bucket * {HOURS6}000000)) / 1e6 AS dt FROM x),
+    m AS (SELECT tag_id, bucket, sum(v * dt) / sum(dt) AS mean FROM y GROUP BY ALL), st AS (SELECT tag_id, CAST(bucket AS INTEGER) AS bucket, sqrt(sum((v - mean) * (v - mean) * dt) / sum(dt)) AS std FROM y JOIN m USING (tag_id, bucket) GROUP BY ALL)
+    SELECT grid.tag_id, grid.bucket, round(std, 4) AS std FROM grid LEFT JOIN st USING (tag_id, bucket)"""
+)
+def history_weighted_deviation(spark, d):
+    """The time-weighted deviation of each bucket."""
+    s, p = _points(spark, d)
+    return history.weighted(s, p, BEGIN, END, HOURS6).select("tag_id", "bucket", F.round("std", 4).alias("std"))
+
+
+@query(
+    f"""WITH {_GRID}, e AS (SELECT tag_id, bucket, epoch_us(start) + {HOURS6}000000 AS x, start FROM grid), r AS (SELECT e.*, a.us AS u0, a.v AS v0, b.us AS u1, b.v AS v1 FROM e ASOF LEFT JOIN inr a ON a.tag_id = e.tag_id AND a.us <= e.x ASOF LEFT JOIN inr b ON b.tag_id = e.tag_id AND b.us >= e.x), w AS (SELECT *, CASE WHEN u0 = x THEN v0 ELSE v0 + (v1 - v0) * (x - u0) / (u1 - u0) END AS value FROM r)
+    SELECT w.tag_id, bucket, round(value, 8) AS value, CASE WHEN value IS NOT NULL THEN NULL WHEN epoch_us(start) > last_us OR last_us IS NULL THEN -1027 ELSE -1028 END AS reason FROM w LEFT JOIN lastus USING (tag_id)"""
+)
+def history_end_interpolated(spark, d):
+    """The value at each bucket's end."""
+    s, p = _points(spark, d)
+    return history.interpolated(s, p, BEGIN, END, HOURS6, at_end=True).select("tag_id", "bucket", F.round("value", 8).alias("value"), "reason")
+
+
 @query(
     f"""WITH {_GRID}, m AS (SELECT tag_id, us, CASE WHEN v <> lag(v) OVER (PARTITION BY tag_id ORDER BY us, seq) THEN 1 ELSE 0 END AS moved FROM inr WHERE v IS NOT NULL),
     st AS (SELECT tag_id, CAST(floor((us - {BEGIN}000000) / {HOURS6}000000) AS INTEGER) AS bucket, sum(moved)::BIGINT AS changes FROM m GROUP BY ALL)

@@ -183,6 +183,14 @@ def zscore(spark, d):
     return evaluation.zscore(s, ["role"], ["v"], F.col("seq") % 2 == 0).select("seq", F.round("v_z", 6).alias("z"))
 
 
+@query(
+    f"""WITH {DETECTIONS}, c AS (SELECT image_id, count(*) FILTER (conf > 0.55) AS n, count(*) FILTER (conf > 0.55 AND label = 'person') AS p, count(*) FILTER (conf > 0.55 AND label = 'hat') AS h, count(*) FILTER (conf > 0.55 AND label = 'nohat') AS nh, count(*) FILTER (conf > 0.55 AND label = 'vest') AS v, count(*) FILTER (conf > 0.55 AND label = 'novest') AS nv FROM detections GROUP BY image_id)
+    SELECT image_id, 'threshold 0.55: ' || n || ' found: person ' || p || ', hat ' || h || ', nohat ' || nh || ', vest ' || v || ', novest ' || nv || CASE WHEN nh > 0 OR nv > 0 THEN '; without helmet or vest' ELSE '; no violation' END || CASE WHEN n > 3 THEN '; the surest 3 of ' || n || ' listed' ELSE '' END AS evidence FROM c"""
+)
+def detection_evidence(spark, d):
+    return vision.evidence(detections(spark, d), 0.55, 3)
+
+
 @query(
     f"""WITH {DETECTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS place FROM detections)
     SELECT image_id, count(*) AS n, string_agg(label, ',' ORDER BY place) AS labels, round(sum(x1), 4) AS x1 FROM r WHERE place <= 3 GROUP BY image_id"""

@@ -8,6 +8,7 @@ from ..functions import signal
 from ..operators import evaluation, labels, models, text, vision
 from ..sources import samples as src
 from ..sources import sinks
+from ..sources.shared import written
 from .inputs import ANNOTATIONS, DETECTIONS, SAMPLES, annotations, detections, long_waves, plain_times, samples, table, waves
 from .registry import query
 
@@ -27,30 +28,37 @@ def label_counts(spark, d):
     return labels.label_counts(annotations(spark, d), ["binding"])
 
 
-_DATASETS = f"""{ANNOTATIONS}, held AS (SELECT annotation_id % 4 AS dataset_id, * FROM annotations WHERE annotation_id % 5 = 0)"""
+_DATASETS = f"""{ANNOTATIONS}, held AS (SELECT unnest([annotation_id % 4, CASE WHEN annotation_id % 3 = 0 THEN (annotation_id + 1) % 4 END]) AS dataset_id, * FROM annotations), samples AS (SELECT * FROM held WHERE dataset_id IS NOT NULL)"""
 
 
 def _held(spark, d):
-    return annotations(spark, d).where("annotation_id % 5 = 0").withColumn("dataset_id", F.col("annotation_id") % 4)
+    """Every label in a set of its own number modulo 4, a third of them in the next set too."""
+    k = F.col("annotation_id")
+    sets = F.when(k % 3 == 0, F.array(k % 4, (k + 1) % 4)).otherwise(F.array(k % 4))
+    return annotations(spark, d).withColumn("dataset_id", F.explode(sets))
 
 
 @query(
-    f"""WITH {_DATASETS}, new AS (SELECT annotation_id % 4 AS dataset_id, annotation_id, label, data_origin FROM annotations a WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.dataset_id = a.annotation_id % 4 AND h.annotation_id = a.annotation_id))
+    f"""WITH {_DATASETS}, new AS (SELECT (annotation_id + 1) % 4 AS dataset_id, annotation_id, label, data_origin FROM annotations a WHERE NOT EXISTS (SELECT 1 FROM samples h WHERE h.dataset_id = (a.annotation_id + 1) % 4 AND h.annotation_id = a.annotation_id))
     SELECT dataset_id, label, data_origin, count(*) AS n FROM new GROUP BY ALL"""
 )
 def add_to_dataset(spark, d):
-    out = labels.add_to_dataset(annotations(spark, d), _held(spark, d), F.col("annotation_id") % 4)
+    out = labels.add_to_dataset(annotations(spark, d), _held(spark, d), (F.col("annotation_id") + 1) % 4)
     return out.groupBy("dataset_id", "label", "data_origin").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""WITH {_DATASETS}, c AS (SELECT * FROM held WHERE dataset_id = 1 AND annotation_id NOT IN (SELECT annotation_id FROM held WHERE dataset_id = 2)) SELECT label, count(*) AS n, 2 AS dataset_id FROM c GROUP BY label"""
+    f"""WITH {_DATASETS}, c AS (SELECT s.*, (s.dataset_id + 1) % 4 AS target FROM samples s WHERE NOT EXISTS (SELECT 1 FROM samples h WHERE h.annotation_id = s.annotation_id AND h.dataset_id = (s.dataset_id + 1) % 4)) SELECT label, count(*) AS n, target AS dataset_id FROM c GROUP BY label, target"""
 )
 def copy_samples(spark, d):
-    return labels.copy_samples(_held(spark, d), 1, 2).groupBy("label", "dataset_id").agg(F.count("*").alias("n"))
+    """Each of four sets copied to the next, which holds a third of its labels already."""
+    held = written(_held(spark, d), "held")
+    copies = [labels.copy_samples(held, k, (k + 1) % 4) for k in range(4)]
+    out = copies[0].union(copies[1]).union(copies[2]).union(copies[3])
+    return out.groupBy("label", F.col("dataset_id").cast("long").alias("dataset_id")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_DATASETS} SELECT dataset_id, count(*) AS n, count(CASE WHEN annotation_id % 3 <> 0 THEN 1 END) AS linked FROM held GROUP BY dataset_id")
+@query(f"WITH {_DATASETS} SELECT dataset_id, count(*) AS n, count(CASE WHEN annotation_id % 3 <> 0 THEN 1 END) AS linked FROM samples GROUP BY dataset_id")
 def unlink_deleted(spark, d):
     h = _held(spark, d)
     gone = h.where("annotation_id % 3 = 0").select("annotation_id")
@@ -140,9 +148,12 @@ def explain_skips(spark, d):
     return labels.explain_skips(o, ["job"])
 
 
-@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'labels', count(*) FROM labels")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in _TABLES))
 def table_stats(spark, d):
-    return labels.table_stats({n: table(spark, d, n) for n in ("orders", "events", "labels")})
+    return labels.table_stats({n: table(spark, d, n) for n in _TABLES})
 
 
 @query(
@@ -438,6 +449,12 @@ def page_of_orders(spark, d):
     return plain_times(rows)
 
 
+@query("SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 200")
+def page_with_total(spark, d):
+    """The third page of a hundred orders, with how many there are."""
+    return plain_times(text.page_with_total(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 200, 100))
+
+
 @query(
     """WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT vec_id, avg(x) AS m FROM x GROUP BY vec_id), c AS (SELECT vec_id, x - m AS y FROM x JOIN m USING (vec_id))
     SELECT vec_id, round(avg(pow(y, 4)) / pow(avg(y * y), 2), 7) AS kurt, round(max(abs(y)) / sqrt(avg(y * y)), 7) AS crest FROM c GROUP BY vec_id"""

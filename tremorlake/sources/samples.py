@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The largest image, and numeric types of buffers.
@@ -35,21 +36,45 @@ def unpack_value() -> Column:
     )
 
 
+def _decoded(payloads: pa.Array, kind: np.dtype) -> pa.Array:
+    """Lists of numbers from buffers that are whole numbers of items, all at once."""
+    sizes = pc.binary_length(payloads).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    payloads = payloads.cast(pa.large_binary())
+    ends = np.frombuffer(payloads.buffers()[1], np.int64)[payloads.offset : payloads.offset + len(payloads) + 1]
+    body = payloads.buffers()[2] if ends[-1] > ends[0] else b""
+    values = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]].view(kind).astype(float)
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(values))
+
+
 def decode_structs(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """Numeric buffers (struct_id, version, number, payload) decoded by fields (struct_id, version, number, dtype, big_endian).
 
-    values is null for an unknown field, an unknown type or a buffer that is no whole number of items.
+    values is null for an unknown field, an unknown type or a buffer that is no whole number of items. The buffers of one type in a batch are
+    decoded by one call.
     """
     known = fields.select("struct_id", "version", "number", "dtype", "big_endian")
-    joined = rows.join(F.broadcast(known), ["struct_id", "version", "number"], "left")
+    joined = rows.join(known, ["struct_id", "version", "number"], "left")
+    sizes = {k: np.dtype(k).itemsize for k in DTYPES}
 
     def decoded(batches):
         for batch in batches:
-            out = []
-            for raw, kind, big in zip(*(batch.column(c).to_pylist() for c in ("payload", "dtype", "big_endian"))):
-                kind = np.dtype((">" if big else "<") + kind) if kind in DTYPES else None
-                out.append(None if raw is None or kind is None or len(raw) % kind.itemsize else np.frombuffer(raw, kind).astype(float))
-            yield batch.append_column("values", pa.array(out, pa.list_(pa.float64())))
+            payload = batch.column("payload").cast(pa.binary())
+            length = pc.fill_null(pc.binary_length(payload), -1).to_numpy(zero_copy_only=False)
+            kind = np.array(batch.column("dtype").to_pylist(), object)
+            big = np.array([bool(x) for x in batch.column("big_endian").to_pylist()], bool)
+            parts, order = [], []
+            for k, order_of in ((k, e) for k in DTYPES for e in (False, True)):
+                at = np.flatnonzero((kind == k) & (big == order_of) & (length >= 0) & (length % sizes[k] == 0))
+                if len(at):
+                    parts.append(_decoded(payload.take(pa.array(at)), np.dtype((">" if order_of else "<") + k)))
+                    order.append(at)
+            place = np.full(batch.num_rows, -1, np.int64)
+            if order:
+                place[np.concatenate(order)] = np.arange(sum(map(len, order)))
+                values = pa.concat_arrays(parts).take(pa.array(place, mask=place < 0))
+            else:
+                values = pa.nulls(batch.num_rows, pa.large_list(pa.float64()))
+            yield batch.append_column("values", values.cast(pa.list_(pa.float64())))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
     return joined.mapInArrow(decoded, schema + ", values array<double>")
@@ -63,7 +88,7 @@ def project_struct_fields(values: DataFrame, roles: DataFrame, fields: DataFrame
     """
     each = values.join(roles, "tag_id")
     named = fields.select("struct_id", "version", F.col("number").alias("by_name"), F.col("name").alias("field_name"))
-    each = each.join(F.broadcast(named), ["struct_id", "version", "field_name"], "left")
+    each = each.join(named, ["struct_id", "version", "field_name"], "left")
     v = F.try_element_at("numbers", F.coalesce("field_number", "by_name"))
     v = F.when(~F.isnan(v), v)
     return each.select("binding", "role", "tag_id", "t", v.alias("value"), F.when(v.isNull(), "input_bad").otherwise("ok").alias("quality"))
@@ -87,18 +112,37 @@ def split_outage_markers(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.where(~edge).drop("good", "any_good"), ranked.where(edge).drop("good", "any_good")
 
 
-def read_wave_csv(spark, paths, sample_columns: int = 6) -> DataFrame:
-    """(file, seq, h, m, s, us, acc_h, acc_v) of text files split by comma or semicolon, whichever gives more numbers in a line.
+_WAVE = ("h", "m", "s", "us", "acc_h", "acc_v")
 
-    Numbers may be written as 1.6562e+005; lines of too few numbers are left out.
-    """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value")
+
+def _wave_lines(spark, paths, width: int) -> DataFrame:
+    """(file, seq, a, b, na, nb): the numbers of each line by comma and by semicolon, and whether they are as many as width."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(paths).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), place.alias("seq"), "value")
     numbers = lambda sep: F.transform(F.split("value", sep), lambda x: F.trim(x).try_cast("double"))
-    count = lambda a: F.size(F.filter(a, lambda x: x.isNotNull()))
-    lines = lines.withColumn("a", numbers(",")).withColumn("b", numbers(";"))
-    lines = lines.withColumn("v", F.when(count(F.col("a")) >= count(F.col("b")), F.col("a")).otherwise(F.col("b")))
-    names = ("h", "m", "s", "us", "acc_h", "acc_v")
-    return lines.where(count(F.col("v")) >= sample_columns).select("file", "seq", *[F.get("v", i).alias(n) for i, n in enumerate(names)])
+    enough = lambda a: (F.size(F.filter(a, lambda x: x.isNotNull())) >= width).cast("int")
+    return lines.withColumn("a", numbers(",")).withColumn("b", numbers(";")).withColumn("na", enough(F.col("a"))).withColumn("nb", enough(F.col("b")))
+
+
+def wave_files(spark, paths, width: int = 6, least_rows: int = 0) -> DataFrame:
+    """(file, separator, rows, bad_lines, skipped): a file's separator is that by which more of its lines have numbers enough, the comma on ties.
+
+    skipped: it has less than least_rows such lines.
+    """
+    out = _wave_lines(spark, paths, width).groupBy("file").agg(F.sum("na").alias("a"), F.sum("nb").alias("b"), F.count("*").alias("n"))
+    rows = F.greatest("a", "b")
+    return out.select("file", F.when(F.col("a") >= F.col("b"), ",").otherwise(";").alias("separator"), rows.alias("rows"), (F.col("n") - rows).alias("bad_lines"), (rows < least_rows).alias("skipped"))
+
+
+def read_wave_csv(spark, paths, width: int = 6, least_rows: int = 0) -> DataFrame:
+    """(file, seq, h, m, s, us, acc_h, acc_v) of text files split by comma or semicolon, one for each file; seq orders the lines of a file.
+
+    Numbers may be written as 1.6562e+005; lines of too few numbers, and files of less than least_rows others, are left out.
+    """
+    kept = wave_files(spark, paths, width, least_rows).where("NOT skipped").select("file", "separator")
+    lines = _wave_lines(spark, paths, width).join(kept, "file")
+    v, good = F.when(F.col("separator") == ",", F.col("a")).otherwise(F.col("b")), F.when(F.col("separator") == ",", F.col("na")).otherwise(F.col("nb"))
+    return lines.where(good == 1).withColumn("v", v).select("file", "seq", *[F.get("v", i).alias(n) for i, n in enumerate(_WAVE)])
 
 
 def read_images(spark, path: str, captured: DataFrame, limit: int = IMAGE_BYTES) -> DataFrame:

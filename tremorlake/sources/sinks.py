@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quality import finite, status_code
+from .shared import written
+
+A_SLOT = 500_000
 
 
 def findings_to_values(findings: DataFrame) -> DataFrame:
@@ -37,14 +40,16 @@ def import_check(new: DataFrame, known: DataFrame) -> DataFrame:
 def allocate_point_ids(declared: DataFrame, known: DataFrame, keys: list[str], containers: DataFrame | None = None) -> DataFrame:
     """Ids for the declared keys that known (keys, point_id) lacks, above all ids ever given, those of containers included.
 
-    New keys get consecutive ids by rank: within ranges of the keys' order, with the sizes of the ranges before, so no
+    New keys get consecutive ids by rank: within slots of some A_SLOT keys, shifted by the sizes of the slots before, so no
     single task ranks them all.
     """
     new = declared.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
     used = known.select("point_id") if containers is None else known.select("point_id").union(containers.select("point_id"))
     top = used.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("top"))
-    new = new.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(64)))
+    new = written(new, "new-keys")
+    slots = max(1, -(-new.count() // A_SLOT))
+    new = new.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)))
     sizes = new.groupBy("slot").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = new.withColumn("r", F.row_number().over(Window.partitionBy("slot").orderBy(*keys)))
-    return ranked.join(F.broadcast(before), "slot").crossJoin(F.broadcast(top)).select(*keys, (F.col("top") + F.col("before") + F.col("r")).alias("point_id"))
+    return ranked.join(before, "slot").crossJoin(F.broadcast(top)).select(*keys, (F.col("top") + F.col("before") + F.col("r")).alias("point_id"))
