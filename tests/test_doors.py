@@ -62,6 +62,12 @@ def test_blocks_do_not_show(spark, error, block_s):
     assert got.columns == ["key", "t", "seq", "value"]
 
 
+def test_one_pass_over_series_keeps_the_same(spark):
+    rows = series()
+    got = doors.swinging_door_by_series(spark.createDataFrame(rows, SAMPLE), ["key"], 0.5)
+    assert sorted((r.key, r.t, r.seq) for r in got.collect()) == by_key(rows, 0.5)
+
+
 def test_empty_tables_and_corners(spark):
     none = spark.createDataFrame([], SAMPLE)
     assert doors.swinging_door(none, ["key"], 1.0).count() == 0

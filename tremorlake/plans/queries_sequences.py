@@ -462,7 +462,7 @@ def drop_equal(spark, d):
 
 @query()
 def swinging_door(spark, d):
-    from ..streaming.doors import swinging_door as door
+    from ..streaming.doors import swinging_door_by_series as door
 
     return door(samples(spark, d), BY, 1.0).groupBy("tag_id").agg(F.count("*").alias("kept"))
 

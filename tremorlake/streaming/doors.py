@@ -22,6 +22,8 @@ from .stateful import FORGET_S, InOrder, _run, _time
 #: A corridor: where it opens, its slopes, the last sample seen, and whether that is the one it opens at.
 STATE = "at_us long, at_value double, high double, low double, last_us long, last_seq long, last_value double, shut boolean"
 CHUNK = 64
+#: Samples that a block of a series of usual density holds.
+BLOCK_ROWS = 20_000
 
 
 def walk(us: np.ndarray, seq: np.ndarray, value: np.ndarray, error: float, state: tuple | None) -> tuple[list[tuple[int, int, float]], tuple | None]:
@@ -74,12 +76,18 @@ def _unpacked(values) -> tuple | None:
     return None if pd.isna(values[0]) else (int(values[0]), float(values[1]), float(values[2]), float(values[3]), int(values[4]), int(values[5]), float(values[6]), bool(values[7]))
 
 
-def swinging_door(samples: DataFrame, by: list[str], error: float, block_s: float = 86400.0) -> DataFrame:
+def swinging_door(samples: DataFrame, by: list[str], error: float, block_s: float | None = None) -> DataFrame:
     """The samples (by, t, seq, value, more) that swinging-door compression keeps; those without a value go. (by, t, seq) names a sample.
 
-    A block of block_s seconds of one series is held in memory at once. Empty tables give empty results.
+    A block of block_s seconds of one series is held in memory at once; without block_s, as long as BLOCK_ROWS samples are in the mean of all
+    series. What is kept does not depend on it. Empty tables give empty results.
     """
     rows = samples.where("value IS NOT NULL AND t IS NOT NULL")
+    if block_s is None:
+        n, low, high = rows.agg(F.count("*"), F.min(F.unix_micros("t")), F.max(F.unix_micros("t"))).first()
+        if not n:
+            return rows.limit(0)
+        block_s = max(1.0, (high - low + 1) / 1e6 * rows.select(*by).distinct().count() * BLOCK_ROWS / n)
     block = F.floor(F.unix_micros("t") / int(block_s * 1e6))
     slim = written(rows.select(*by, block.alias("block"), F.unix_micros("t").alias("us"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value")), "door-rows")
     keys = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in by)
@@ -149,6 +157,31 @@ def swinging_door(samples: DataFrame, by: list[str], error: float, block_s: floa
     return rows.withColumn("us", F.unix_micros("t")).join(keep, [*by, "us", "seq"], "left_semi").select(samples.columns)
 
 
+def swinging_door_by_series(samples: DataFrame, by: list[str], error: float) -> DataFrame:
+    """(by, t, seq, value) of the samples that swinging_door keeps, in one pass: for many series, none of them too long for one task.
+
+    A task streams through its sorted series with one corridor of state.
+    """
+    rows = samples.where("value IS NOT NULL AND t IS NOT NULL").select(*by, F.unix_micros("t").alias("us"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+
+    def door(batches):
+        key, state = None, None
+        closed = lambda: [] if state is None or state[7] else [(*key, *state[4:7])]
+        for batch in batches:
+            out = []
+            for own, part in batch.groupby(by, sort=False, dropna=False):
+                if own != key:
+                    out += closed()
+                    key, state = own, None
+                keeps, state = walk(part["us"].to_numpy(), part["seq"].to_numpy(), part["value"].to_numpy(float), error, state)
+                out += [(*key, *x) for x in keeps]
+            yield pd.DataFrame(out, columns=[*by, "us", "seq", "value"])
+        yield pd.DataFrame(closed(), columns=[*by, "us", "seq", "value"])
+
+    kept = rows.repartition(*by).sortWithinPartitions(*by, "us", "seq").mapInPandas(door, rows.schema)
+    return kept.select(*by, F.timestamp_micros("us").alias("t"), "seq", "value")
+
+
 class Door(InOrder):
     KEPT, COLUMNS = STATE, ["key", "t", "seq", "value"]
 
