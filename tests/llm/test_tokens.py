@@ -106,6 +106,30 @@ def test_differencing_levels_parts():
     assert np.bincount(window, [4096, 3000, 3000, 1096, 4096]).max() <= 4096 and len(set(window)) == 4
 
 
+@pytest.mark.parametrize("low, high", [(1, 4000), (900, 1000), (1300, 1700), (2050, 2300), (3000, 3100), (2049, 2050), (1, 9000)])
+def test_padding_of_many_lengths(spark, low, high):
+    """Little padding whatever the lengths are, with the cuts and batches of the operator."""
+    words = np.random.default_rng(low).integers(low, high, 1000)
+    docs = spark.createDataFrame([(i, "the " * (int(n) - 1)) for i, n in enumerate(words)], DOC).repartition(4)
+    rows = packed_documents(docs, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    assert rows["length"].sum() == words.sum() and rows.groupby("sequence_id")["length"].sum().max() <= 4096
+    padded = 4096 * rows["sequence_id"].nunique() - rows["length"].sum()
+    assert padded <= 0.005 * words.sum() + 4096
+
+
+def test_padding_of_tiny_texts():
+    """Batches of tiny texts grow until the share of their last window is little."""
+    sizes = np.random.default_rng(3).integers(2, 20, 60_000)
+    window = windows_of(sizes, 4096)
+    assert np.bincount(window, sizes).max() <= 4096 and 4096 * (window.max() + 1) - sizes.sum() < 2 * 4096
+
+
+def test_windows_rise_to_the_first_number_that_fits():
+    """Pieces over half the capacity need a window each, and no more are opened."""
+    assert len(set(windows_of(np.full(101, 2049), 4096))) == 101
+    assert len(set(windows_of(np.array([2049] * 50 + [2047] * 50), 4096))) == 50
+
+
 @pytest.mark.parametrize("block", [3, 7, 1 << 16])
 def test_token_counts(spark, block):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -1,14 +1,16 @@
 """Packing of tokenised documents into windows of bounded length by multiway differencing.
 
-A document's ids are cut at every multiple of the capacity, and the rest of every FINE_EVERY-th document into
-halves down to FINE_FLOOR ids, so that there are small pieces to level windows with (they cut the padding from
-1.5 to 0.1 %). Whole pieces are windows by themselves; the rests go to batches of bounded size, and each batch is split into k windows by the largest differencing
-method of Karmarkar and Karp: every rest begins as a partition of its own with one filled part, and
+A document's ids are cut at every multiple of the capacity, and the rest into halves of halves: down to an eighth of the
+capacity, and to FINE_FLOOR ids where the rests so far have filled another window, so that each window has about one
+document's small pieces to be levelled with, whatever the lengths of documents are. Whole pieces are windows by
+themselves; the others go to batches of bounded size, and each batch is split into k windows by the largest differencing
+method of Karmarkar and Karp: every piece begins as a partition of its own with one filled part, and
 the two partitions of the largest spread are merged again and again, the fullest part of one with
 the emptiest of the other. k begins at the least number that could hold the tokens and rises whenever a
-window exceeds the capacity.
+window exceeds the capacity, to the first number found by doubled steps and bisection that fits. What a batch
+pads is then mostly its last window's share, so a batch has WINDOWS_A_BATCH windows or more unless it reaches MOST_PIECES.
 
-Pieces are written and counted first, so that batches hold a few thousand of them however many documents or ids there
+Pieces are written and counted first, so that the size of batches is bounded however many documents or ids there
 are; the ids themselves never leave the task that made them unless a caller keeps their column.
 
 Defined results: a null text is empty, so its document is the end id alone; repeated rows are documents of their
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 from .textkit import codepoints, slices
 
-PIECES_A_BATCH = 3000
+#: A batch: pieces wanted, windows wanted, and pieces at most.
+PIECES_A_BATCH, WINDOWS_A_BATCH, MOST_PIECES = 3000, 200, 60_000
 #: Parts whose ids a task keeps, characters of a part worth keeping, and characters that are encoded at a time.
 CACHED_PARTS, CACHED_CHARS = 400_000, 64
 RUN_CHARS = 1 << 21
-FINE_EVERY, FINE_FLOOR = 8, 8
+#: Ids of the smallest pieces, and how many of the larger ones a window takes at least.
+FINE_FLOOR, COARSE_PARTS = 8, 8
 _GAP = re.compile("[ \t-\r]")
 _ODD = re.compile("[\x00-\x1f'<\x7f-\xa0\xad\u0130\u0180-\U0010ffff]")
 
@@ -200,7 +204,8 @@ def encoder(path: str) -> Encoder:
 def cuts(n: int, capacity: int, fine: bool) -> list[int]:
     """Lengths of the pieces of n ids, in order."""
     out, rest = [capacity] * (n // capacity), n % capacity
-    while fine and rest > FINE_FLOOR:
+    floor = FINE_FLOOR if fine else max(FINE_FLOOR, capacity // COARSE_PARTS)
+    while rest > floor:
         out.append(rest - rest // 2)
         rest //= 2
     return out + [rest] if rest else out
@@ -210,13 +215,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """(id_col, start, length, doc_tokens, ids, spot): the pieces of each document with their little-endian ids."""
 
     def rows(batches):
-        encode, spot, nth = encoder(tokenizer), TaskContext.get().partitionId() << 34, 0
+        encode, spot, filled = encoder(tokenizer), TaskContext.get().partitionId() << 34, capacity - 1
         for batch in batches:
             for part in slices(batch, "text", RUN_CHARS):
                 ids, sizes = encode([t or "" for t in part.column("text").to_pylist()])
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
-                lengths = [cuts(int(n), capacity, (nth + i) % FINE_EVERY == 0) for i, n in enumerate(sizes, 1)]
-                nth += len(lengths)
+                upto = filled + np.cumsum(sizes % capacity)
+                fine = np.diff(upto // capacity, prepend=filled // capacity) > 0
+                filled = int(upto[-1])
+                lengths = [cuts(n, capacity, f) for n, f in zip(sizes.tolist(), fine.tolist())]
                 many = np.array([len(x) for x in lengths])
                 length = np.concatenate([np.array(x, np.int64) for x in lengths])
                 end = np.cumsum(length)
@@ -238,7 +245,8 @@ def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of docs in its sequence."""
     pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
     pieces = written(pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "spot"), "pieces")
-    return pack(pieces, pieces.count(), capacity)
+    n_pieces, n_ids = pieces.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("length") < capacity, F.col("length"))), F.lit(0))).first()
+    return pack(pieces, n_pieces, capacity, n_ids)
 
 
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -285,18 +293,26 @@ def windows_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
     rest = sizes[~whole]
     if len(rest):
         k, step = int(-(-rest.sum() // capacity)), 1
-        while True:
-            part = differenced(rest, k)
-            if np.bincount(part, rest).max() <= capacity:
-                break
-            k, step = k + step, step * 2
+        full, part = k - 1, None
+        while part is None or k - full > 1:
+            trial = k if part is None else (k + full) // 2
+            found = differenced(rest, trial)
+            if np.bincount(found, rest).max() <= capacity:
+                k, part = trial, found
+            elif part is None:
+                full, k, step = k, k + step, step * 2
+            else:
+                full = trial
         out[~whole] = whole.sum() + part
     return out
 
 
-def pack(pieces: DataFrame, n_pieces: int, capacity: int = 4096) -> DataFrame:
-    """pieces (with length and spot) with sequence_id and offset; n_pieces, their number, sets the number of batches."""
-    batches = max(1, -(-n_pieces // PIECES_A_BATCH))
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = 4096, n_ids: int | None = None) -> DataFrame:
+    """pieces (with length and spot) with sequence_id and offset; their number, and that of the ids in those under the capacity, set the number of batches."""
+    batches = -(-n_pieces // PIECES_A_BATCH)
+    if n_ids is not None:
+        batches = max(min(batches, n_ids // (WINDOWS_A_BATCH * capacity)), -(-n_pieces // MOST_PIECES))
+    batches = max(1, batches)
 
     def packed(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("spot")
