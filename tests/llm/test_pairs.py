@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.llm import jaccard_join
+from tremorlake.llm import blocks, jaccard_join
 from tremorlake.llm.common import components
 from tremorlake.llm.embedding_dedup import embedding_dedup
 from tremorlake.llm.jaccard_join import ngram_jaccard_join
@@ -180,5 +180,25 @@ def test_substrings(spark, window):
     assert got == substring_by_force(rows, window)
 
 
+def test_chunks_of_equal_rows_and_nulls_are_bounded(spark):
+    """Equal rows and rows of nulls spread over chunks by their bytes and by batches, and none is lost."""
+    df = spark.sql("SELECT CAST(NULL AS long) AS doc_id, CAST(NULL AS string) AS text FROM range(100000) UNION ALL SELECT 7, repeat('same words ', 9) FROM range(100000)")
+    rows, size = blocks.chunked(df, "doc_id", "text", 1 << 16)
+    by = rows.groupBy("chunk").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).toPandas()
+    assert by["n"].sum() == 200_000 and by["n"].max() <= 10_000 and by["b"].max() <= 1 << 16
+    assert size == 100_000 * 99 + 200_000 * 16
+    out = substring_dedup(df, window=5).groupBy("doc_id").agg(F.count("*"), F.sum("n_words"), F.sum("n_removed"), F.max("kept")).collect()
+    assert {tuple(r) for r in out} == {(None, 100_000, 0, 0, ""), (7, 100_000, 1_800_000, 1_800_000, "")}
+
+
+def test_chunks_come_again_the_same_from_shuffled_input(spark):
+    """Input out of a shuffle is written once, so that all readings agree on what a chunk holds."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 50, F.lit("a b c d e f"), F.col("id") % 7).alias("text")).repartition(7)
+    rows, _ = blocks.chunked(df, "doc_id", "text", 1 << 10)
+    first, again = rows.select("id", "chunk").toPandas(), rows.select("id", "chunk").toPandas()
+    assert first.equals(again) and len(rows.inputFiles()) > 0
+    assert blocks.chunked(df, "doc_id", "text", 1 << 10, stored=True)[0].inputFiles() == []
+
+
 def test_no_documents(spark):
     assert substring_dedup(spark.createDataFrame([], DOC)).count() == 0

@@ -1,19 +1,21 @@
 """Asking a whole corpus about 64-bit keys, in packed blocks.
 
-Documents are dealt to chunks of about a megabyte or a few. A chunk asks about its distinct keys,
+Documents are dealt to chunks of at most about a megabyte or a few, as they are read. A chunk asks about its distinct keys,
 cut by hash into buckets; a bucket adds up what all chunks hold and answers each with its keys that
-reach a total. A key leaves a chunk once however often it occurs there, so a frequent key is no
-larger to a bucket than a rare one, and neither chunks nor buckets grow with the corpus: their
-numbers do.
+reach a total. A key leaves a chunk once however often it occurs there. Chunks do not grow with the corpus, their
+number does; buckets do not either but for keys of most chunks, of which a bucket gets one entry a chunk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .textkit import U
+from .common import repeatable
+from .textkit import U, slices
 
 KEYS_A_BUCKET = 400_000
 ASK = "chunk long, bucket long, keys binary, held binary"
@@ -33,12 +35,24 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, keep: tuple = ()) -> tuple[DataFrame, int]:
-    """docs as (id, text, keep..., chunk) and the bytes of all texts. Rows of any kind spread evenly."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 16)).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, keep: tuple = (), stored: bool = False) -> tuple[DataFrame, int]:
+    """docs as (id, text, keep..., chunk) and the bytes of all texts.
+
+    A chunk is a run of rows as they are read, of one Arrow batch and chunk_bytes of text at most or one longer text, so equal
+    rows, and rows of nulls, spread like any others. stored: docs is a plain read of stored files; other input is written first.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("long")), total
+    rows = repeatable(rows, "rows", stored)
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+
+    def numbered(batches):
+        nth = TaskContext.get().partitionId() << 34
+        for batch in batches:
+            for part in slices(batch, "text", chunk_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, nth))], [*part.schema.names, "chunk"])
+                nth += 1
+
+    return rows.mapInArrow(numbered, StructType([*rows.schema.fields, StructField("chunk", LongType())])), total
 
 
 def asked(chunk: int, keys: np.ndarray, buckets: int) -> list[dict]:

@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeatable(df: DataFrame, name: str, stored: bool) -> DataFrame:
+    """df such that every reading brings the same rows in the same order, which numbering rows where they are read needs.
+
+    A plain read of stored files (stored) does so, also after executors are lost. Other input is written first: what comes out of a
+    shuffle may come in another order when it is computed again.
+    """
+    return df if stored else written(df, name)
+
+
 def spread(n_rows: int, per_part: int) -> int:
     return max(1, -(-n_rows // per_part))
 

@@ -11,7 +11,8 @@ times alpha for each step of backing off. With min_count 1 no n-gram of the scor
 off; by default an n-gram must occur at another place, too.
 
 Keys of a block are sorted, stored as differences in planes of bytes, and compressed; a frequent n-gram is one entry a chunk. Chunks are
-runs of rows of a bounded number of bytes, so rows that repeat do not gather in one.
+runs of rows of a bounded number of bytes, so rows that repeat do not gather in one. Their numbers come from where rows are read, so
+input that is not a plain read of stored files is written first: made again, a chunk then holds the same texts.
 
 Defined results: null text or no words, no score (null) and zero words; the first words of a document
 use the contexts they have; repeated rows count twice and score alike; ties do not arise, as every word has one longest n-gram; an empty
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import repeatable
 from .textkit import U, Words, as_bytes, slices
 
 CHUNK_BYTES = 6 << 20
@@ -193,8 +195,12 @@ def _joined(exploded: DataFrame, counts: DataFrame, level: int) -> DataFrame:
     return exploded.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(join, _JOINED)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
-    """(id_col, n_words, n_backed_off, log10_score, mean_log10): words are runs without ASCII white space, A-Z lower-cased."""
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, stored: bool = False) -> DataFrame:
+    """(id_col, n_words, n_backed_off, log10_score, mean_log10): words are runs without ASCII white space, A-Z lower-cased.
+
+    stored: docs is a plain read of stored files; other input is written first, as its chunks are made more than once.
+    """
+    docs = repeatable(docs.select(id_col, text_col), "texts", stored)
     text = F.col(text_col)
     size, words = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))).first()
     chunks = _chunks(docs, id_col, text_col)

@@ -22,7 +22,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
-    out = substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup(table(spark, sf_dir, "documents"), stored=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -58,7 +58,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
-    out = lm_scores(table(spark, sf_dir, "documents"))
+    out = lm_scores(table(spark, sf_dir, "documents"), stored=True)
     return out.select("doc_id", "n_words", "n_backed_off", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 

@@ -8,7 +8,7 @@ there; around the others the full windows are hashed and asked about in turn, an
 repeated window covers is removed. Totals come from all documents; nothing is paired.
 
 Defined results: a null text has no words; repeated rows are texts of their own, so all their windows
-repeat; a text shorter than the window keeps every word; an empty table gives an empty result; input
+repeat, and they spread over chunks like other rows; a text shorter than the window keeps every word; an empty table gives an empty result; input
 columns other than the id, the text and those in keep are ignored, whatever their names.
 Two different windows of equal 64-bit hash would be taken for repeats (below one in 10**4 for 3 * 10**7 windows).
 """
@@ -68,9 +68,12 @@ class _Scan:
         return np.cumsum(edge[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep: tuple = ()) -> DataFrame:
-    """(id_col, *keep, n_words, n_removed, kept): kept joins the words that stay by one space."""
-    rows, size = blocks.chunked(docs, id_col, text_col, CHUNK_BYTES, keep)
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep: tuple = (), stored: bool = False) -> DataFrame:
+    """(id_col, *keep, n_words, n_removed, kept): kept joins the words that stay by one space.
+
+    stored: docs is a plain read of stored files; other input is written first, as its rows are read three times.
+    """
+    rows, size = blocks.chunked(docs, id_col, text_col, CHUNK_BYTES, keep, stored)
     buckets = max(1, size // 6 // 4 // blocks.KEYS_A_BUCKET)
 
     def listed(made: list[dict]) -> pa.Table:
