@@ -58,7 +58,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space included; rows repeated whole lose each other's words, so the stage before leaves one of them; an empty table stays
     empty; columns beside COLUMNS go.
     """
-    out = substring_dedup(docs.select(COLUMNS), keep=("text", "lang", "source", "n_chars"))
+    out = substring_dedup(docs.select(COLUMNS), keep=("text", "lang", "source", "n_chars"), stored=True)
     out = out.where("n_removed = 0 OR kept <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
