@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -85,19 +83,26 @@ def press_features(press: DataFrame) -> DataFrame:
 
 
 def resample_press(press: DataFrame, n: int = 128) -> DataFrame:
-    """press with position, velocity and force at n equal steps of displacement; null where they cannot be."""
-    from ..functions.signal import resampled_by_position
-
-    def rows(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("position", "velocity", "force")]
-            got = []
-            for p, v, f in zip(*cols):
-                usable = p and v and f and None not in p and None not in v and None not in f
-                got.append(resampled_by_position(np.array(p, float), [np.array(v, float), np.array(f, float)], n) if usable else None)
-            for k, name in enumerate(("position_n", "velocity_n", "force_n")):
-                batch = batch.append_column(name, pa.array([None if g is None else g[k].tolist() for g in got], pa.list_(pa.float64())))
-            yield batch
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in press.schema.fields)
-    return press.mapInArrow(rows, schema + ", position_n array<double>, velocity_n array<double>, force_n array<double>")
+    """press with position, velocity and force at n equal steps of displacement, linear between points.
+
+    Null where a curve is null, empty, of another length, or holds a null or NaN, or where the displacement has no span. Of points of one
+    displacement, the last as recorded is the one that later steps start from. n is 2 at least.
+    """
+    curves = ("position", "velocity", "force")
+    sound = F.greatest(*[F.size(c) for c in curves]) == F.least(*[F.size(c) for c in curves])
+    for c in curves:
+        sound = sound & ~F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    point = lambda p, i: F.struct(p.cast("double").alias("p"), i.alias("i"), F.get("velocity", i).cast("double").alias("v"), F.get("force", i).cast("double").alias("f"))
+    out = press.withColumn("_points", F.when(sound & (F.array_max("position") > F.array_min("position")), F.array_sort(F.transform("position", point))))
+    first, last = F.get("_points", 0)["p"], F.element_at("_points", -1)["p"]
+    out = out.withColumn("position_n", F.transform(F.when(F.col("_points").isNotNull(), F.sequence(F.lit(0), F.lit(n - 1))), lambda k: first + k * (last - first) / (n - 1)))
+    out = out.withColumn("_at", F.transform("position_n", lambda x: F.size(F.filter("_points", lambda p: p["p"] <= x)) - 1))
+
+    def between(c: str):
+        def value(x, k):
+            here, after = F.get("_points", F.get("_at", k)), F.get("_points", F.get("_at", k) + 1)
+            return F.when(after.isNull(), here[c]).otherwise(here[c] + (after[c] - here[c]) / (after["p"] - here["p"]) * (x - here["p"]))
+
+        return F.transform("position_n", value)
+
+    return out.withColumn("velocity_n", between("v")).withColumn("force_n", between("f")).drop("_points", "_at")

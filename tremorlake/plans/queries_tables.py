@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import signal
+from ..functions import signal, spectra
 from ..operators import evaluation, labels, models, text, vision
 from ..sources import samples as src
 from ..sources import sinks
@@ -468,9 +468,49 @@ def _signal(spark, d, names, f):
     return signal.with_features(waves(spark, d), f, names, ["fs", "fault"]).drop("wave")
 
 
-@query()
+def _lines_sql(window: str, gain: str) -> str:
+    """Amplitudes a of the lines k of every 64-point wave at 640 Hz, by the definition of the transform."""
+    return f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), x AS (SELECT vec_id, unnest(x) - list_avg(x) AS y, generate_subscripts(x, 1) - 1 AS i FROM v),
+    y AS (SELECT vec_id, i, y * {window} AS y FROM x), t AS (SELECT k, i, cos(2 * pi() * k * i / 64) AS c, sin(2 * pi() * k * i / 64) AS s FROM range(33) a(k), range(64) b(i)),
+    a AS (SELECT vec_id, k, 2 * sqrt(pow(sum(y * c), 2) + pow(sum(y * s), 2)) / {gain} AS a FROM y JOIN t USING (i) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_lines_sql("(0.5 - 0.5 * cos(2 * pi() * i / 63))", "31.5")}
+    SELECT vec_id, round(sqrt(sum(a * a) / 3), 8) AS acc, round(sqrt(sum(pow(a * 9806.65 / (20 * pi() * k), 2)) / 3), 8) AS vel,
+        round(2 * sqrt(2) * sqrt(sum(pow(a * 9806650 / pow(20 * pi() * k, 2), 2)) / 3), 8) AS disp, 10.0 * arg_max(k, a) AS freq FROM a WHERE k >= 1 GROUP BY vec_id"""
+)
 def sensor_scalars(spark, d):
-    return _signal(spark, d, ["acc", "vel", "disp", "freq"], lambda x, a: signal.sensor_scalars(x, a["fs"]))
+    w = spectra.with_spectrum(waves(spark, d), hann=True)
+    s = spectra.sensor_scalars(F.col("lines"), F.col("step"))
+    return w.select("vec_id", *[F.round(s[c], 8).alias(c) for c in ("acc", "vel", "disp")], s["freq"].alias("freq"))
+
+
+_HARMONICS = f"""WITH {_lines_sql("1", "64")}, w AS (SELECT vec_id, 60.0 + 10 * (label % 3) AS fault FROM embeddings),
+    e AS (SELECT vec_id, k, a, k = 0 OR lag(a) OVER o >= a AS low_left, k = 32 OR lead(a) OVER o >= a AS low_right FROM a WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
+    own AS (SELECT vec_id, arg_max(k, a) AS own FROM a JOIN w USING (vec_id) WHERE abs(10 * k - fault) <= 10 GROUP BY vec_id),
+    m AS (SELECT own.vec_id, h, arg_max(k, a) AS l, max(a) AS p FROM own, range(1, 7) r(h), a WHERE a.vec_id = own.vec_id AND h * own <= 32 AND abs(k - h * own) <= greatest(0.01 * h * own, 0.5) GROUP BY ALL),
+    f AS (SELECT vec_id, h, l, p, max(k) FILTER (low_left AND k <= l) AS b, min(k) FILTER (low_right AND k >= l) AS u, coalesce(max(a) FILTER (k <> l AND (abs(k - l + 2) <= 2 OR abs(k - l - 2) <= 2)), 0) AS side FROM m JOIN e USING (vec_id) GROUP BY ALL),
+    n AS (SELECT f.*, CASE WHEN l = 0 THEN y.a WHEN l = 32 THEN x.a ELSE (x.a + y.a) / 2 END AS floor FROM f JOIN a x ON x.vec_id = f.vec_id AND x.k = b JOIN a y ON y.vec_id = f.vec_id AND y.k = u),
+    g AS (SELECT vec_id, h, p / floor AS ratio, coalesce(min(CASE WHEN NOT (p >= 3 * floor AND {{side}}) THEN h END) OVER (PARTITION BY vec_id), 7) AS ended FROM n)
+    SELECT vec_id, 10.0 * own AS own_hz, count(*) FILTER (h < ended)::INTEGER AS harmonics, round(ln(1 + coalesce(sum(ratio) FILTER (h < ended), 0)), 7) AS reading FROM own JOIN g USING (vec_id) GROUP BY ALL"""
+
+
+def _harmonics(spark, d, sidebands):
+    w = spectra.with_spectrum(waves(spark, d).withColumn("shaft", F.lit(20.0)))
+    return spectra.harmonic_reading(w, sidebands).select("vec_id", "own_hz", "harmonics", F.round("reading", 7).alias("reading"))
+
+
+@query(_HARMONICS.format(side="true"))
+def raw_spectrum_harmonics(spark, d):
+    """Harmonics of the fault frequency over the valleys beside them in the plain spectrum of each wave."""
+    return _harmonics(spark, d, False)
+
+
+@query(_HARMONICS.format(side="side >= 2 * floor"))
+def raw_spectrum_sidebands(spark, d):
+    """The same with a sideband at the shaft frequency beside each harmonic."""
+    return _harmonics(spark, d, True)
 
 
 @query()
@@ -508,10 +548,13 @@ def thinning_damage(spark, d):
     return out.drop("wave")
 
 
-@query()
+@query(
+    f"""WITH {_lines_sql("1", "64")}, b AS (SELECT vec_id, CASE WHEN k <= 24 THEN (k - 1) // 2 ELSE k - 13 END AS b, max(a) AS a FROM a WHERE k >= 1 GROUP BY ALL)
+    SELECT vec_id, {", ".join(f"round(max(a) FILTER (b = {i}), 9) AS bin{i}" for i in range(20))} FROM b GROUP BY vec_id"""
+)
 def spectrum_bins(spark, d):
-    names = [f"bin{i}" for i in range(20)]
-    return _signal(spark, d, names, lambda x, a: dict(zip(names, signal.spectrum_bins(x, a["fs"]).T)))
+    w = spectra.with_spectrum(waves(spark, d)).withColumn("bins", spectra.spectrum_bins(F.col("lines")))
+    return w.select("vec_id", *[F.round(F.get("bins", i), 9).alias(f"bin{i}") for i in range(20)])
 
 
 _PRESS = """SELECT l_orderkey, list(l_quantity ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS p, list(l_extendedprice ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS f FROM lineitem GROUP BY l_orderkey"""
@@ -533,10 +576,21 @@ def press_features(spark, d):
     return models.press_features(_press(spark, d)).select("l_orderkey", "points", "quality", "peak_force", "stroke")
 
 
-@query()
+@query(
+    f"""WITH c AS ({_PRESS}), x AS (SELECT l_orderkey, len(p) AS m, list_transform(p, lambda x: x::DOUBLE) AS p, list_transform(f, lambda x: x::DOUBLE) AS f FROM c),
+    ok AS (SELECT l_orderkey, m, unnest(p) AS p, unnest(f) AS f, generate_subscripts(p, 1) AS i FROM x WHERE list_max(p) > list_min(p) AND NOT (l_orderkey % 5 = 0 AND m > 1)),
+    q AS (SELECT *, lead(p) OVER o AS p2, lead(f) OVER o AS f2, row_number() OVER o AS nth FROM ok WINDOW o AS (PARTITION BY l_orderkey ORDER BY p, i)),
+    s AS (SELECT l_orderkey, k, min(p) + k * (max(p) - min(p)) / 15 AS pos FROM ok, range(16) r(k) GROUP BY l_orderkey, k),
+    j AS (SELECT s.l_orderkey, k, pos, max_by(struct_pack(p := p, f := f, p2 := p2, f2 := f2), nth) AS z FROM s JOIN q ON s.l_orderkey = q.l_orderkey AND p <= pos GROUP BY ALL),
+    y AS (SELECT l_orderkey, k, pos, CASE WHEN z.p2 IS NULL THEN z.f ELSE z.f + (z.f2 - z.f) / (z.p2 - z.p) * (pos - z.p) END AS f FROM j),
+    g AS (SELECT l_orderkey, 16 AS n, {", ".join(f"round(max(f) FILTER (k = {k}), 6) AS force_{name}" for k, name in ((0, "first"), (5, "third"), (8, "middle"), (15, "last")))}, round(max(pos) FILTER (k = 8), 6) AS stroke_middle FROM y GROUP BY l_orderkey)
+    SELECT l_orderkey, n, force_first, force_third, force_middle, force_last, stroke_middle FROM c LEFT JOIN g USING (l_orderkey)"""
+)
 def press_resample(spark, d):
     out = models.resample_press(_press(spark, d), 16)
-    return out.select("l_orderkey", F.size("position_n").alias("n"), F.round(F.get("force_n", 0), 6).alias("force_first"), F.round(F.get("force_n", 15), 6).alias("force_last"))
+    at = {"first": 0, "third": 5, "middle": 8, "last": 15}
+    n = F.when(F.col("position_n").isNotNull(), F.size("position_n"))
+    return out.select("l_orderkey", n.alias("n"), *[F.round(F.get("force_n", k), 6).alias(f"force_{c}") for c, k in at.items()], F.round(F.get("position_n", 8), 6).alias("stroke_middle"))
 
 
 _FEATURES = ["vel", "acc", "kurt", "crest", "env"]
