@@ -5,7 +5,10 @@ import datetime as dt
 
 import duckdb
 
-from tremorlake.operators import history, text
+from pyspark.sql import functions as F
+
+from tremorlake.functions import quality
+from tremorlake.operators import evaluation, history, text
 
 T0 = dt.datetime(2026, 9, 17, 8, 0, tzinfo=dt.timezone.utc)
 
@@ -41,3 +44,13 @@ def test_words_of_patterns_end_at_letters_beyond_ascii(spark):
         duck.execute("INSERT INTO d VALUES (?, ?)", row)
     want = [(i, kind, tag) for kind, ps in patterns.items() for tag, p in ps.items() for (i,) in duck.execute("SELECT doc_id FROM d WHERE regexp_matches(text, ?)", [f"(?i){p}"]).fetchall()]
     assert got == sorted(want) and (0, "a", "end") in got
+
+
+def test_shares_are_of_decimal_digits(spark):
+    """0.7 of 90 rows is 63, although 90 * 0.7 is less in doubles."""
+    rows = [(p, at(i), i) for p, n in ((1, 90), (2, 10), (3, 1), (4, 180)) for i in range(n)]
+    df = spark.createDataFrame(rows, "tag_id long, t timestamp, seq long")
+    split = evaluation.time_block_split(df, ["tag_id"]).where("train").groupBy("tag_id").count()
+    assert {r.tag_id: r["count"] for r in split.collect()} == {1: 63, 2: 7, 4: 126}
+    n = spark.range(1, 2000).withColumn("d", quality.whole_share(F.col("id"), 0.29))
+    assert n.where(F.col("d") != F.expr("id * 29 div 100")).count() == 0

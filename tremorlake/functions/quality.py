@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -52,6 +53,11 @@ def hint(quality: Column) -> Column:
     return _lookup(quality, 4)
 
 
+def whole_share(n: Column, share: float) -> Column:
+    """The whole rows of n that a share is, by its decimal digits: 0.7 of 90 is 63, where doubles give less."""
+    return F.floor(n.cast("long") * F.lit(Decimal(str(share)))).cast("long")
+
+
 def finite(v: Column) -> Column:
     """v, or null where it is NaN or infinite: never 0."""
     v = v.cast("double")

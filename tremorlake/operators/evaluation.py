@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quality import whole_share
+
 
 def classification_report(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, label, support, predicted, hits, precision, recall) of rows (truth, prediction); null where undefined."""
@@ -32,7 +34,7 @@ def grouped_holdout(samples: DataFrame, share: float = 0.25) -> DataFrame:
     each = samples.select("label", "sample_id").distinct()
     w = Window.partitionBy("label")
     ranked = each.withColumn("r", F.row_number().over(w.orderBy(F.md5(F.col("sample_id").cast("string")), "sample_id"))).withColumn("n", F.count("*").over(w))
-    k = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    k = F.least(F.col("n") - 1, F.greatest(F.lit(1), whole_share(F.col("n"), share)))
     return samples.join(ranked.select("label", "sample_id", (F.col("r") <= k).alias("held_out")), ["label", "sample_id"])
 
 
@@ -40,7 +42,7 @@ def time_block_split(rows: DataFrame, by: list[str], share: float = 0.7) -> Data
     """rows with train: the first share of each segment."""
     w = Window.partitionBy(*by)
     placed = rows.withColumn("_i", F.row_number().over(w.orderBy("t", "seq"))).withColumn("_n", F.count("*").over(w))
-    return placed.withColumn("train", F.col("_i") <= F.floor(F.col("_n") * share)).drop("_i", "_n")
+    return placed.withColumn("train", F.col("_i") <= whole_share(F.col("_n"), share)).drop("_i", "_n")
 
 
 def speed_split(rows: DataFrame, speed: str, share: float = 0.7) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quality import whole_share
+
 
 def _ordered(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
@@ -141,7 +143,7 @@ def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
 def degradation_ratio(rows: DataFrame, by: list[str], value: str, share: float = 0.2) -> DataFrame:
     """(by, ratio): median of the last share over that of the first."""
     placed = _placed(rows, by)
-    k = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    k = F.greatest(F.lit(1), whole_share(F.col("_n"), share))
     out = placed.groupBy(*by).agg(F.median(F.when(F.col("_i") <= k, F.col(value))).alias("head"), F.median(F.when(F.col("_i") > F.col("_n") - k, F.col(value))).alias("tail"))
     return out.select(*by, (F.col("tail") / F.when(F.col("head") != 0, F.col("head"))).alias("ratio"))
 
@@ -149,7 +151,7 @@ def degradation_ratio(rows: DataFrame, by: list[str], value: str, share: float =
 def life_head_z(rows: DataFrame, by: list[str], value: str, share: float = 0.1, least: int = 30) -> DataFrame:
     """rows with z against median and IQR of the first share of a life, least rows at least."""
     placed = _placed(rows, by)
-    head = placed.where(F.col("_i") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share)))
+    head = placed.where(F.col("_i") <= F.greatest(F.lit(least), whole_share(F.col("_n"), share)))
     p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     base = head.groupBy(*by).agg(p.alias("p")).select(*by, F.col("p")[1].alias("median"), ((F.col("p")[2] - F.col("p")[0]) / 1.349).alias("scale"))
     z = (F.col(value) - F.col("median")) / F.greatest(F.col("scale"), F.lit(1e-9))

@@ -15,6 +15,8 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quality import whole_share
+
 LEAST_VARIANCE = 1e-9
 
 
@@ -42,7 +44,7 @@ def repeated_holdout(rows: DataFrame, seeds: list[int], share: float = 0.25) ->
     w = Window.partitionBy("task", "label", "seed")
     turn = F.md5(F.concat_ws(":", "seed", "group"))
     r, n = F.row_number().over(w.orderBy(turn, "group")), F.count("*").over(w)
-    held = r <= F.least(n - 1, F.greatest(F.lit(1), F.floor(n * share)))
+    held = r <= F.least(n - 1, F.greatest(F.lit(1), whole_share(n, share)))
     return rows.join(groups.select("task", "label", "group", "seed", (~held).alias("train")), ["task", "label", "group"])
 
 
