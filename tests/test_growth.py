@@ -1,6 +1,7 @@
 """Queries whose tables have grown: plans that stay within memory, and rows where rounding, alphabets and ties decide."""
 
 import datetime as dt
+import random
 
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import quality
 from tremorlake.operators import evaluation, history, text
+from tremorlake.sources import samples
 
 T0 = dt.datetime(2026, 9, 17, 8, 0, tzinfo=dt.timezone.utc)
 
@@ -54,3 +56,20 @@ def test_shares_are_of_decimal_digits(spark):
     assert {r.tag_id: r["count"] for r in split.collect()} == {1: 63, 2: 7, 4: 126}
     n = spark.range(1, 2000).withColumn("d", quality.whole_share(F.col("id"), 0.29))
     assert n.where(F.col("d") != F.expr("id * 29 div 100")).count() == 0
+
+
+def test_media_meet_times_without_pairs(spark):
+    """Against a look at every medium: nested, equal, empty, negative and unknown lengths, spans over hours, repeated and unknown times."""
+    rng = random.Random(3)
+    media = [(rng.choice([1, 2, None]), i, at(60 * rng.randrange(300)), rng.choice([0, 0, 60, 600, 3600, 9000, -60, None])) for i in range(300)] + [(1, 999, None, 60)]
+    asked = [(rng.choice([1, 2, 3, None]), at(60 * rng.randrange(480))) for _ in range(600)] + [(1, None), (1, None), (None, None)]
+    got = samples.media_at(spark.createDataFrame(media, "tag_id long, media_id long, start timestamp, seconds long"), spark.createDataFrame(asked, "tag_id long, t timestamp"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+    def covers(m, tag, t):
+        return m[0] == tag and None not in (tag, t, m[2]) and (m[2] == t or m[2] <= t < m[2] + dt.timedelta(seconds=m[3] or 0))
+
+    want = {(tag, t): max(((m[2], m[1]) for m in media if covers(m, tag, t)), default=(None, None))[1] for tag, t in asked}
+    found = [(r.tag, r.t and r.t.replace(tzinfo=dt.timezone.utc), r.media_id) for r in got.collect()]
+    assert len(found) == len(want) and {(a, b): c for a, b, c in found} == want

@@ -188,12 +188,38 @@ def media_at(media: DataFrame, times: DataFrame) -> DataFrame:
     """The medium of a tag that covers a time: start <= t < start + seconds, or t = start if it has no length; null in a gap. The latest start wins, then the
     greatest media_id.
 
-    Both sides meet on the hours that a medium covers.
+    Both sides meet on the hours that a medium covers, in order of time: of the media that have begun only those that no later one outlasts
+    are kept, so the cost is that of the rows and not of their pairs.
     """
-    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
-    end = F.col("start") + F.make_interval(secs=F.col("seconds"))
-    spans = media.withColumn("until", end).withColumn("h", F.explode(F.sequence(hour(F.col("start")), hour(end))))
-    asked = times.withColumn("h", hour(F.col("t"))).withColumnRenamed("tag_id", "tag").withColumnRenamed("h", "hh")
-    cover = (F.col("tag") == F.col("tag_id")) & (F.col("hh") == F.col("h")) & (F.col("start") <= F.col("t")) & ((F.col("t") < F.col("until")) | (F.col("t") == F.col("start")))
-    met = asked.join(spans, cover, "left")
-    return met.groupBy("tag", "t").agg(F.max_by("media_id", F.when(F.col("media_id").isNotNull(), F.struct("start", "media_id"))).alias("media_id"))
+    hour = lambda us: F.floor(us / 3_600_000_000)
+    start = F.unix_micros("start")
+    until = F.greatest(start, F.coalesce(F.unix_micros(F.col("start") + F.make_interval(secs=F.col("seconds"))), start))
+    spans = media.where("tag_id IS NOT NULL AND start IS NOT NULL AND media_id IS NOT NULL").select("tag_id", start.alias("us"), until.alias("until"), "media_id")
+    spans = spans.select("tag_id", F.explode(F.sequence(hour(F.col("us")), hour(F.col("until")))).alias("h"), "us", "media_id", "until")
+    t = F.unix_micros("t")
+    asked = times.select("tag_id", hour(t).alias("h"), t.alias("us"), F.lit(None).cast(spans.schema["media_id"].dataType).alias("media_id"), F.lit(None).cast("long").alias("until"))
+    rows = spans.unionByName(asked).repartition("tag_id", "h").sortWithinPartitions("tag_id", "h", "us", F.asc_nulls_last("media_id"))
+
+    def covered(batches):
+        cell, begun, told = None, [], ()
+        for batch in batches:
+            tags, times_, ids = [], [], []
+            for tag, h, us, media_id, until in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (tag, h) != cell:
+                    cell, begun, told = (tag, h), [], ()
+                if media_id is not None:
+                    while begun and begun[-1][1] <= until:
+                        begun.pop()
+                    begun.append((us, until, media_id))
+                elif us != told:
+                    while begun and us is not None and begun[-1][1] <= us and begun[-1][0] < us:
+                        begun.pop()
+                    tags.append(tag)
+                    times_.append(us)
+                    ids.append(begun[-1][2] if begun else None)
+                    told = us
+            yield pa.RecordBatch.from_arrays([pa.array(tags, batch.schema.field(0).type), pa.array(times_, pa.int64()), pa.array(ids, batch.schema.field(3).type)], ["tag", "us", "media_id"])
+
+    tag_type, id_type = rows.schema["tag_id"].dataType.simpleString(), rows.schema["media_id"].dataType.simpleString()
+    out = rows.mapInArrow(covered, f"tag {tag_type}, us long, media_id {id_type}")
+    return out.select("tag", F.timestamp_micros("us").alias("t"), "media_id")
