@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tremorlake.functions import quality
-from tremorlake.operators import evaluation, history, text
+from tremorlake.operators import evaluation, history, ranking, text, vision
 from tremorlake.sources import samples
 
 T0 = dt.datetime(2026, 9, 17, 8, 0, tzinfo=dt.timezone.utc)
@@ -73,3 +73,44 @@ def test_media_meet_times_without_pairs(spark):
     want = {(tag, t): max(((m[2], m[1]) for m in media if covers(m, tag, t)), default=(None, None))[1] for tag, t in asked}
     found = [(r.tag, r.t and r.t.replace(tzinfo=dt.timezone.utc), r.media_id) for r in got.collect()]
     assert len(found) == len(want) and {(a, b): c for a, b, c in found} == want
+
+
+def test_suppression_of_many_images_side_by_side(spark):
+    """Against a loop over detections: small and crowded images, equal confidences, images over batches, more than the most that may stay."""
+    rng = random.Random(8)
+    rows = []
+    for image, n in [*((i, rng.randrange(9)) for i in range(200)), (900, 700), (901, 400)]:
+        for k in range(n):
+            x, y, w = (rng.uniform(0, 40), rng.uniform(0, 40), 25.0) if image != 901 else (50.0 * k, 0.0, 20.0)
+            rows.append((f"i{image}", 1000 * image + k, rng.randrange(3), round(rng.uniform(0.5, 1.0), 2), x, y, x + w, y + rng.choice([0.0, w])))
+    want = []
+    for image in {r[0] for r in rows}:
+        left, n = sorted((r for r in rows if r[0] == image and r[3] > 0.55), key=lambda r: (-r[3], r[1])), 0
+        while left and n < vision.AFTER:
+            a = left.pop(0)
+            want.append(a[1])
+            n += 1
+
+            def over(b):
+                inter = max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5]))
+                union = (a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - inter
+                return a[2] == b[2] and inter > 0.45 * (union if union > 0 else 1)
+
+            left = [b for b in left if not over(b)]
+    df = spark.createDataFrame(rows, "image_id string, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)
+    try:
+        assert sorted(r.det_id for r in vision.non_max_suppression(df).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_quantile_without_one_task_for_all_values(spark):
+    df = spark.createDataFrame([(v,) for v in [5.0, 1.0, None, 3.0, 3.0, 9.0, 2.0, 3.0, 7.5]], "v double")
+    for share in (0.0, 0.1, 0.5, 0.7, 0.93, 1.0):
+        want = df.agg(F.percentile("v", share)).first()[0]
+        for a_range in (1, 3, 100):
+            assert abs(ranking.quantile(df, "v", share, a_range) - want) < 1e-12
+    assert ranking.quantile(df.where("v IS NULL"), "v", 0.5) is None
+    split = evaluation.speed_split(df, "v")
+    assert "percentile" not in split._jdf.queryExecution().optimizedPlan().toString() and split.where("train").count() == 5

@@ -28,29 +28,41 @@ def box_to_image(cx: Column, cy: Column, w: Column, h: Column, width: Column, he
     return F.struct(x(-1).alias("x1"), y(-1).alias("y1"), x(1).alias("x2"), y(1).alias("y2"))
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where x differs from the one before; the first always."""
+    return np.append(np.ones(min(1, len(x)), bool), x[1:] != x[:-1])
+
+
 def non_max_suppression(detections: DataFrame, confidence: float = 0.55, iou: float = 0.45) -> DataFrame:
     """Detections (image_id, det_id, cls, conf, x1, y1, x2, y2) that stay: confidence strictly above, and no kept one of
     the same class with a strictly larger overlap; by confidence, det_id on ties."""
-    w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
-    rows = detections.where(F.col("conf") > confidence).withColumn("place", F.row_number().over(w)).where(F.col("place") <= BEFORE)
-    rows = rows.sortWithinPartitions("image_id", "place").drop("place")  # the window has dealt images to tasks
+    order = ["image_id", F.desc("conf"), F.asc("det_id")]
+    rows = detections.where(F.col("conf") > confidence).withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(*order[1:]))).where(F.col("place") <= BEFORE)
+    rows = rows.sortWithinPartitions(*order).drop("place")  # the window has dealt images to tasks, in this order
 
     def kept(part: pa.Table) -> pa.Table:
-        """Of whole images, each by falling confidence, what stays."""
+        """Of whole images, each by falling confidence, what stays: all classes of all images side by side, one kept of each a round."""
         image, cls = part["image_id"].to_numpy(), part["cls"].to_numpy()
         box = np.column_stack([part[c].to_numpy() for c in ("x1", "y1", "x2", "y2")])
         area = np.prod(np.maximum(box[:, 2:] - box[:, :2], 0), axis=1)
+        run = np.cumsum(_begins(image)) - 1
+        at = np.lexsort((cls, run))  # stable, so still by confidence in each class
+        group = np.cumsum(_begins(run[at]) | _begins(cls[at])) - 1
         keep = np.zeros(len(box), bool)
-        cuts = np.append(np.flatnonzero(np.diff(image, prepend=image[:1] - 1)), len(image))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            left, n = np.ones(b - a, bool), 0
-            while left.any() and n < AFTER:
-                i = int(left.argmax())
-                keep[a + i], left[i], n = True, False, n + 1
-                inter = np.prod(np.maximum(np.minimum(box[a + i, 2:], box[a:b, 2:]) - np.maximum(box[a + i, :2], box[a:b, :2]), 0), axis=1)
-                union = area[a + i] + area[a:b] - inter
-                left &= ~((cls[a:b] == cls[a + i]) & (inter > iou * np.where(union > 0, union, 1)))
-        return part.filter(pa.array(keep))
+        for _ in range(AFTER):
+            if not len(at):
+                break
+            first = _begins(group)
+            keep[at[first]] = True
+            more = np.flatnonzero(~first)
+            head, own = at[np.flatnonzero(first)[np.cumsum(first) - 1][more]], at[more]
+            inter = np.prod(np.maximum(np.minimum(box[head, 2:], box[own, 2:]) - np.maximum(box[head, :2], box[own, :2]), 0), axis=1)
+            union = area[head] + area[own] - inter
+            apart = ~(inter > iou * np.where(union > 0, union, 1))
+            at, group = own[apart], group[more][apart]
+        nth = np.cumsum(keep)
+        nth -= (nth - keep)[_begins(run)][run]
+        return part.filter(pa.array(keep & (nth <= AFTER)))
 
     def whole_images(batches):
         """Batches end where an image does: the last image of a batch waits for the next one."""
@@ -59,7 +71,7 @@ def non_max_suppression(detections: DataFrame, confidence: float = 0.55, iou: fl
             part = pa.Table.from_batches([batch])
             part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
             image = part["image_id"].to_numpy()
-            cut = int(np.searchsorted(image, image[-1])) if len(image) else 0
+            cut = int(np.flatnonzero(_begins(image))[-1]) if len(image) else 0
             rest = part.slice(cut)
             if cut:
                 yield from kept(part.slice(0, cut).combine_chunks()).to_batches()

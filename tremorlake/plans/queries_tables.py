@@ -383,7 +383,7 @@ def box_to_image(spark, d):
 
 @query()
 def non_max_suppression(spark, d):
-    return vision.non_max_suppression(detections(spark, d)).groupBy("image_id").agg(F.count("*").alias("kept"), F.max("conf").alias("best"))
+    return vision.non_max_suppression(detections(spark, d).drop("label")).groupBy("image_id").agg(F.count("*").alias("kept"), F.max("conf").alias("best"))
 
 
 @query(
