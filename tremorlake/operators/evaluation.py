@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quality import whole_share
+from .ranking import quantile
 
 
 def classification_report(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -47,8 +48,8 @@ def time_block_split(rows: DataFrame, by: list[str], share: float = 0.7) -> Data
 
 def speed_split(rows: DataFrame, speed: str, share: float = 0.7) -> DataFrame:
     """rows with train: speeds up to the quantile."""
-    cut = rows.agg(F.percentile(speed, F.lit(share)).alias("cut"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("train", F.col(speed) <= F.col("cut")).drop("cut")
+    cut = quantile(rows, speed, share)
+    return rows.withColumn("train", F.col(speed) <= F.lit(cut).cast("double"))
 
 
 def majority_baseline(rows: DataFrame, by: list[str], label: str) -> DataFrame:

@@ -25,6 +25,33 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "posi
     return placed.join(first, by).withColumn(name, F.col("_at") - F.col("_first")).select(*rows.columns, name)
 
 
+def quantile(rows: DataFrame, value: str, share: float, a_range: int = A_RANGE) -> float | None:
+    """The exact quantile of all values, linear between the two around it; null without values.
+
+    Values are counted, dealt to ranges and the counts of the ranges looked at; of the one or two ranges that hold the place asked for, the
+    running counts name the values.
+    """
+    own = rows.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ranges = max(1, -(-own.count() // a_range))
+    counted = own.groupBy("_v").agg(F.count("*").alias("_k"))
+    placed = written(counted.repartitionByRange(ranges, "_v").withColumn("_part", F.spark_partition_id()), "counted")
+    before, starts = 0, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").agg(F.sum("_k")).collect()):  # a row for each range
+        starts.append((part, before, before + n))
+        before += n
+    if not before:
+        return None
+    place = share * (before - 1)
+    spots = [int(place), min(int(place) + 1, before - 1)]
+    found = []
+    for spot in spots:
+        part, start, _ = next(x for x in starts if x[1] <= spot < x[2])
+        upto = F.sum("_k").over(Window.partitionBy("_part").orderBy("_v")) + start
+        found.append(placed.where(F.col("_part") == part).withColumn("_upto", upto).where(F.col("_upto") > spot).agg(F.min("_v")).first()[0])
+    low, high = found
+    return low + (high - low) * (place - spots[0]) if low != high else low
+
+
 def concordance(rows: DataFrame, by: list[str], value: str, block_s: float = 86400.0) -> DataFrame:
     """(by, n, concordant, discordant, tied, tau) of values with time, without pairing rows: tau is Kendall's tau-b.
 
