@@ -5,12 +5,14 @@ import random
 
 
 import duckdb
+import pandas as pd
 
 from pyspark.sql import functions as F
 
 from tremorlake.functions import quality
 from tremorlake.operators import evaluation, history, ranking, text, vision
 from tremorlake.sources import samples
+from tremorlake.streaming import stateful
 
 T0 = dt.datetime(2026, 9, 17, 8, 0, tzinfo=dt.timezone.utc)
 
@@ -114,3 +116,44 @@ def test_a_quantile_without_one_task_for_all_values(spark):
     assert ranking.quantile(df.where("v IS NULL"), "v", 0.5) is None
     split = evaluation.speed_split(df, "v")
     assert "percentile" not in split._jdf.queryExecution().optimizedPlan().toString() and split.where("train").count() == 5
+
+
+def test_a_key_of_a_stream_asks_for_its_state_once():
+    """Each call goes to the JVM and back for every key of a batch: one read, one write, one timer; no rows, no frame."""
+    calls = []
+
+    class Kept:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        kept = Kept()
+
+        def getValueState(self, name, schema):
+            return self.kept
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class Timers:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    p, timers = stateful.LimitLevels({"HI": 8.0}, 0.5, 86400), Timers()
+    p.init(Handle())
+    frame = pd.DataFrame({"key": 1, "t": pd.to_datetime([3, 1, 2], unit="s"), "seq": [3, 1, 2], "value": [7.0, 9.0, None], "label": [None, None, None]})
+    assert list(p.handleInputRows((1,), iter([frame]), timers)) == [] and calls == ["get", "update", "timer"]
+    calls.clear()
+    timers.now = 5000
+    (out,) = p.handleExpiredTimer((1,), timers, None)
+    assert calls == ["get", "update", "timer"]
+    assert out.values.tolist() == [[1, "HI", "raised", 1_000_000, 1, 9.0], [1, "HI", "cleared", 3_000_000, 3, 7.0]]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.shared import written
-from .stateful import FORGET_S, InOrder, _run, _time
+from .stateful import FORGET_S, InOrder, _run
 
 #: A corridor: where it opens, its slopes, the last sample seen, and whether that is the one it opens at.
 STATE = "at_us long, at_value double, high double, low double, last_us long, last_seq long, last_value double, shut boolean"
@@ -189,14 +189,13 @@ class Door(InOrder):
         super().__init__(forget_s)
         self.error = error
 
-    def settle(self, key, kept, us, rows, now):
-        rows = rows.reset_index(drop=True)
-        whole = rows["value"].notna().to_numpy(bool)
-        keeps, state = walk(us[whole], rows["seq"].to_numpy(np.int64)[whole], rows["value"].to_numpy(float)[whole], self.error, kept)
-        return state, [(key[0], _time(a), b, v) for a, b, v in keeps], None
+    def settle(self, key, kept, us, seq, value, label, now):
+        whole = ~np.isnan(value)
+        keeps, state = walk(us[whole], seq[whole], value[whole], self.error, kept)
+        return state, [(key[0], *x) for x in keeps], None
 
     def farewell(self, key, kept):
-        return [] if kept is None or kept[7] else [(key[0], _time(kept[4]), kept[5], kept[6])]
+        return [] if kept is None or kept[7] else [(key[0], *kept[4:7])]
 
 
 def swinging_door_stream(samples: DataFrame, error: float, delay_s: float = 0.0, forget_s: float = FORGET_S) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streaming operators with state per key on transformWithState: alarms, delays, carried state, compression.
 
-All take samples in order of time, however the stream is cut into micro-batches: those ahead of the watermark wait in a
-list state, and once it has passed them they are settled by (t, seq). A delay that ends between samples wakes its key by an
+All take samples in order of time, however the stream is cut into micro-batches: those ahead of the watermark wait in
+the key's state, and once it has passed them they are settled by (t, seq). A delay that ends between samples wakes its key by an
 event-time timer. State goes when its key has had no sample for forget_s seconds of event time, so dead keys leave nothing; a key that
 returns later begins anew. Each operator has a batch twin that gives the same rows for samples up to the watermark.
 
@@ -39,8 +39,8 @@ class InOrder(StatefulProcessor):
     def __init__(self, forget_s: float):
         self.forget = int(forget_s * 1e6)
 
-    def settle(self, key, kept: tuple | None, us: np.ndarray, rows: pd.DataFrame, now: int) -> tuple[tuple | None, list[tuple], int | None]:
-        """What the key keeps after rows (us, seq, value, label), rows that go out, and when to wake it, in microseconds; now is the watermark."""
+    def settle(self, key, kept: tuple | None, us: np.ndarray, seq: np.ndarray, value: np.ndarray, label: np.ndarray, now: int) -> tuple[tuple | None, list[tuple], int | None]:
+        """What the key keeps after its samples, rows that go out, and when to wake it, in microseconds; now is the watermark. No value is NaN."""
         raise NotImplementedError
 
     def farewell(self, key, kept: tuple | None) -> list[tuple]:
@@ -48,51 +48,64 @@ class InOrder(StatefulProcessor):
         return []
 
     def init(self, handle) -> None:
+        # one value a key: each call for state goes to the JVM and back
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, seq long, value double, label string")
-        self.kept = handle.getValueState("kept", self.KEPT)
-        self.last = handle.getValueState("last", "us long")
+        self.kept = handle.getValueState("kept", f"has boolean, seen long, wait_us binary, wait_seq binary, wait_value binary, wait_label string, {self.KEPT}")
+        self.none = (None,) * (self.KEPT.count(",") + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.kept.update(self.started(initialState))
+        self.kept.update((True, None, *NOTHING, *self.started(initialState)))
 
     def started(self, initial: pd.DataFrame) -> tuple:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new = pd.DataFrame({"us": new["t"].dt.as_unit("us").astype("int64"), "seq": new["seq"], "value": new["value"].astype(float), "label": new["label"]})
-        yield self._settled(key, new, timerValues)
+        parts = [(x["t"].to_numpy("datetime64[us]").astype(np.int64), x["seq"].to_numpy(np.int64), x["value"].to_numpy(float), x["label"].to_numpy(object)) for x in rows]
+        return self._settled(key, tuple(map(np.concatenate, zip(*parts))), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settled(key, None, timerValues)
+        return self._settled(key, None, timerValues)
 
-    def _settled(self, key, new: pd.DataFrame | None, timers) -> pd.DataFrame:
+    def _settled(self, key, new: tuple | None, timers) -> Iterator[pd.DataFrame]:
         now = timers.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["us", "seq", "value", "label"]) if self.waiting.exists() else None
-        rows = pd.concat([x for x in (rows, new) if x is not None and len(x)] or [pd.DataFrame({"us": [], "seq": [], "value": [], "label": []})], ignore_index=True)
-        early = rows["us"] > now
-        held, rows = rows[early], rows[~early].sort_values(["us", "seq"], kind="stable")
-        if len(held):
-            self.waiting.put([(int(a), int(b), None if pd.isna(c) else float(c), None if pd.isna(d) else str(d)) for a, b, c, d in held.itertuples(index=False, name=None)])
-        elif self.waiting.exists():
-            self.waiting.clear()
-        us = rows["us"].to_numpy(np.int64)
-        before = tuple(self.kept.get()) if self.kept.exists() else None
-        kept, out, wake = self.settle(key, before, us, rows, now)
-        last = int(us[-1]) if len(us) else (self.last.get()[0] if self.last.exists() else None)
-        if len(us):
-            self.last.update((last,))
-        if last is not None and last + self.forget <= now and not len(held):
+        has, last, us, seq, value, label, *before = self.kept.get() or (False, None, *NOTHING, *self.none)
+        rows = _unpacked(us, seq, value, label)
+        if new is not None:
+            rows = tuple(np.concatenate([a, b]) for a, b in zip(rows, new)) if len(rows[0]) else new
+        early = rows[0] > now
+        held, rows = tuple(x[early] for x in rows), tuple(x[~early] for x in rows)
+        order = np.lexsort((rows[1], rows[0]))
+        us = rows[0][order]
+        before = tuple(before) if has else None
+        kept, out, wake = self.settle(key, before, us, *(x[order] for x in rows[1:]), now)
+        last = int(us[-1]) if len(us) else last
+        waits = len(held[0]) > 0
+        if last is not None and last + self.forget <= now and not waits:
             out = out + self.farewell(key, kept)
             self.kept.clear()
-            self.last.clear()
         else:
-            if kept is not None and kept != before:
-                self.kept.update(kept)
-            wakes = [int(held["us"].min())] if len(held) else [] if last is None else [last + self.forget]
+            kept = before if kept is None else kept
+            if len(us) or new is not None or kept != before:
+                self.kept.update((kept is not None, last, *_packed(*held), *(self.none if kept is None else kept)))
+            wakes = [int(held[0].min())] if waits else [] if last is None else [last + self.forget]
             self.handle.registerTimer(-(-min([*wakes, *([wake] if wake is not None else [])], default=now + self.forget) // 1000))
-        return pd.DataFrame(out, columns=self.COLUMNS)
+        return iter([pd.DataFrame(out, columns=self.COLUMNS)] if out else [])
+
+
+#: No samples that wait, as the state has them.
+NOTHING = (None, None, None, None)
+
+
+def _packed(us: np.ndarray, seq: np.ndarray, value: np.ndarray, label: np.ndarray) -> tuple:
+    """Samples that wait as one row of state."""
+    if not len(us):
+        return NOTHING
+    return us.tobytes(), seq.tobytes(), value.tobytes(), json.dumps([None if pd.isna(x) else x for x in label]) if pd.notna(label).any() else None
+
+
+def _unpacked(us: bytes | None, seq: bytes | None, value: bytes | None, label: str | None) -> tuple:
+    us, seq, value = (np.frombuffer(x or b"", t) for x, t in ((us, np.int64), (seq, np.int64), (value, float)))
+    return us, seq, value, np.full(len(us), None, object) if label is None else np.array(json.loads(label), object)
 
 
 def _stream(samples: DataFrame, delay_s: float, label: Column | None) -> DataFrame:
@@ -104,13 +117,15 @@ def _stream(samples: DataFrame, delay_s: float, label: Column | None) -> DataFra
 
 
 def _run(samples: DataFrame, processor: InOrder, schema: str, delay_s: float, label: Column | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """The rows of schema; its times leave the processor in microseconds."""
     rows = _stream(samples, delay_s, label)
     out = f"key {rows.schema['key'].dataType.simpleString()}, {schema}"
-    return rows.groupBy("key").transformWithStateInPandas(processor, out, "append", "EventTime", initialState=None if initial is None else initial.groupBy("key"))
+    told = rows.groupBy("key").transformWithStateInPandas(processor, out.replace(" timestamp", " long"), "append", "EventTime", initialState=None if initial is None else initial.groupBy("key"))
+    return told.select(*[F.timestamp_micros(c).alias(c) if f"{c} timestamp" in schema.split(", ") else F.col(c) for c in processor.COLUMNS])
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(int(us), unit="us")
+def _number(v: float) -> float | None:
+    return None if np.isnan(v) else float(v)
 
 
 class LimitLevels(InOrder):
@@ -124,8 +139,8 @@ class LimitLevels(InOrder):
         on = set(initial.loc[initial["active"].astype(bool), "level"])
         return (sum(1 << j for j, name in enumerate(self.limits) if name in on),)
 
-    def settle(self, key, kept, us, rows, now):
-        active, out, value, seq = kept[0] if kept else 0, [], rows["value"].to_numpy(float), rows["seq"].to_numpy()
+    def settle(self, key, kept, us, seq, value, label, now):
+        active, out = kept[0] if kept else 0, []
         if not len(us):
             return kept, out, None
         after = 0
@@ -134,10 +149,10 @@ class LimitLevels(InOrder):
             says = np.where(v >= edge, 1, np.where(v <= edge - self.dead_band, 0, -1))
             says = np.concatenate([[active >> j & 1], says])
             state = says[np.maximum.accumulate(np.where(says >= 0, np.arange(len(says)), 0))]
-            out += [(key[0], name, "raised" if state[i + 1] else "cleared", us[i], int(seq[i]), value[i]) for i in np.flatnonzero(np.diff(state))]
+            out += [(key[0], name, "raised" if state[i + 1] else "cleared", int(us[i]), int(seq[i]), float(value[i])) for i in np.flatnonzero(np.diff(state))]
             after |= int(state[-1]) << j
         out.sort(key=lambda r: (r[3], r[4]))
-        return (after,), [(*r[:3], _time(r[3]), *r[4:]) for r in out], None
+        return (after,), out, None
 
 
 def limit_alarms_stream(samples: DataFrame, limits: dict[str, float], dead_band: float, delay_s: float = 0.0, initial: DataFrame | None = None, forget_s: float = FORGET_S) -> DataFrame:
@@ -154,13 +169,11 @@ class StateTable(InOrder):
     def started(self, initial):
         return (str(initial["state"].iloc[0]),)
 
-    def settle(self, key, kept, us, rows, now):
+    def settle(self, key, kept, us, seq, value, state, now):
         if not len(us):
             return kept, [], None
-        state = rows["label"].to_numpy(object)
         before = np.concatenate([np.array([kept[0] if kept else None], object), state[:-1]])
-        value, seq = rows["value"].to_numpy(float), rows["seq"].to_numpy()
-        return (state[-1],), [(key[0], before[i], state[i], _time(us[i]), int(seq[i]), value[i]) for i in np.flatnonzero(state != before)], None
+        return (state[-1],), [(key[0], before[i], state[i], int(us[i]), int(seq[i]), _number(value[i])) for i in np.flatnonzero(state != before)], None
 
 
 def state_changes_stream(samples: DataFrame, state: Column, delay_s: float = 0.0, initial: DataFrame | None = None, forget_s: float = FORGET_S) -> DataFrame:
@@ -175,7 +188,7 @@ class Debounced(InOrder):
         super().__init__(forget_s)
         self.wait = {True: int(on_s * 1e6), False: int(off_s * 1e6)}
 
-    def settle(self, key, kept, us, rows, now):
+    def settle(self, key, kept, us, seq, values, label, now):
         alarm, on, since, value = kept or (False, None, 0, None)
         out = []
 
@@ -183,12 +196,12 @@ class Debounced(InOrder):
             nonlocal alarm
             if on is not None and on != alarm and upto - since >= self.wait[on]:
                 alarm = on
-                out.append((key[0], "raised" if on else "cleared", _time(since), value))
+                out.append((key[0], "raised" if on else "cleared", since, value))
 
-        says = (rows["label"] == "true").to_numpy(bool)
+        says = np.asarray(label == "true", bool)
         for i in np.flatnonzero(np.diff(says.astype(int), prepend=-1 if on is None or not len(says) else int(on))).tolist():
             end(int(us[i]))
-            on, since, value = bool(says[i]), int(us[i]), None if np.isnan(v := float(rows["value"].iloc[i])) else v
+            on, since, value = bool(says[i]), int(us[i]), _number(values[i])
         end(now)
         if on is None:
             return None, out, None
@@ -217,12 +230,12 @@ class CarriedState(InOrder):
         except ValueError:
             return False
 
-    def settle(self, key, kept, us, rows, now):
+    def settle(self, key, kept, us, seq, value, label, now):
         state, since, writes = kept or ("", 0, 0)
-        for at, text in zip(us.tolist(), rows["label"]):
+        for at, text in zip(us.tolist(), label):
             if self.legal(text):
                 state, since, writes = ("", 0, 0) if json.loads(text) == {} else (text, since or at, writes + 1)
-        return (state, since, writes), [(key[0], state or None, _time(since) if since else None, writes)] if len(us) else [], None
+        return (state, since, writes), [(key[0], state or None, since or None, writes)] if len(us) else [], None
 
 
 def carried_state(beats: DataFrame, most_bytes: int = 256 * 1024, delay_s: float = 0.0, forget_s: float = FORGET_S) -> DataFrame:
