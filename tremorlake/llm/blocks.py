@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import repeatable
-from .textkit import U, slices
+from .textkit import U, lean, slices
 
 KEYS_A_BUCKET = 400_000
 ASK = "chunk long, bucket long, keys binary, held binary"
@@ -52,7 +52,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, keep:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, nth))], [*part.schema.names, "chunk"])
                 nth += 1
 
-    return rows.mapInArrow(numbered, StructType([*rows.schema.fields, StructField("chunk", LongType())])), total
+    return rows.mapInArrow(lean(numbered), StructType([*rows.schema.fields, StructField("chunk", LongType())])), total
 
 
 def asked(chunk: int, keys: np.ndarray, buckets: int) -> list[dict]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, written
-from .textkit import U, Words, mix, slices
+from .textkit import U, Words, give_back, lean, mix, slices
 
 #: Of a set's hashes, the lowest share in which prefixes end, and of those one in SAMPLED, picked for each
 #: document anew, are counted to find frequent shingles.
@@ -74,7 +74,7 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
                     got.append(low[mix(low + U((keys[row] or 0) * 0x9E3779B97F4A7C15 % 2**64)) % U(SAMPLED) == 0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
 
-    counted = texts.mapInArrow(lowest, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    counted = texts.mapInArrow(lean(lowest), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     return top["token"].to_numpy(np.int64)[::-1].copy().view(U)
 
@@ -85,6 +85,8 @@ def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     frequent = _frequent(texts, k)
     by_hash = np.argsort(frequent)
     sent = texts.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
+    del frequent, by_hash
+    give_back()
 
     def rows(batches):
         keys, rank = sent.value
@@ -116,7 +118,7 @@ def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     ["id", "n", "s1", "s2", "p1", "late", "prefix"],
                 )
 
-    return texts.mapInArrow(rows, "id long, n int, s1 long, s2 long, p1 long, late int, prefix array<long>")
+    return texts.mapInArrow(lean(rows), "id long, n int, s1 long, s2 long, p1 long, late int, prefix array<long>")
 
 
 def _shingle_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _shingle_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     ids = written(ids.distinct(), "ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(texts.join(some, "id", "left_semi").mapInArrow(rows, "id long, tokens array<long>"), "sets")
+    return written(texts.join(some, "id", "left_semi").mapInArrow(lean(rows), "id long, tokens array<long>"), "sets")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,6 +213,8 @@ def _forest(part: pa.Table, percent: int) -> pa.Table:
             break
         root = low
     other = root != np.arange(len(ids))
+    del shared, near, row, col, token
+    give_back()
     return pa.table({"a": ids[other], "b": ids[root][other]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 

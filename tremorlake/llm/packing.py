@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import written
-from .textkit import codepoints, slices
+from .textkit import codepoints, lean, slices
 
 #: A batch: pieces wanted, windows wanted, and pieces at most.
 PIECES_A_BATCH, WINDOWS_A_BATCH, MOST_PIECES = 3000, 200, 60_000
 #: Parts whose ids a task keeps, characters of a part worth keeping, and characters that are encoded at a time.
 CACHED_PARTS, CACHED_CHARS = 400_000, 64
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
 #: Ids of the smallest pieces, and how many of the larger ones a window takes at least.
 FINE_FLOOR, COARSE_PARTS = 8, 8
 _GAP = re.compile("[ \t-\r]")
@@ -196,11 +196,6 @@ class Encoder:
         return np.concatenate(ids), np.array(sizes, np.int64)
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def cuts(n: int, capacity: int, fine: bool) -> list[int]:
     """Lengths of the pieces of n ids, in order."""
     out, rest = [capacity] * (n // capacity), n % capacity
@@ -215,7 +210,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """(id_col, start, length, doc_tokens, ids, spot): the pieces of each document with their little-endian ids."""
 
     def rows(batches):
-        encode, spot, filled = encoder(tokenizer), TaskContext.get().partitionId() << 34, capacity - 1
+        encode, spot, filled = Encoder(tokenizer), TaskContext.get().partitionId() << 34, capacity - 1
         for batch in batches:
             for part in slices(batch, "text", RUN_CHARS):
                 ids, sizes = encode([t or "" for t in part.column("text").to_pylist()])
@@ -238,7 +233,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(rows, f"id {kind}, start long, length long, doc_tokens long, ids binary, spot long").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(lean(rows), f"id {kind}, start long, length long, doc_tokens long, ids binary, spot long").withColumnRenamed("id", id_col)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .textkit import Words
+from .textkit import Words, give_back
 
 #: Perfect difference sets, period -> residues.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 3: (0, 1), 1: (0,)}
@@ -99,7 +99,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             drop = gone[off[i] : off[i + 1]]
             out.append(b" ".join(compress(words, (~drop).tolist())) if drop.any() else b" ".join(words))
         cut = np.concatenate([[0], np.cumsum(gone)])[scan.words.off]
-        made = [part["id"], *(part[c] for c in kept_names), pa.array(np.diff(scan.words.off), pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(out, pa.binary()).cast(pa.string(), safe=False)]
+        del scan, gone
+        give_back()
+        made = [part["id"], *(part[c] for c in kept_names), pa.array(np.diff(off), pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(out, pa.binary()).cast(pa.string(), safe=False)]
         return pa.table(made, names=["id", *kept_names, "n_words", "n_removed", "kept"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

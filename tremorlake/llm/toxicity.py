@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textkit import codepoints, grams, slices
+from .textkit import codepoints, give_back, grams, lean, slices
 
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES, GROUP_BYTES = 40 << 20, 10 << 20
@@ -91,7 +91,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         # a few wide rows are lighter to the driver than one a bucket
         return pa.table({"keys": [rows["key"].to_numpy().astype(np.int32).tobytes()], "n": [rows["n"].to_numpy().tobytes()]})
 
-    summed = sample.select("text", "y").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    summed = sample.select("text", "y").mapInArrow(lean(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts, total = np.zeros((1 << BITS) * 2, np.int64), np.zeros(2, np.int64)
     for r in summed.groupBy(F.shiftright("key", 14).alias("wide")).applyInArrow(packed, "keys binary, n binary").collect():
         key, n = np.frombuffer(r.keys, np.int32), np.frombuffer(r.n, np.int64)
@@ -143,13 +143,16 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
 
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("upto")
-        size, col = [], []
+        # room for an n-gram of each size at every byte; what stays unused takes no memory
+        size, col, at = [], np.empty(len(SIZES) * (rows["text"].nbytes + 2 * rows.num_rows), np.int32), 0
         for part in slices(rows, "text"):
             row, bucket = _features(part.column("text").to_pylist())
             size.append(np.bincount(row, minlength=part.num_rows))
-            col.append(bucket.astype(np.int32))
-        col = np.concatenate(col)
-        w, b = _logistic(np.concatenate(size), col, sent.value, rows["y"].to_numpy().astype(float), prior)
+            col[at : at + len(bucket)] = bucket
+            at += len(bucket)
+        w, b = _logistic(np.concatenate(size), col[:at], sent.value, rows["y"].to_numpy().astype(float), prior)
+        del size, col
+        give_back()
         return pa.table({"n": [rows.num_rows], "b": [b], "w": [(w * sent.value).tobytes()]})
 
     dealt = sample.select("text", "y", "upto", F.floor((F.col("upto") - 1) / GROUP_BYTES).alias("g"))
@@ -158,7 +161,10 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     n, weight = sum(r.n for r in fitted), np.zeros(1 << BITS, np.float32)
     for r in fitted:
         weight += np.frombuffer(r.w, np.float32) * np.float32(r.n / n)
-    return weight, sum(r.b * r.n / n for r in fitted)
+    b = sum(r.b * r.n / n for r in fitted)
+    del fitted
+    give_back()
+    return weight, b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
@@ -173,7 +179,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 z = np.bincount(row, weight[bucket], part.num_rows) + b
                 yield part.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(lean(scored), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", parts: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
